@@ -1,0 +1 @@
+"""Intentionally empty: the system we match has no streaming operators, so none are offered."""
