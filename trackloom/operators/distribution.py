@@ -33,7 +33,7 @@ def _kernel_sums(px: pd.Series, py: pd.Series, tx: pd.Series, ty: pd.Series, blo
 def _pairwise(df: DataFrame, group: list[str]) -> DataFrame:
     """Kernel sums per group. Callers guarantee at most EXACT_MMD_ROWS rows per group."""
     pack = df.groupBy(*group).agg(F.collect_list(F.struct(*POINT)).alias("_p"))
-    cols = [F.transform("_p", lambda p, c=c: p[c]).alias(f"_{c}") for c in POINT]
+    cols = [F.col(f"_p.{c}").alias(f"_{c}") for c in POINT]
     blocks = pack.select(
         *group, *cols, F.size("_p").alias("n"),
         F.explode(F.sequence(F.lit(0), F.floor((F.size("_p") - 1) / BLOCK).cast("int"))).alias("_k"),

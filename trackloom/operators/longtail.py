@@ -16,19 +16,25 @@ def robust_z(df: DataFrame, columns: list[str], clip: float = 4.0) -> DataFrame:
 
     Missing values count as the median; a vanishing IQR falls back to the deviation, then to 1.
     """
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns
+    ])))
+    long = long.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    middle = bounded.quantile_columns(long, ["name"], F.col("value"), {"_fill": 0.5})
+    filled = long.join(middle, "name").withColumn("value", F.coalesce("value", "_fill"))
+    spread = bounded.quantile_columns(filled, ["name"], F.col("value"), {"_med": 0.5, "_q1": 0.25, "_q3": 0.75})
+    moments = filled.groupBy("name").agg(F.stddev_pop("value").alias("_sd"), F.first("_fill").alias("_fill"))
+    iqr = F.col("_q3") - F.col("_q1")
+    scale = F.when(iqr >= 1e-9, iqr).when(F.col("_sd") >= 1e-9, F.col("_sd")).otherwise(1.0)
+    one = spread.join(moments, "name").select("name", F.struct("_fill", "_med", scale.alias("_scale")).alias("_s"))
+    one = one.agg(F.map_from_entries(F.collect_list(F.struct("name", "_s"))).alias("_z"))
+    df = df.join(F.broadcast(one), F.lit(True), "left")  # one row holding a few numbers per column
     for c in columns:
-        med = bounded.quantile_columns(df, [], F.col(c), {"_fill": 0.5})
-        # One-row tables; broadcasting them is bounded by construction.
-        df = df.join(F.broadcast(med), F.lit(True), "left")
-        df = df.withColumn("_x", F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.col("_fill")))
-        qs = bounded.quantile_columns(df, [], F.col("_x"), {"_med": 0.5, "_q1": 0.25, "_q3": 0.75})
-        sd = df.agg(F.stddev_pop("_x").alias("_sd"))
-        df = df.join(F.broadcast(qs), F.lit(True), "left").join(F.broadcast(sd), F.lit(True), "left")
-        iqr = F.col("_q3") - F.col("_q1")
-        scale = F.when(iqr >= 1e-9, iqr).when(F.col("_sd") >= 1e-9, F.col("_sd")).otherwise(1.0)
-        z = F.greatest(F.lit(-clip), F.least(F.lit(clip), (F.col("_x") - F.col("_med")) / scale))
-        df = df.withColumn(f"z_{c}", F.coalesce(z, F.lit(0.0))).drop("_fill", "_x", "_med", "_q1", "_q3", "_sd")
-    return df
+        s = F.col("_z")[c]
+        x = F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), s["_fill"])
+        z = F.greatest(F.lit(-clip), F.least(F.lit(clip), (x - s["_med"]) / s["_scale"]))
+        df = df.withColumn(f"z_{c}", F.coalesce(z, F.lit(0.0)))
+    return df.drop("_z")
 
 
 def wrapped(angle: Column) -> Column:

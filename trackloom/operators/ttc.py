@@ -24,7 +24,7 @@ def window_values(df: DataFrame, horizon: float) -> DataFrame:
 
 
 def value_bin(value: Column) -> Column:
-    return F.least(F.lit(BINS - 1), F.floor(value * (BINS / TOP))).cast("int")
+    return F.when(value.isNotNull(), F.least(F.lit(BINS - 1), F.floor(value * (BINS / TOP)))).cast("int")
 
 
 def peaks_from_counts(counts: DataFrame, group: list[str]) -> DataFrame:

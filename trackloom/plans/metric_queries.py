@@ -509,7 +509,7 @@ SLICE_BLOCKS = [*V.PREDICTION_BLOCKS, _FEATS, _long_sql(_SLICE_FEATS), _SWEEP, _
     "row_number() OVER (PARTITION BY model ORDER BY round(rmse_x, 6), samples DESC, scope, feature, q_lo, q_hi) AS slice_rank, count(*) OVER (PARTITION BY model) AS slices_tried FROM sm", *SLICE_BLOCKS))
 def slice_metrics(spark, d):
     out = slices.slice_metrics(wide_predictions(spark, d), V.MODELS, _SLICE_FEATS, K.SWEEP_RANGES)
-    out = slices.ranked(out.withColumn("rmse_x", F.round("rmse_x", 6)), "rmse_x", ["model"])
+    out = slices.ranked(out.withColumn("_by", F.round("rmse_x", 6)), "_by", ["model"])
     return rounded(out.select("scope", "feature", "q_lo", "q_hi", "model", "samples", "rmse_x", "rmse_y", "slice_rank", "slices_tried"), ["rmse_x", "rmse_y"], 4)
 
 
@@ -642,13 +642,13 @@ _SHAPE_COLS = ["heading_change_rad", "acc_p95", "path_len", "net_displacement",
 
 
 def shapes(spark, d):
-    return longtail.track_shape(V.tracks(spark, d))
+    return V.landed(spark, d, "shapes", lambda: longtail.track_shape(V.tracks(spark, d)))
 
 
 @query("L1", with_blocks(
     "SELECT dataset, scene_id, recording, track_id, n_frames, " + ", ".join(f"round({c}, 5) AS {c}" for c in _SHAPE_COLS) + " FROM shape", V.TRACKS_SQL, _SHAPE))
 def track_shapes(spark, d):
-    return rounded(shapes(spark, d), _SHAPE_COLS, 5)
+    return rounded(longtail.track_shape(V.tracks(spark, d)), _SHAPE_COLS, 5)
 
 
 def _z_sql(c: str) -> str:
