@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from trackloom.functions import pathscore
 from trackloom.functions.columns import finite
 from trackloom.operators import bounded
 
@@ -16,12 +17,15 @@ def clean_polyline(points: DataFrame, keys: list[str], order: str = "seq") -> Da
     return rows.where(F.col("_px").isNull() | moved).drop("_px", "_py")
 
 
+def _steps(points: DataFrame, keys: list[str], order: str) -> DataFrame:
+    rows = bounded.previous_row(points, keys, [order], {"px": "x", "py": "y"})
+    return rows.withColumn(
+        "step_len", F.coalesce(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")), F.lit(0.0)))
+
+
 def arc_length(points: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
     """Adds the previous point (px, py), the step length and the arc length ``s``."""
-    rows = bounded.previous_row(points, keys, [order], {"px": "x", "py": "y"})
-    step = F.coalesce(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")), F.lit(0.0))
-    rows = rows.withColumn("step_len", step)
-    return bounded.running_sums(rows, keys, [order], {"s": F.col("step_len")})
+    return bounded.running_sums(_steps(points, keys, order), keys, [order], {"s": F.col("step_len")})
 
 
 def sample_grid(points: DataFrame, keys: list[str], n: int, lo: Column, hi: Column) -> DataFrame:
@@ -48,18 +52,26 @@ def sample_grid(points: DataFrame, keys: list[str], n: int, lo: Column, hi: Colu
 
 
 def resample(points: DataFrame, keys: list[str], n: int, order: str = "seq") -> DataFrame:
-    """n points equally spaced by arc length; a polyline without length repeats its first point."""
-    s = arc_length(points, keys, order)
-    total = s.groupBy(*keys).agg(F.max("s").alias("_total"), F.min_by(F.struct("x", "y"), order).alias("_first"))
-    placed = s.join(total.select(*keys, "_total"), keys)
+    """n points equally spaced by arc length; a polyline without length repeats its first point.
+
+    For tracks of any length. Short lines held as arrays use :func:`with_resampled`.
+    """
+    steps = _steps(points, keys, order)
+    total = steps.groupBy(*keys).agg(F.sum("step_len").alias("_total"), F.min_by(F.struct("x", "y"), order).alias("_first"))
+    s = bounded.running_sums(steps, keys, [order], {"s": F.col("step_len")})
+    placed = s.join(total.where(F.col("_total") > 1e-9).select(*keys, "_total"), keys)
     moving = sample_grid(placed, keys, n, F.lit(0.0), F.col("_total"))
     still = total.where(F.col("_total") <= 1e-9).select(
         *keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("seq"), "_first.x", "_first.y"
     )
-    moving = moving.join(total.where(F.col("_total") > 1e-9).select(*keys), keys, "left_semi")
     return moving.unionByName(still)
 
 
+def with_resampled(df: DataFrame, n: int, source: str = "line", name: str = "line") -> DataFrame:
+    """Adds the short line ``source`` resampled to n points as ``name`` (one Arrow call per batch)."""
+    return df.withColumn(name, pathscore.resample_lines(source, F.lit(n)))
+
+
 def to_array(points: DataFrame, keys: list[str], name: str = "line", order: str = "seq") -> DataFrame:
     """Ordered array of (x, y). Only for resampled, hence short, polylines."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), "x", "y")))
@@ -153,12 +165,14 @@ def self_intersects(line: Column) -> Column:
     index = F.sequence(F.lit(0), F.greatest(F.size(line) - 2, F.lit(0)))
     segs = F.transform(index, lambda i: F.struct(i.alias("i"), line[i].alias("a"), F.get(line, i + 1).alias("b")))
 
-    def ccw(p: Column, q: Column, r: Column) -> Column:
-        return (r["y"] - p["y"]) * (q["x"] - p["x"]) > (q["y"] - p["y"]) * (r["x"] - p["x"])
+    def side(p: Column, q: Column, r: Column) -> Column:
+        o = (r["y"] - p["y"]) * (q["x"] - p["x"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+        # Straight stretches are sampled on one line; rounding there must not count as a crossing.
+        return F.when(F.abs(o) > 1e-9, F.signum(o)).otherwise(0.0)
 
     def cross(s: Column, t: Column) -> Column:
         a, b, c, d = s["a"], s["b"], t["a"], t["b"]
-        return (ccw(a, c, d) != ccw(b, c, d)) & (ccw(a, b, c) != ccw(a, b, d))
+        return (side(a, c, d) * side(b, c, d) < 0) & (side(a, b, c) * side(a, b, d) < 0)
 
     hit = F.exists(segs, lambda s: F.exists(segs, lambda t: (t["i"] >= s["i"] + 2) & cross(s, t)))
     return F.when(F.size(line) < 4, False).otherwise(F.coalesce(hit, F.lit(False)))
@@ -207,7 +221,7 @@ def projection(points: DataFrame, vertices: DataFrame, keys: list[str]) -> DataF
 
     ``points``: keys, point, x, y. ``vertices``: one row per key with an array ``line``.
     """
-    v = vertices.withColumn("_arc", _arcs(F.col("line")))
+    v = vertices.withColumn("_arc", line_arcs(F.col("line")))
     df = points.join(v, keys)
     p = F.struct("x", "y")
     index = F.sequence(F.lit(0), F.size("line") - 2)
@@ -226,14 +240,14 @@ def projection(points: DataFrame, vertices: DataFrame, keys: list[str]) -> DataF
     return df.withColumn("_b", best).select(*points.columns, "_b.*")
 
 
-def _arcs(line: Column) -> Column:
+def line_arcs(line: Column) -> Column:
     steps = F.zip_with(F.slice(line, 1, F.size(line) - 1), F.slice(line, 2, F.size(line) - 1), gap)
     return F.aggregate(steps, F.array(F.lit(0.0)), lambda acc, v: F.array_append(acc, F.element_at(acc, -1) + v))
 
 
 def nearest_vertex(points: DataFrame, vertices: DataFrame, keys: list[str]) -> DataFrame:
     """Nearest vertex of a short path: arc length there, distance, index."""
-    df = points.join(vertices.withColumn("_arc", _arcs(F.col("line"))), keys)
+    df = points.join(vertices.withColumn("_arc", line_arcs(F.col("line"))), keys)
     index = F.sequence(F.lit(0), F.size("line") - 1)
     best = F.array_min(F.transform(index, lambda i: F.struct(
         F.hypot(F.col("x") - F.col("line")[i]["x"], F.col("y") - F.col("line")[i]["y"]).alias("distance"),

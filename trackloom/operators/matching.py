@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from trackloom import constants as K
 from trackloom.functions import columns as C, pathscore
 from trackloom.operators import bounded, geometry as G
+from trackloom.session import materialize
 
 SCENE = ["dataset", "scene_id"]
 TRACK = ["dataset", "scene_id", "track_id"]
@@ -84,10 +85,11 @@ def _refine(candidates: DataFrame, lines: DataFrame, variants: DataFrame, scale:
 def best_matches(lines: DataFrame, variants: DataFrame, scale: float = 1.0, top_k: int = 4) -> DataFrame:
     """Best variant per track: coarse top 3k, refined top k, then best and runner-up with ambiguity."""
     tie = [F.col("path_id"), F.col("invert")]
+    # Each stage scores with Python; its small result is written once instead of being computed again.
     coarse = bounded.top_per_group(coarse_scores(lines, variants), TRACK, [F.col("coarse"), *tie], max(KEEP_COARSE, 3 * top_k))
-    prelim = _refine(coarse, lines, variants, scale, False)
-    top = bounded.top_per_group(prelim.select(*TRACK, "path_id", "invert", "score"), TRACK, [F.col("score"), *tie], top_k)
-    final = _refine(top, lines, variants, scale, True)
+    prelim = _refine(materialize(coarse, "coarse"), lines, variants, scale, False).select(*TRACK, "path_id", "invert", "score")
+    top = materialize(bounded.top_per_group(prelim, TRACK, [F.col("score"), *tie], top_k), "top")
+    final = materialize(_refine(top, lines, variants, scale, True), "refined")
     # At most top_k rows per track from here on.
     w = W.partitionBy(*TRACK).orderBy("score", *tie)
     final = final.withColumns({
@@ -185,17 +187,19 @@ def assign(tracks: DataFrame, scenes: DataFrame, paths: DataFrame, rejects: Data
     between routes (NGSIM only), unassigned.
     """
     lines, verdicts = sampled_tracks(tracks, scenes)
+    lines = materialize(lines, "sampled")
     no = F.lit(False)
     out = _record(verdicts, ambiguous=no)
     if rejects is not None:
-        hit = best_matches(lines, directed(rejects.withColumnRenamed("reject_id", "path_id")), reject_scale, top_k).where("passed")
+        prototypes = materialize(directed(rejects.withColumnRenamed("reject_id", "path_id")), "prototypes")
+        hit = best_matches(lines, prototypes, reject_scale, top_k).where("passed")
         out = out.unionByName(_record(hit, status=F.lit("rejected_ignore_track"), reject_id=F.col("path_id"), path_id=F.lit(None), match_mode=F.lit(None)))
         lines = lines.join(hit.select(*TRACK), TRACK, "left_anti")
-    variants = directed(paths)
+    variants = materialize(directed(paths), "variants")
     match = best_matches(lines, variants, 1.0, top_k)
     out = out.unionByName(_record(match.where("passed"), status=F.lit("assigned"), match_mode=F.lit("shape")))
     open_ = lines.join(match.where("passed").select(*TRACK), TRACK, "left_anti")
-    lanes = lane_change_matches(open_.where(F.col("dataset") == "NGSIM"), variants)
+    lanes = materialize(lane_change_matches(open_.where(F.col("dataset") == "NGSIM"), variants), "lanes")
     full = _refine(lanes, lines, variants, 1.0, True).select(*TRACK, "path_id", "invert", "segment_mean", "lateral_mean", "lateral_p90", "frechet")
     lanes = lanes.join(full, [*TRACK, "path_id", "invert"], "left")
     out = out.unionByName(_record(lanes, status=F.lit("assigned"), match_mode=F.lit("initial_ref_path_lane_change"), ambiguous=no))

@@ -71,9 +71,7 @@ def overlaps(cands: DataFrame, scenes: DataFrame) -> DataFrame:
     Earlier means longer, then larger, then smaller id. A scene has few candidates.
     """
     c = cands.join(scenes.select(*SCENE, "unit"), SCENE).where((F.col("dataset") != "CitySim") & (F.size("line") >= 4))
-    points = c.select(*CLUSTER, F.posexplode("line").alias("seq", "p")).select(*CLUSTER, "seq", "p.x", "p.y")
-    c = c.join(G.to_array(G.resample(points, CLUSTER, 100), CLUSTER, "_p100"), CLUSTER).join(
-        G.to_array(G.resample(points, CLUSTER, 200), CLUSTER, "_p200"), CLUSTER)
+    c = G.with_resampled(G.with_resampled(c, 100, name="_p100"), 200, name="_p200")
     fields = ["cluster_id", "size", "length", "line", "_p100", "_p200"]
     a = c.select(*SCENE, "unit", *[F.col(f).alias(f"a_{f}") for f in fields])
     b = c.select(*SCENE, *[F.col(f).alias(f"b_{f}") for f in fields])
@@ -144,8 +142,8 @@ def manual_selection(cands: DataFrame, decisions: DataFrame, allow_missing: bool
 
 def final_paths(cands: DataFrame, id_prefix: str = "p") -> DataFrame:
     """Points of the final paths: 12 control points, 100 samples, geometry. Linear interpolation throughout."""
-    points = cands.select(*CLUSTER, F.posexplode("line").alias("seq", "p")).select(*CLUSTER, "seq", "p.x", "p.y")
-    dense = G.resample(G.resample(points, CLUSTER, 12), CLUSTER, 100)
+    line = G.with_resampled(G.with_resampled(cands, 12), 100)
+    dense = line.select(*CLUSTER, F.posexplode("line").alias("seq", "p")).select(*CLUSTER, F.col("seq").cast("long").alias("seq"), "p.x", "p.y")
     shaped = G.path_geometry(dense, CLUSTER)
     w = W.partitionBy(*SCENE).orderBy("cluster_id")
     names = cands.select(*CLUSTER, "size").withColumns({
@@ -162,8 +160,7 @@ def track_path_gaps(tracks: DataFrame, path_lines_: DataFrame, n: int = 100) ->
     """Mean distance between every track and every path of its scene, both resampled to n points."""
     keys = [*SCENE, "track_id"]
     t = G.to_array(G.resample(tracks.select(*keys, "frame", "x", "y"), keys, n, "frame"), keys, "track")
-    p = path_lines_.select(*SCENE, "path_id", F.posexplode("line").alias("seq", "p")).select(*SCENE, "path_id", "seq", "p.x", "p.y")
-    p = G.to_array(G.resample(p, [*SCENE, "path_id"], n), [*SCENE, "path_id"])
+    p = G.with_resampled(path_lines_, n)
     return t.join(p, SCENE).select(*keys, "path_id", G.mean_gap(F.col("track"), F.col("line")).alias("mean_gap"))
 
 

@@ -96,9 +96,8 @@ def mined_paths(spark, d):
     def build():
         rows = G.resample(lines(spark, d), KEY, 50).withColumn("cluster_id", F.col("track_id").cast("long") % 4)
         keys = [*SCENE, "cluster_id"]
-        mean = rows.groupBy(*keys, "seq").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-        size = rows.where("seq = 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
-        return routes.final_paths(G.to_array(mean, keys).join(size, keys))
+        mean = rows.groupBy(*keys, "seq").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("size"))
+        return routes.final_paths(G.to_array(mean, [*keys, "size"]))
     return V.landed(spark, d, "paths", build)
 
 
@@ -173,10 +172,9 @@ SELECT g.dataset, g.scene_id, g.path_id, round(min(mean_gap), 4) AS min_gap_to_t
        max(c.coverage) AS coverage, any_value(x.ok) AS geometry_ok
 FROM gaps g JOIN (SELECT dataset, scene_id, round(avg(CASE WHEN gap <= 35e-1 THEN 1e0 ELSE 0e0 END), 5) AS coverage FROM (
     SELECT dataset, scene_id, track_id, min(mean_gap) AS gap FROM gaps GROUP BY 1, 2, 3) GROUP BY 1, 2) c ON c.dataset = g.dataset AND c.scene_id = g.scene_id
-JOIN (SELECT a.dataset, a.scene_id, a.path_id, NOT bool_or(
-    ((b.y - a.y) * (b.nx - a.x) > (b.ny - a.y) * (b.x - a.x)) IS NULL OR (b.seq >= a.seq + 2
-     AND ((b.ny - a.y) * (b.x - a.x) > (b.y - a.y) * (b.nx - a.x)) <> ((b.ny - a.ny) * (b.x - a.nx) > (b.y - a.ny) * (b.nx - a.nx))
-     AND ((b.y - a.y) * (a.nx - a.x) > (a.ny - a.y) * (b.x - a.x)) <> ((b.ny - a.y) * (a.nx - a.x) > (a.ny - a.y) * (b.nx - a.x)))) AS ok
+JOIN (SELECT a.dataset, a.scene_id, a.path_id, NOT bool_or(b.seq >= a.seq + 2
+     AND (CASE WHEN abs((b.ny - a.y) * (b.x - a.x) - (b.y - a.y) * (b.nx - a.x)) > 1e-9 THEN sign((b.ny - a.y) * (b.x - a.x) - (b.y - a.y) * (b.nx - a.x)) ELSE 0 END) * (CASE WHEN abs((b.ny - a.ny) * (b.x - a.nx) - (b.y - a.ny) * (b.nx - a.nx)) > 1e-9 THEN sign((b.ny - a.ny) * (b.x - a.nx) - (b.y - a.ny) * (b.nx - a.nx)) ELSE 0 END) < 0
+     AND (CASE WHEN abs((b.y - a.y) * (a.nx - a.x) - (a.ny - a.y) * (b.x - a.x)) > 1e-9 THEN sign((b.y - a.y) * (a.nx - a.x) - (a.ny - a.y) * (b.x - a.x)) ELSE 0 END) * (CASE WHEN abs((b.ny - a.y) * (a.nx - a.x) - (a.ny - a.y) * (b.nx - a.x)) > 1e-9 THEN sign((b.ny - a.y) * (a.nx - a.x) - (a.ny - a.y) * (b.nx - a.x)) ELSE 0 END) < 0) AS ok
   FROM seg a JOIN seg b ON a.dataset = b.dataset AND a.scene_id = b.scene_id AND a.path_id = b.path_id GROUP BY 1, 2, 3) x
   ON x.dataset = g.dataset AND x.scene_id = g.scene_id AND x.path_id = g.path_id
 GROUP BY 1, 2, 3""", *GAP_BLOCKS,
@@ -215,11 +213,11 @@ segs2 AS (SELECT * FROM (SELECT *, lead(x) OVER t AS nx, lead(y) OVER t AS ny FR
 cross_ AS (SELECT t.dataset, t.scene_id, t.track_id, t.seq, t.x, t.y, g.path_id, g.seq AS segment, g.x AS gx, g.y AS gy, g.nx - g.x AS vx, g.ny - g.y AS vy, g.s AS gs
            FROM r12 t JOIN segs2 g ON t.dataset = g.dataset AND t.scene_id = g.scene_id),
 clamped AS (SELECT *, greatest(0, least(1, ((x - gx) * vx + (y - gy) * vy) / greatest(vx * vx + vy * vy, 1e-12))) AS u FROM cross_),
-hits AS (SELECT *, gs + u * sqrt(vx * vx + vy * vy) AS s, sqrt(pow(x - gx - u * vx, 2) + pow(y - gy - u * vy, 2)) AS lateral FROM clamped)"""
+hits AS (SELECT *, gs + u * sqrt(vx * vx + vy * vy) AS s, sqrt(pow(x - gx - u * vx, 2) + pow(y - gy - u * vy, 2)) AS side FROM clamped)"""
 
 
 @query("R9", with_blocks(
-    "SELECT dataset, scene_id, track_id, path_id, seq, round(min(lateral), 4) AS lateral, round(min_by(s, (round(lateral, 7), segment)), 2) AS s FROM hits GROUP BY 1, 2, 3, 4, 5", *PATH_BLOCKS, _PROJECT))
+    "SELECT dataset, scene_id, track_id, path_id, seq, round(min(side), 4) AS \"lateral\", round(min_by(s, (round(side, 7), segment)), 2) AS s FROM hits GROUP BY 1, 2, 3, 4, 5", *PATH_BLOCKS, _PROJECT))
 def projections(spark, d):
     points = G.resample(lines(spark, d), KEY, 12)
     paths = routes.path_lines(mined_paths(spark, d)).join(points.select(*KEY).distinct(), SCENE)
