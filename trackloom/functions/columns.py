@@ -79,7 +79,7 @@ def plausible_pair(
     def within(a: Column, limit: float) -> Column:
         return F.abs(a.cast("double")) <= limit
 
-    ax, ay, bx, by = action[0], action[1], following[0], following[1]
+    ax, ay, bx, by = (F.get(a, F.lit(i)) for a in (action, following) for i in (0, 1))
     gate = [finite(c) for c in (ax, ay, bx, by)]
     gate += [within(ax, ax_limit), within(bx, ax_limit), within(ay, ay_limit), within(by, ay_limit)]
     gate += [within(bx - ax, dax_limit), within(by - ay, day_limit)]

@@ -48,19 +48,21 @@ def cut_windows(
     picked = F.struct(step, "frame", "features", "action", *extra)
     out = cut.groupBy(*keys, "_chunk", "_w").agg(F.array_sort(F.collect_list(picked)).alias("_rows"))
     r = F.col("_rows")
-    out = out.where((F.size(r) == span) & (r[span - 1]["frame"] - r[0]["frame"] == span - 1))
+    # get() yields null instead of failing: the optimizer may look at a short window before dropping it.
+    at = lambda i: F.get(r, F.lit(i))
+    out = out.where((F.size(r) == span) & (at(span - 1)["frame"] - at(0)["frame"] == span - 1))
 
     def part(field: str, start: int, n: int) -> Column:
         return F.transform(F.slice(r, start + 1, n), lambda x: x[field])
 
     return out.select(
         *keys,
-        r[history - 1]["frame"].alias("frame_k"),
-        r[history]["frame"].alias("frame_next"),
+        at(history - 1)["frame"].alias("frame_k"),
+        at(history)["frame"].alias("frame_next"),
         part("features", 0, history).alias("state"),
-        r[history]["action"].alias("action"),
+        at(history)["action"].alias("action"),
         part("features", 1, history).alias("next_state"),
-        r[history + 1]["action"].alias("next_action"),
+        at(history + 1)["action"].alias("next_action"),
         *[part(name, 0, history).alias(name) for name in extra],
     )
 

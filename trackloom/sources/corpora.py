@@ -90,7 +90,8 @@ def _canonical(df: DataFrame, corpus: str, **cols: Column) -> DataFrame:
         "dataset": F.lit(corpus), "heading": F.lit(None).cast("double"), "speed": F.lit(None).cast("double"),
         "lane_id": F.lit(None).cast("long"), "agent_type": F.lit("vehicle"), **cols,
     }
-    rest = [c for c in df.columns if c not in {*named}]
+    taken = {n.lower() for n in named}
+    rest = [c for c in df.columns if c.lower() not in taken]
     return df.select(*[c.alias(n) for n, c in named.items()], *rest)
 
 

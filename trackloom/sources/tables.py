@@ -10,12 +10,20 @@ ASSIGNMENT_SCHEMA = (
     "dataset string, scene_id string, assignments array<struct<track_id:string,status:string,path_id:string,invert:boolean,score:double,"
     "reject_id:string,best_alt_path_id:string,ambiguous:boolean,match_mode:string>>")
 REQUIRED = ["state", "action", "next_state", "next_action"]
-DOMAINS = {"cn": ["CitySim", "DJI", "sinD"], "us": ["NGSIM"], "eu": ["HighD", "inD"]}
-
-
-def read_assignments(spark: SparkSession, root: str, require_path_id: bool = False, scenes: DataFrame | None = None) -> DataFrame:
-    """Keys of assigned tracks from one JSON per scene. Scenes without a file are an error."""
-    files = spark.read.schema(ASSIGNMENT_SCHEMA).option("multiLine", True).json(f"{root.rstrip('/')}/*/*.json")
+# Fixed names: the training and evaluation domains.
+DOMAINS = {
+    "DE": ["HighD", "inD"],
+    "US": ["NGSIM", "CitySim"],
+    "CN": ["DJI", "sinD"],
+    "INTERACTION_EXT": ["INTERACTION_CHN", "INTERACTION_DEU", "INTERACTION_USA"],
+    "SIX_DATASETS": ["HighD", "inD", "CitySim", "sinD", "NGSIM", "DJI"],
+}
+
+
+def read_assignments(spark: SparkSession, root: str, require_path_id: bool = False, scenes: DataFrame | None = None,
+                     one_document_per_file: bool = True) -> DataFrame:
+    """Keys of assigned tracks from one JSON per scene (or JSON lines). Scenes without a document are an error."""
+    files = spark.read.schema(ASSIGNMENT_SCHEMA).option("multiLine", one_document_per_file).json(f"{root.rstrip('/')}/*/*.json")
     if scenes is not None:
         missing = scenes.select("dataset", "scene_id").distinct().join(files, ["dataset", "scene_id"], "left_anti")
         if not missing.isEmpty():
