@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trackloom.functions import columns as C
 from trackloom.operators import cleaning, kinematics, neighbors, transitions
+from trackloom.session import materialize
 
 TRACK = ["dataset", "scene_id", "recording", "track_id"]
 
@@ -99,6 +100,9 @@ def build_windows(corpus: str, rows: DataFrame, assigned: DataFrame | None = Non
     """Consecutive windows with a boolean ``kept`` for the corpus's gates."""
     spec = SPECS[corpus]
     pop = population(corpus, rows, assigned)
+    if spec.motion != "given":
+        # Smoothing is Python work; neighbours and windows read its written result.
+        pop = materialize(pop, "population")
     motion = ["vx", "vy", "ax", "ay"]
     if spec.neighbors == "ids":
         near = neighbors.neighbor_id_distances(pop, carry=motion)
