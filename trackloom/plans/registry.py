@@ -19,13 +19,19 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 
+def plain_types(df: DataFrame) -> DataFrame:
+    """Integers as bigint, so that both engines agree on the result type."""
+    narrow = [f.name for f in df.schema.fields if f.dataType.typeName() in {"integer", "short", "byte"}]
+    return df.withColumns({n: F.col(n).cast("long") for n in narrow}) if narrow else df
+
+
 def query(covers: str, sql: str | None = None):
     """Register the decorated function under its own name; ``covers`` lists survey ids."""
 
     def add(fn):
         if fn.__name__ in QUERIES:
             raise ValueError(f"duplicate query {fn.__name__}")
-        QUERIES[fn.__name__] = Query(fn.__name__, fn, sql, tuple(covers.split()))
+        QUERIES[fn.__name__] = Query(fn.__name__, lambda spark, folder: plain_types(fn(spark, folder)), sql, tuple(covers.split()))
         return fn
 
     return add

@@ -67,21 +67,17 @@ def scene_columns(corpus: str, path: Column) -> dict[str, Column]:
     raise ValueError(f"unknown corpus {corpus!r}")
 
 
-def scan(spark: SparkSession, corpus: str, root: str, extra: list[str] = ()) -> DataFrame:
+def scan(spark: SparkSession, corpus: str, root: str) -> DataFrame:
     """Raw rows with path columns and a source ordinal (file order, fixed before any shuffle).
 
-    Columns a file does not have come back null; columns it has in another order are matched by name.
+    Types are applied by column name, never inferred; columns the files do not have come back null.
     """
-    schema = T.StructType([T.StructField(c, t) for c, t in RAW[corpus].items()])
-    pattern = f"{root.rstrip('/')}/{GLOBS[corpus]}"
-    header = spark.read.option("header", True).csv(pattern)
-    # Header names only: the scan itself is typed by name, never by inference.
-    typed = []
-    for name, kind in RAW[corpus].items():
-        typed.append(F.col(name).try_cast(kind).alias(name) if name in header.columns else F.lit(None).cast(kind).alias(name))
-    path = F.col("_metadata.file_path")
-    df = header.select(*typed, path.alias("_path"), F.monotonically_increasing_id().alias("ordinal"))
-    assert {f.name for f in schema} <= set(df.columns)
+    raw = spark.read.option("header", True).csv(f"{root.rstrip('/')}/{GLOBS[corpus]}")
+    typed = [
+        (F.col(name).try_cast(kind) if name in raw.columns else F.lit(None).cast(kind)).alias(name)
+        for name, kind in RAW[corpus].items()
+    ]
+    df = raw.select(*typed, F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("ordinal"))
     return df.withColumns(scene_columns(corpus, F.col("_path"))).drop("_path")
 
 
