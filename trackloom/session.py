@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,17 +35,43 @@ def local_session(cores: int = 8, app: str = "trackloom", memory: str = "8g") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it; a local one only if unset."""
+    """The folder that all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Unset, a temporary folder serves a local master, where driver and executors are one process; on a cluster that is
+    an error, since each machine would write to its own disk.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="trackloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def materialize(df, label: str = "cut"):
-    """Write a DataFrame to the shared folder and read it back: cuts lineage and survives executor loss."""
+    """Write a DataFrame to the shared folder and read it back: cuts lineage and survives executor loss.
+
+    The table goes when the application ends, or earlier through ``discard``.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, target = _file_system(spark, path)
+    files.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._trackloom_path = path
+    return out
+
+
+def discard(df) -> None:
+    """Delete a materialized table that no later plan reads."""
+    path = getattr(df, "_trackloom_path", None)
+    if path:
+        files, target = _file_system(df.sparkSession, path)
+        files.delete(target, True)
