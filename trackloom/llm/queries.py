@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackloom.llm import mixing, quality, sharding
+from trackloom.llm import language, mixing, quality, secret_scan, sharding, url_cascade
 from trackloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,42 @@ def op9_lookup_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "copies")
+
+
+@register
+def op7_rank_order_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
+@register
+def op6_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan(table(spark, folder, "documents"))
+
+
+@register
+def op2_url_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    return url_cascade.judge(table(spark, folder, "pages"))
+
+
+SQL["op2_url_cascade"] = r"""
+WITH parts AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+rules(rule_host, rule_path, rule_verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+  ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fits AS (
+  SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+    arg_max(rule_verdict, length(rule_host || rule_path)) AS rule_verdict
+  FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id),
+listed AS (
+  SELECT DISTINCT host AS listed_host FROM parts
+  WHERE regexp_matches(host, '(^|[.-])(spam|casino|adult|malware|phishing)([.-]|$)')),
+on_list AS (SELECT DISTINCT page_id FROM parts JOIN listed ON host = listed_host OR ends_with(host, '.' || listed_host))
+SELECT p.page_id, p.host, p.path, f.rule,
+  coalesce(f.rule_verdict, CASE WHEN o.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts p LEFT JOIN fits f USING (page_id) LEFT JOIN on_list o USING (page_id)
+"""
