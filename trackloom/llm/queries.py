@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackloom.llm import language, mixing, quality, secret_scan, sharding, url_cascade
+from trackloom.llm import decontamination, language, mixing, quality, secret_scan, sharding, simhash, url_cascade, vector_tree
 from trackloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,45 @@ SELECT p.page_id, p.host, p.path, f.rule,
   coalesce(f.rule_verdict, CASE WHEN o.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts p LEFT JOIN fits f USING (page_id) LEFT JOIN on_list o USING (page_id)
 """
+
+
+@register
+def op1_positional_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+SQL["op1_positional_decontamination"] = r"""
+WITH lowered AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS words
+  FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS words
+  FROM benchmark),
+wins AS (
+  SELECT DISTINCT item_id, array_to_string(words[i : i + 9], ' ') AS win, least(10, len(words)) AS n
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM items WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT n FROM wins),
+places AS (
+  SELECT doc_id, i, n, array_to_string(words[i : i + n - 1], ' ') AS win
+  FROM (SELECT doc_id, words, n, unnest(range(1, greatest(len(words) - n + 2, 1))) AS i FROM lowered, sizes WHERE len(words) >= n)),
+found AS (SELECT doc_id, i, n, item_id FROM places JOIN wins USING (win, n)),
+hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM found)) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT l.doc_id, coalesce(len(l.words), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM lowered l LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+@register
+def op8_bit_sliced_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@register
+def op5_tree_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_tree.search(table(spark, folder, "embeddings"))
