@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackloom.llm import decontamination, language, mixing, quality, secret_scan, sharding, simhash, url_cascade, vector_tree
+from trackloom.llm import decontamination, language, mixing, quality, repeated_spans, secret_scan, sharding, simhash, url_cascade, vector_tree
 from trackloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,8 @@ def op8_bit_sliced_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op5_tree_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return vector_tree.search(table(spark, folder, "embeddings"))
+
+
+@register
+def op3_suffix_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_spans.deduplicate(table(spark, folder, "documents"))
