@@ -9,14 +9,14 @@ where suffixes of different documents must meet:
 1. Every string of ``LENGTH`` bytes has one owner, the suffix with the least 40-byte identifier inside it. A run of
    consecutive strings with one owner is one row: its bucket (the owner's identifier) and its text's identifier. Buckets
    with a single suffix are settled and dropped. Of runs with equal text all but the first are repeats throughout.
-2. First runs that share a bucket with another text are refined to their single strings, by an identifier of 128 bits;
+2. First runs that share a bucket with another text are refined to their single strings, by an identifier of 96 bits;
    those that are not the first of their string are repeats.
 
 About one row for 30 bytes is shuffled in step 1, and step 2 sees the ends of repeated passages only. Equal rows inside a
 piece of text are resolved before they are shuffled, and buckets that fill up everywhere (a very common passage before
 different texts) are found by a first pass and dealt out by text identifier, so no bucket is one task.
 
-Identifiers of a run's text have 64 bits next to the bucket's own 64, single strings have 128 bits; different strings
+Identifiers of a run's text have 64 bits next to the bucket's own 64, single strings have 96 bits; different strings
 with equal identifiers are not expected at any corpus size. Defined results: null text counts as empty; texts shorter
 than ``LENGTH`` lose nothing; a null doc_id comes last; rows that repeat a doc_id with another text are separate
 documents, in the order of a hash of the text; rows equal in both are one document and get equal results.
@@ -71,7 +71,7 @@ def buckets(data: np.ndarray) -> np.ndarray:
 
 
 def string_names(eight: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for the LENGTH bytes at each offset in ``at``."""
+    """Two numbers of 64 bits for the LENGTH bytes at each offset in ``at``."""
     a, b = np.full(len(at), 0x243F6A8885A308D3, np.uint64), np.full(len(at), 0x13198A2E03707344, np.uint64)
     for offset in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
         word = eight[at + offset]
@@ -134,7 +134,7 @@ def repeats(keys: tuple[np.ndarray, ...], doc: np.ndarray, at: np.ndarray) -> tu
     return order, again & ((d != d[first]) | (p != p[first]))
 
 
-FIRST = "deal long, bucket long, name long, doc long, at long, settled boolean"
+FIRST = "salt int, bucket long, name long, doc long, at long, settled boolean"
 
 
 def run_rows(docs: DataFrame, crowded: np.ndarray) -> DataFrame:
@@ -148,10 +148,11 @@ def run_rows(docs: DataFrame, crowded: np.ndarray) -> DataFrame:
                 at = place(mark[row], s - bounds[row] + base[row], span)
                 order, again = repeats((bucket, name), doc[row], at)
                 bucket, name, d, at = bucket[order], name[order], doc[row][order], at[order]
-                deal = np.where(np.isin(bucket, crowded), refine(bucket, name), bucket)
-                deal = np.where(again, refine(d.view(np.uint64), at.view(np.uint64)), deal)
-                columns = [x.view(np.int64) for x in (deal, bucket, name)] + [d, at, again]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["deal", "bucket", "name", "doc", "at", "settled"])
+                # Crowded buckets are dealt out by text; settled rows need no neighbours, only a place to go.
+                salt = np.where(again, refine(d.view(np.uint64), at.view(np.uint64)), np.where(np.isin(bucket, crowded), refine(bucket, name), np.uint64(0)))
+                bucket, name = (np.where(again, np.uint64(0), x).view(np.int64) for x in (bucket, name))
+                columns = [(salt >> np.uint64(33)).astype(np.int32), bucket, name, d, at, again]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["salt", "bucket", "name", "doc", "at", "settled"])
 
     return docs.mapInArrow(make, FIRST)
 
@@ -270,7 +271,8 @@ def single_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         else:
             a, c, d, at = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         (done_doc, done_at), end = map(np.concatenate, zip(*done)), np.concatenate(ends)
-        columns = [np.concatenate((a.view(np.int64), refine(done_doc.view(np.uint64), done_at.view(np.uint64)).view(np.int64))), np.concatenate((c.view(np.int64), end)),
+        short = (c >> np.uint64(32)).astype(np.uint32).view(np.int32)  # 96 bits of the name are enough to meet by
+        columns = [np.concatenate((a.view(np.int64), refine(done_doc.view(np.uint64), done_at.view(np.uint64)).view(np.int64))), np.concatenate((short, end.astype(np.int32))),
                    np.concatenate((d, done_doc)), np.concatenate((at, done_at)), np.concatenate((np.zeros(len(a), bool), np.ones(len(end), bool)))]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["deal", "name", "doc", "at", "settled"])
 
@@ -294,25 +296,27 @@ def settle_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             again = np.zeros(0, bool)
         out_doc, out_at = np.concatenate((d[again], doc[settled])), np.concatenate((p[again], at[settled]))
         begin = out_at >> SPAN_BITS & ((1 << OFFSET_BITS) - 1)
-        end = np.concatenate((begin[: again.sum()] + LENGTH, name[settled]))
+        end = np.concatenate((begin[: again.sum()] + LENGTH, name[settled].astype(np.int64)))
         yield pa.RecordBatch.from_arrays([pa.array(out_doc), pa.array(out_at >> (OFFSET_BITS + SPAN_BITS)), pa.array(begin << 31 | (end - begin))], ["doc", "mark", "cut"])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc (null last), mark (the bits that tell apart equal ids), doc_id and text."""
+    """doc (null last), mark (bits that tell apart rows of an id that is repeated, else 0), doc_id and text."""
     doc_id = F.col("doc_id").cast("long")
-    mark = text_mark(F.col("text")).bitwiseAND(F.lit((1 << MARK_BITS) - 1))
-    return docs.select(F.coalesce(doc_id, F.lit(LAST_ID)).alias("doc"), mark.alias("mark"), doc_id.alias("doc_id"), "text")
+    rows = docs.select(F.coalesce(doc_id, F.lit(LAST_ID)).alias("doc"), doc_id.alias("doc_id"), "text")
+    repeated = materialize(rows.groupBy(F.col("doc").alias("again")).count().where("count > 1").select("again"), "repeated-ids")
+    mark = F.when(F.col("again").isNotNull(), text_mark(F.col("text")).bitwiseAND(F.lit((1 << MARK_BITS) - 1))).otherwise(0)
+    return rows.join(repeated, F.col("doc") == F.col("again"), "left").select("doc", mark.cast("long").alias("mark"), "doc_id", "text")
 
 
-def removed_ranges(docs: DataFrame) -> DataFrame:
-    """doc, mark and cuts (begin << 31 | length) of every document that loses something."""
-    rows = keyed(docs).select("doc", "mark", "text")
+def removed_ranges(rows: DataFrame) -> DataFrame:
+    """rows: see ``keyed``. doc, mark and cuts (begin << 31 | length) of every document that loses something."""
+    rows = rows.select("doc", "mark", "text")
     crowded = crowded_buckets(rows)
-    dealt = run_rows(rows, crowded).repartition("deal").sortWithinPartitions("bucket", "name", "doc", "at")
+    dealt = run_rows(rows, crowded).repartition("bucket", "salt").sortWithinPartitions("bucket", "name", "doc", "at")
     flagged = dealt.mapInArrow(settle_runs(crowded), "doc long, mark long, run long")
     flagged = materialize(flagged.groupBy("doc", "mark").agg(F.collect_list("run").alias("runs")), "flagged-runs")
-    strings = rows.join(flagged, ["doc", "mark"]).mapInArrow(single_strings, "deal long, name long, doc long, at long, settled boolean")
+    strings = rows.join(flagged, ["doc", "mark"]).mapInArrow(single_strings, "deal long, name int, doc long, at long, settled boolean")
     cuts = strings.repartition("deal").sortWithinPartitions("deal", "name", "doc", "at").mapInArrow(settle_strings, "doc long, mark long, cut long")
     return materialize(cuts.groupBy("doc", "mark").agg(F.collect_list("cut").alias("cuts")), "cuts")
 
@@ -353,6 +357,6 @@ def deduplicate(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs``; and, if asked for, the kept bytes
     (a cut may fall inside a character, so they are binary)."""
     rows = keyed(docs)
-    joined = rows.join(removed_ranges(docs), ["doc", "mark"], "left").select("doc_id", "text", "cuts")
+    joined = rows.join(removed_ranges(rows), ["doc", "mark"], "left").select("doc_id", "text", "cuts")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     return joined.mapInArrow(lambda batches: _apply(batches, with_text), schema)
