@@ -231,10 +231,22 @@ def _from(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(count.sum()) + np.repeat(begin - np.concatenate(([0], np.cumsum(count)[:-1])), count)
 
 
+def merged_ranges(doc: np.ndarray, mark: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges of bytes that touch or overlap, joined within each document."""
+    order = np.lexsort((begin, mark, doc))
+    doc, mark, begin, end = doc[order], mark[order], begin[order], end[order]
+    change = np.concatenate(([True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])))[: len(doc)]
+    group = np.cumsum(change) << 32  # keeps the running maximum of ends inside a document
+    upto = np.maximum.accumulate(group + end) if len(end) else end
+    first = np.flatnonzero(change | np.concatenate(([True], group[1:] + begin[1:] > upto[:-1]))[: len(doc)])
+    last = np.append(first[1:], len(doc)) - 1 if len(first) else first
+    return doc[first], mark[first], begin[first], (upto - group)[last]
+
+
 def single_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From documents with their flagged runs: the strings of first runs with their names, and repeats as they are.
 
-    Rows: deal and name are the string's name, or of a settled repeat the end of the removed bytes is in name.
+    Rows: deal and name are the string's name; a settled row is a range of repeats, with its end in name.
     """
     for b in batches:
         data, bounds = text_bytes(b.column("text"))
@@ -270,7 +282,10 @@ def single_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             a, c, d, at = (x[~again] for x in (a, c, d, at))
         else:
             a, c, d, at = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        (done_doc, done_at), end = map(np.concatenate, zip(*done)), np.concatenate(ends)
+        done_doc, done_at = map(np.concatenate, zip(*done))
+        offset = done_at >> SPAN_BITS & ((1 << OFFSET_BITS) - 1)
+        done_doc, done_mark, offset, end = merged_ranges(done_doc, done_at >> (OFFSET_BITS + SPAN_BITS), offset, np.concatenate(ends))
+        done_at = place(done_mark, offset)
         short = (c >> np.uint64(32)).astype(np.uint32).view(np.int32)  # 96 bits of the name are enough to meet by
         columns = [np.concatenate((a.view(np.int64), refine(done_doc.view(np.uint64), done_at.view(np.uint64)).view(np.int64))), np.concatenate((short, end.astype(np.int32))),
                    np.concatenate((d, done_doc)), np.concatenate((at, done_at)), np.concatenate((np.zeros(len(a), bool), np.ones(len(end), bool)))]
