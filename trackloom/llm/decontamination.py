@@ -89,12 +89,17 @@ def phrase_matches(docs: DataFrame, index: DataFrame, plan: DataFrame) -> DataFr
     found = alignments(index, plan).groupBy(F.col("doc_id").alias("found_id"), F.col("mark").alias("found_mark")).agg(
         F.collect_set(F.struct("win_id", "start", "n")).alias("places"))
     found = materialize(found, "alignments")
+    # Their narrow keys alone cut the corpus down first: where these are small enough to be broadcast, only texts with an
+    # alignment are moved, and otherwise both joins use one exchange.
+    keys = materialize(found.select(F.col("found_id").alias("key_id"), F.col("found_mark").alias("key_mark")), "aligned")
     parts, _ = word_pieces(F.col("text"))
     docs = docs.select("doc_id", "text")
+    docs = docs.join(keys, same_row(docs, "key_id", "key_mark"), "left_semi")
     spread = docs.join(found, same_row(docs, "found_id", "found_mark")).select(
         "doc_id", F.col("found_mark").alias("mark"), parts.alias("parts"), F.explode("places").alias("at")
     ).select("doc_id", "mark", "at.*", F.array_join(F.slice("parts", F.col("at.start") + 1, F.col("at.n")), " ").alias("win"))
-    return spread.join(plan.select("win_id", "win"), ["win_id", "win"], "left_semi").select("doc_id", "mark", "start", "n", "win").distinct()
+    matches = spread.join(plan.select("win_id", "win"), ["win_id", "win"], "left_semi").select("doc_id", "mark", "start", "n", "win").distinct()
+    return materialize(matches, "matches")
 
 
 def proximity_matches(index: DataFrame, plan: DataFrame, slack: int = WINDOW) -> DataFrame:
