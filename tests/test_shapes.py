@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.functions import pathscore, smoothing
+from trackloom.functions import smoothing
 from trackloom.operators import clustering, distribution, geometry as G, kinematics, matching, routes
 
 KEYS = ["dataset", "scene_id", "track_id"]
@@ -67,7 +67,7 @@ def test_frechet_and_self_intersection(spark):
     df = spark.createDataFrame([(i, to(a), to(b)) for i, (a, b) in enumerate(pairs)], "i int, a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
     for r in df.select("i", G.discrete_frechet(F.col("a"), F.col("b")).alias("f")).collect():
         a, b = pairs[r.i]
-        assert r.f == pytest.approx(frechet(a, b)) == pytest.approx(pathscore._frechet(a, b))
+        assert r.f == pytest.approx(frechet(a, b))
     cross = [(0, 0), (2, 2), (2, 0), (0, 2)]
     straight = [(i * 0.1, i * 0.3) for i in range(30)]
     got = spark.createDataFrame([(1, to(cross)), (2, to(straight)), (3, to(cross[:3]))], "i int, l array<struct<x:double,y:double>>").select(
@@ -156,3 +156,37 @@ def test_mmd_of_equal_samples_is_zero_and_blocks_add_up(spark):
     n = len(p)
     want = (k(p, p).sum() - n) / (n * (n - 1)) + (k(t, t).sum() - n) / (n * (n - 1)) - 2 * k(p, t).mean()
     assert got["m"] == pytest.approx(want, abs=1e-10) and got["same"] == pytest.approx(0.0, abs=1e-12)
+
+
+def test_short_paths_match_nothing(spark):
+    to = lambda a: [{"x": float(x), "y": float(y)} for x, y in a]
+    schema = "dataset string, scene_id string, path_id string, line array<struct<x:double,y:double>>"
+    paths = spark.createDataFrame([("d", "s", "dot", to([(1, 1)])), ("d", "s", "still", to([(1, 1)] * 3)), ("d", "s", "fine", to([(0, 0), (0, 0), (5, 0)]))], schema)
+    got = {(r.path_id, r.invert): len(r.line) for r in matching.directed(paths).collect()}
+    assert got == {("fine", False): 2, ("fine", True): 2}
+
+
+def test_fit_of_a_track_to_a_path(spark):
+    """Scores against the definitions in plain numpy."""
+    from trackloom.operators import pathfit
+    rng = np.random.default_rng(3)
+    to = lambda a: [{"x": float(x), "y": float(y)} for x, y in a]
+    at, q = np.linspace(0, 60, 80), np.linspace(-5, 70, 100)
+    cases = [(np.c_[at, 3 * np.sin(at / 9) + i][:: -1 if i == 2 else 1], np.c_[q, 3 * np.sin(q / 9) + rng.normal(0, 0.2, 100)]) for i in range(3)]
+    df = spark.createDataFrame([(i, to(a), to(b)) for i, (a, b) in enumerate(cases)], "i int, track array<struct<x:double,y:double>>, line array<struct<x:double,y:double>>")
+    for r in pathfit.scored(df).collect():
+        track, line = cases[r.i]
+        v, arc = np.diff(line, axis=0), np.r_[0, np.cumsum(np.hypot(*np.diff(line, axis=0).T))]
+        near = []
+        for p in track:
+            u = np.clip([(p - a) @ w / (w @ w) for a, w in zip(line, v)], 0, 1)
+            d = np.hypot(*(p - line[:-1] - u[:, None] * v).T)
+            near.append((d.min(), arc[d.argmin()] + u[d.argmin()] * np.hypot(*v[d.argmin()]), v[d.argmin()] / np.hypot(*v[d.argmin()])))
+        d, s, t = (np.array(x) for x in zip(*near))
+        g = np.gradient(track, axis=0)
+        dots = (g / np.linalg.norm(g, axis=1)[:, None] * t).sum(1)
+        even = lambda p, a, w: np.c_[np.interp(w, a, p[:, 0]), np.interp(w, a, p[:, 1])]
+        own = np.r_[0, np.cumsum(np.hypot(*np.diff(track, axis=0).T))]
+        e, l = even(track, own, np.linspace(0, own[-1], 80)), even(line, arc, np.linspace(*np.percentile(s, [2, 98]), 80))
+        want = [np.linalg.norm(e - l, axis=1).mean(), d.mean(), np.percentile(d, 90), frechet(e[::4], l[::4]), dots.mean(), dots[0], dots[-1], (np.diff(s) >= -1e-6).mean()]
+        np.testing.assert_allclose([r.segment_mean, r.lateral_mean, r.lateral_p90, r.frechet, r.direction, r.start_dot, r.end_dot, r.monotonic], want, atol=1e-9)

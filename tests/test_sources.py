@@ -76,3 +76,35 @@ def test_dropped_vehicles_are_invisible_as_neighbours(spark):
     both = df.select("dataset", "scene_id", "track_id").distinct()
     gap = lambda a: build.build_transitions("inD", df, a).where("track_id = '1'").select(F.col("state")[0][7].alias("v")).first().v
     assert gap(only) == -1.0 and gap(both) == 5.0
+
+
+def test_columns_go_by_name_over_files(spark, tmp_path):
+    """Two files with the same columns in another order; one with a column less."""
+    head = "Vehicle_ID,Frame_ID,Local_X,Local_Y,v_Length,v_Width,v_Class,v_Vel,v_Acc,Lane_ID"
+    put(tmp_path / "trajectories-a.csv", head, "2,13,10,100,14,5,2,40,0,2")
+    put(tmp_path / "trajectories-b.csv", "Frame_ID,Vehicle_ID,Local_Y,Local_X,v_Length,v_Width,v_Class,v_Vel,v_Acc,Lane_ID", "1,7,100,10,14,5,2,40,0,2")
+    put(tmp_path / "trajectories-c.csv", head.replace(",Lane_ID", ""), "3,5,10,100,14,5,2,40,0")
+    rows = {r.scene_id: r for r in corpora.read_corpus(spark, "NGSIM", str(tmp_path)).collect()}
+    assert [(rows[f"NGSIM_{k}"].track_id, rows[f"NGSIM_{k}"].frame, rows[f"NGSIM_{k}"].lane_id) for k in "abc"] == [("2", 13, 2), ("7", 1, 2), ("3", 5, None)]
+    assert all(r.x == pytest.approx(30.48) and r.y == pytest.approx(3.048) for r in rows.values())
+
+
+def test_files_to_windows_with_classes(spark, tmp_path):
+    """Tracks and their metadata file, repeated rows and one walker, through to windows."""
+    head = "recordingId,trackId,frame,trackLifetime,xCenter,yCenter,heading,width,length,xVelocity,yVelocity,xAcceleration,yAcceleration"
+    rows = [f"4,{t},{f},0,{f * 0.1 + t * 10},0,0,1.8,4.2,2.5,0,0.1,0" for t in (1, 2) for f in range(60)]
+    put(tmp_path / "04_tracks.csv", head, *rows, rows[3], rows[40])
+    put(tmp_path / "04_tracksMeta.csv", "recordingId,trackId,class", "4,1,car", "4,2,pedestrian")
+    tracks = corpora.read_corpus(spark, "inD", str(tmp_path))
+    assert {(r.track_id, r.agent_type) for r in tracks.select("track_id", "agent_type").distinct().collect()} == {("1", "car"), ("2", "pedestrian")}
+    assigned = tracks.select("dataset", "scene_id", "track_id").distinct()
+    found = build.build_transitions("inD", tracks, assigned).collect()
+    assert len(found) == 4 and {r.track_id for r in found} == {"1"}
+
+
+def test_milliseconds(spark):
+    rows = [("d", "s", "r", "1", f, float(f), f * 1.0 * 0.001, 0.0) for f in range(20)]
+    df = spark.createDataFrame(rows, "dataset string, scene_id string, recording string, track_id string, frame long, timestamp_ms double, vx double, vy double")
+    from trackloom.operators import kinematics
+    out = kinematics.velocity_derivative(df, ["dataset", "scene_id", "recording", "track_id"]).collect()
+    assert all(r.ax == pytest.approx(1.0) for r in out)

@@ -53,8 +53,6 @@ MATCH_THRESHOLDS = {
 REJECT_SCALE = 0.7
 
 KERNEL_BANDWIDTHS = (1.0, 2.0, 4.0, 8.0)
-EXACT_MMD_ROWS = 4096
-FALLBACK_MMD_ROWS = 2048
 
 # Quantile ranges swept by the two slice reports.
 SWEEP_RANGES = [

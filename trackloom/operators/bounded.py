@@ -189,18 +189,13 @@ def quantile_columns(
 ) -> DataFrame:
     """Exact quantiles as named columns."""
     out = quantiles(df, group, value, list(probs.values()), "_qs")
-    return out.select(*group, *[F.col("_qs")[i].alias(n) for i, n in enumerate(probs)])
+    return out.select(*group, *[F.get("_qs", F.lit(i)).alias(n) for i, n in enumerate(probs)])
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
-    """First n rows per group.
-
-    Up to 1000 rows Spark trims every task's rows before the shuffle by itself; larger n is trimmed per salt
-    first, so the final ranking of a group sees at most 64 n rows.
-    """
-    if n > 1000:
-        salted = W.partitionBy(*group, "_salt").orderBy(*order)
-        df = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
-        df = df.withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= n).drop("_r", "_salt")
+    """First n rows per group. Rows are trimmed per salt first, so a group's final ranking sees at most 64 n of them."""
+    salted = W.partitionBy(*group, "_salt").orderBy(*order)
+    df = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
+    df = df.withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= n).drop("_r", "_salt")
     w = W.partitionBy(*group).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")

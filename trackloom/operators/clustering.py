@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from trackloom.operators import bounded
 from trackloom.functions.hashing import md5_code
-from trackloom.session import materialize
+from trackloom.session import discard, materialize
 
 BLOCK = 256
 SAMPLE = 1000
@@ -27,9 +27,12 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sampled_eps(points: DataFrame, percentile: float = 10.0, sample: int = SAMPLE) -> DataFrame:
-    """eps per scene: a percentile of the non-zero distances within a fixed sample of at most 1000 points."""
-    picked = bounded.top_per_group(
-        points.withColumn("_h", md5_code(F.col("id"))), SCENE, [F.col("_h"), F.col("id")], min(sample, SAMPLE))
+    """eps per scene: a percentile of the non-zero distances within a fixed sample of ``sample`` points.
+
+    The sample's size is part of the definition; one task holds its square of distances. Give ``dbscan`` an eps of your
+    own where a sample will not do.
+    """
+    picked = bounded.top_per_group(points.withColumn("_h", md5_code(F.col("id"))), SCENE, [F.col("_h"), F.col("id")], sample)
 
     def measure(pdf: pd.DataFrame) -> pd.DataFrame:
         d = _distances(*(2 * [np.stack(pdf["vector"]).astype(float)]))
@@ -121,16 +124,17 @@ def _borders(batches):
                 yield pd.DataFrame({"dataset": ds, "scene_id": sc, "id": [x[0] for x in rows], "component": [x[1] for x in rows]})
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components per scene by minimum labels with pointer jumping; label = smallest id.
 
-    Every round is written to the shared folder, so a lost executor costs one round. Stops when no label
-    changes; raises if that does not happen in time.
+    Every round is written to the shared folder, so a lost executor costs one round. Labels only get
+    smaller, and it stops when none changes.
     """
     both = edges.select(*SCENE, "u", "v").unionByName(edges.select(*SCENE, F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     both = materialize(both, "edges")
     labels = materialize(nodes.select(*SCENE, "id", F.col("id").alias("component")), "labels")
-    for _ in range(max_rounds):
+    last = labels
+    while True:
         near = both.join(labels.select(*SCENE, F.col("id").alias("v"), "component"), [*SCENE, "v"])
         near = near.groupBy(*SCENE, F.col("u").alias("id")).agg(F.min("component").alias("_near"))
         step = labels.join(near, [*SCENE, "id"], "left").select(*SCENE, "id", "component", F.least("component", "_near").alias("_new"))
@@ -138,10 +142,10 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         step = step.join(jump, [*SCENE, "_new"], "left").select(
             *SCENE, "id", F.least("_new", "_far").alias("component"), (F.least("_new", "_far") != F.col("component")).alias("_moved"))
         step = materialize(step, "labels")
-        labels = step.drop("_moved")
+        discard(last)
+        labels, last = step.drop("_moved"), step
         if step.where("_moved").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def dbscan(points: DataFrame, eps: DataFrame, min_samples: int = 5, axes: list[int] | None = None) -> DataFrame:

@@ -9,41 +9,46 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from trackloom import constants as K
 from trackloom.functions.columns import rbf
 from trackloom.operators import bounded
-from trackloom.operators.cleaning import seeded_sample
 
-BLOCK = 256
+BLOCK = 1024
 POINT = ["ax_pred", "ay_pred", "ax_true", "ay_true"]
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _kernel_sums(px: pd.Series, py: pd.Series, tx: pd.Series, ty: pd.Series, block: pd.Series) -> pd.Series:
-    """Kernel sums of one block of rows against the whole (bounded) group."""
+def _tile_sums(left: pd.Series, right: pd.Series, same: pd.Series) -> pd.Series:
+    """Kernel sums (predictions, truths, across) of two blocks of at most about BLOCK rows, counted for both orders."""
     out = []
-    for a, b, c, d, k in zip(px, py, tx, ty, block):
-        pred, true = np.column_stack([a, b]).astype(float), np.column_stack([c, d]).astype(float)
-        rows = slice(k * BLOCK, (k + 1) * BLOCK)
-        sums = []
-        for left, right in ((pred, pred), (true, true), (pred, true)):
-            d2 = ((left[rows, None, :] - right[None, :, :]) ** 2).sum(axis=-1)
-            sums.append(sum(np.exp(-d2 / (2 * w * w)).sum() for w in K.KERNEL_BANDWIDTHS) / len(K.KERNEL_BANDWIDTHS))
-        out.append(sums)
+    for a, b, diagonal in zip(left, right, same):
+        p, q = (np.array([[r[c] for c in POINT] for r in rows], dtype=float).reshape(-1, len(POINT)) for rows in (a, b))
+
+        def kernel(u: np.ndarray, v: np.ndarray) -> float:
+            d2 = (u[:, :1] - v[:, 0]) ** 2 + (u[:, 1:] - v[:, 1]) ** 2
+            return float(sum(np.exp(-d2 / (2 * w * w)).sum() for w in K.KERNEL_BANDWIDTHS) / len(K.KERNEL_BANDWIDTHS))
+
+        times = 1 if diagonal else 2
+        across = kernel(p[:, :2], q[:, 2:]) + (0 if diagonal else kernel(q[:, :2], p[:, 2:]))
+        out.append([times * kernel(p[:, :2], q[:, :2]), times * kernel(p[:, 2:], q[:, 2:]), across])
     return pd.Series(out)
 
 
 def _pairwise(df: DataFrame, group: list[str]) -> DataFrame:
-    """Kernel sums per group. Callers guarantee at most EXACT_MMD_ROWS rows per group."""
-    pack = df.groupBy(*group).agg(F.collect_list(F.struct(*POINT)).alias("_p"))
-    cols = [F.col(f"_p.{c}").alias(f"_{c}") for c in POINT]
-    blocks = pack.select(
-        *group, *cols, F.size("_p").alias("n"),
-        F.explode(F.sequence(F.lit(0), F.floor((F.size("_p") - 1) / BLOCK).cast("int"))).alias("_k"),
-    )
-    # Spread the blocks of one group over tasks before the numeric work.
-    blocks = blocks.repartition(*[F.col(g) for g in group], F.col("_k"))
-    sums = blocks.select(*group, "n", _kernel_sums(*[F.col(f"_{c}") for c in POINT], F.col("_k")).alias("_s"))
+    """Kernel sums per group over all pairs of rows, by tiles of two blocks.
+
+    A block is one row of the tile join, and a block meets the others of its group under keys of their own, so that no
+    task holds more than two blocks and a group of any size is spread out.
+    """
+    rows = df.select(*group, F.struct(*POINT).alias("_p"))
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).cast("long").alias("n"))
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rows.join(sizes, group) if group else rows.crossJoin(sizes)  # one row
+    dealt = dealt.withColumns({"_parts": parts, "_b": F.pmod(F.xxhash64("_p"), parts).cast("int")})
+    blocks = dealt.groupBy(*group, "n", "_parts", "_b").agg(F.collect_list("_p").alias("_rows"))
+    left = blocks.withColumn("_other", F.explode(F.sequence(F.col("_b"), F.col("_parts") - 1)))
+    right = blocks.select(*group, F.col("_b").alias("_other"), F.col("_rows").alias("_others"))
+    tiles = left.join(right, [*group, "_other"])
+    sums = tiles.select(*group, "n", _tile_sums("_rows", "_others", F.col("_b") == F.col("_other")).alias("_s"))
     return sums.groupBy(*group).agg(
-        F.max("n").cast("long").alias("n"), *[F.sum(F.col("_s")[i]).alias(f"_{v}") for i, v in enumerate(("xx", "yy", "xy"))]
-    )
+        F.max("n").alias("n"), *[F.sum(F.col("_s")[i]).alias(f"_{v}") for i, v in enumerate(("xx", "yy", "xy"))])
 
 
 def _v_statistic() -> Column:
@@ -59,9 +64,18 @@ def mmd2_exact(df: DataFrame, group: list[str]) -> DataFrame:
     return s.select(*group, n.alias("n"), F.greatest(value, F.lit(0.0)).alias("mmd2"), F.lit("exact").alias("method"))
 
 
+def mmd2_v(df: DataFrame, group: list[str]) -> DataFrame:
+    """V-statistic over all rows."""
+    return _pairwise(df, group).select(
+        *group, "n", F.greatest(_v_statistic(), F.lit(0.0)).alias("mmd2"), F.lit("v").alias("method"))
+
+
 def mmd2_linear(df: DataFrame, group: list[str], levels: list[str], order: list[str], chunk: Column,
                 fallback: bool = True) -> DataFrame:
-    """Linear-time estimate over adjacent rows (2i, 2i+1) of the declared order (levels..., order...)."""
+    """Linear-time estimate over adjacent rows (2i, 2i+1) of the declared order (levels..., order...).
+
+    ``fallback`` replaces an estimate that is clearly negative by the V-statistic over all rows of its group.
+    """
     placed = bounded.nested_positions(df, levels, order, chunk, "_pos", within=group)
     pair = F.floor(F.col("_pos") / 2)
     side = lambda c, k: F.max(F.when(F.col("_pos") % 2 == k, F.col(c))).alias(f"{c}{k}")
@@ -77,20 +91,18 @@ def mmd2_linear(df: DataFrame, group: list[str], levels: list[str], order: list[
     if fallback:
         bad = est.where(F.col("_est") < -1e-12)
         pool = df.join(bad.select(*group), group, "left_semi") if group else df.crossJoin(bad.select(F.lit(1).alias("_x"))).drop("_x")
-        sample = seeded_sample(pool, [*levels, *order], K.FALLBACK_MMD_ROWS, within=group)
-        again = _pairwise(sample, group).select(*group, _v_statistic().alias("_again"))
+        again = _pairwise(pool, group).select(*group, _v_statistic().alias("_again"))
         est = est.join(again, group, "left") if group else est.join(again, F.lit(True), "left")
         est = est.withColumn("_est", F.coalesce(F.when(F.col("_est") < -1e-12, F.col("_again")), F.col("_est")))
     return est.select(*group, "n", F.greatest(F.col("_est"), F.lit(0.0)).alias("mmd2"), F.lit("linear").alias("method"))
 
 
-def mmd2(df: DataFrame, group: list[str], levels: list[str], order: list[str], chunk: Column,
-         exact_rows: int = K.EXACT_MMD_ROWS) -> DataFrame:
-    """Exact up to ``exact_rows`` rows per group, linear-time beyond; needs at least one group column."""
-    if exact_rows > K.EXACT_MMD_ROWS:
-        raise ValueError("the exact form is bounded")
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-    small = df.join(sizes.where(F.col("_size") <= exact_rows).select(*group), group, "left_semi")
-    large = df.join(sizes.where(F.col("_size") > exact_rows).select(*group), group, "left_semi")
-    both = mmd2_exact(small, group).unionByName(mmd2_linear(large, group, levels, order, chunk))
-    return both.withColumn("mmd", F.sqrt("mmd2"))
+def mmd2(df: DataFrame, group: list[str], levels: list[str], order: list[str], chunk: Column, method: str = "exact") -> DataFrame:
+    """mmd2 and mmd by the method that the caller names: ``exact``, ``v`` or ``linear``."""
+    if method == "linear":
+        out = mmd2_linear(df, group, levels, order, chunk)
+    elif method in ("exact", "v"):
+        out = mmd2_exact(df, group) if method == "exact" else mmd2_v(df, group)
+    else:
+        raise ValueError(f"unknown method {method!r}; choices: exact, v, linear")
+    return out.withColumn("mmd", F.sqrt("mmd2"))

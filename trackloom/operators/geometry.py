@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from trackloom.functions import pathscore
+from trackloom.functions import lines
 from trackloom.functions.columns import finite
 from trackloom.operators import bounded
 
@@ -69,7 +71,7 @@ def resample(points: DataFrame, keys: list[str], n: int, order: str = "seq") ->
 
 def with_resampled(df: DataFrame, n: int, source: str = "line", name: str = "line") -> DataFrame:
     """Adds the short line ``source`` resampled to n points as ``name`` (one Arrow call per batch)."""
-    return df.withColumn(name, pathscore.resample_lines(source, F.lit(n)))
+    return df.withColumn(name, lines.resample_lines(source, F.lit(n)))
 
 
 def to_array(points: DataFrame, keys: list[str], name: str = "line", order: str = "seq") -> DataFrame:
@@ -122,9 +124,9 @@ def nearest_gaps(a: Column, b: Column) -> Column:
     return F.transform(a, lambda p: F.array_min(F.transform(b, lambda q: gap(p, q))))
 
 
-def array_quantile(values: Column, p: float) -> Column:
+def array_quantile(values: Column, p: float, presorted: bool = False) -> Column:
     """Linear-interpolation quantile of a short array."""
-    v = F.array_sort(values)
+    v = values if presorted else F.array_sort(values)
     at = (F.size(v) - 1) * F.lit(p)
     lo, hi = F.floor(at).cast("int"), F.ceil(at).cast("int")
     a, b = F.element_at(v, lo + 1), F.element_at(v, hi + 1)
@@ -137,27 +139,22 @@ def array_mean(values: Column) -> Column:
 
 def discrete_frechet(a: Column, b: Column) -> Column:
     """Discrete Frechet distance of two short lines by a row-wise dynamic programme."""
-    grid = F.transform(a, lambda p: F.transform(b, lambda q: gap(p, q)))
     columns = F.sequence(F.lit(0), F.size(b) - 1)
     empty = F.array().cast("array<double>")
-    first = F.aggregate(
-        columns, empty,
-        lambda row, j: F.array_append(row, F.when(j == 0, grid[0][0]).otherwise(F.greatest(F.element_at(row, -1), grid[0][j]))),
-    )
 
     def next_row(prev: Column, d: Column) -> Column:
         def cell(row: Column, j: Column) -> Column:
-            best = F.when(j == 0, prev[0]).otherwise(
-                F.least(prev[j], prev[F.greatest(j - 1, F.lit(0))], F.element_at(row, -1))
-            )
+            best = F.when(j == 0, prev[0]).otherwise(F.least(prev[j], prev[F.greatest(j - 1, F.lit(0))], F.element_at(row, -1)))
             return F.array_append(row, F.greatest(best, d[j]))
 
         # The start value has one element so that element_at is defined; it is sliced off again.
-        full = F.aggregate(columns, F.array(F.lit(float("inf"))), cell)
-        return F.slice(full, 2, F.size(b))
+        return F.slice(F.aggregate(columns, F.array(F.lit(float("inf"))), cell), 2, F.size(b))
+
+    def over(grid: Column) -> Column:
+        first = F.aggregate(columns, empty, lambda row, j: F.array_append(row, F.when(j == 0, grid[0][0]).otherwise(F.greatest(F.element_at(row, -1), grid[0][j]))))
+        return F.element_at(F.aggregate(F.slice(grid, 2, F.size(a)), first, next_row), -1)
 
-    rest = F.slice(grid, 2, F.size(a))
-    return F.element_at(F.aggregate(rest, first, next_row), -1)
+    return bind(F.transform(a, lambda p: F.transform(b, lambda q: gap(p, q))), over)
 
 
 def self_intersects(line: Column) -> Column:
@@ -221,23 +218,60 @@ def projection(points: DataFrame, vertices: DataFrame, keys: list[str]) -> DataF
 
     ``points``: keys, point, x, y. ``vertices``: one row per key with an array ``line``.
     """
-    v = vertices.withColumn("_arc", line_arcs(F.col("line")))
-    df = points.join(v, keys)
-    p = F.struct("x", "y")
-    index = F.sequence(F.lit(0), F.size("line") - 2)
+    df = points.join(vertices, keys)
+    best = bind(line_segments(F.col("line")), lambda g: project_point(F.struct("x", "y"), g))
+    return df.withColumn("_b", best).select(*points.columns, "_b.*")
+
 
-    def on_segment(i: Column) -> Column:
-        a, b = F.col("line")[i], F.col("line")[i + 1]
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once. A column that a lambda reads is otherwise put in its place by the
+    optimizer and computed anew for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def line_segments(line: Column) -> Column:
+    """Segments of a short line: start, step, squared and plain length, arc length at the start."""
+    def segment(i: Column, arc: Column) -> Column:
+        a, b = line[i], line[i + 1]
         vx, vy = b["x"] - a["x"], b["y"] - a["y"]
-        length = F.hypot(vx, vy)
-        u = ((p["x"] - a["x"]) * vx + (p["y"] - a["y"]) * vy) / F.greatest(length * length, F.lit(1e-12))
-        u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), u))
-        d = F.hypot(p["x"] - a["x"] - u * vx, p["y"] - a["y"] - u * vy)
-        return F.struct(d.alias("lateral"), i.alias("segment"), (F.col("_arc")[i] + u * length).alias("s"),
-                        (vx / F.greatest(length, F.lit(1e-12))).alias("tx"), (vy / F.greatest(length, F.lit(1e-12))).alias("ty"))
-
-    best = F.array_min(F.transform(index, on_segment))
-    return df.withColumn("_b", best).select(*points.columns, "_b.*")
+        return F.struct(a["x"].alias("x"), a["y"].alias("y"), vx.alias("vx"), vy.alias("vy"), F.greatest(vx * vx + vy * vy, F.lit(1e-12)).alias("square"),
+                        F.hypot(vx, vy).alias("length"), arc[i].alias("s"))
+
+    return bind(line_arcs(line), lambda arc: F.transform(F.sequence(F.lit(0), F.size(line) - 2), lambda i: segment(i, arc)))
+
+
+def project_point(p: Column, segments: Column) -> Column:
+    """The nearest of a line's segments (the first of equally near ones): lateral, segment, s, tx, ty."""
+    def along(g: Column) -> Column:
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((p["x"] - g["x"]) * g["vx"] + (p["y"] - g["y"]) * g["vy"]) / g["square"]))
+
+    def square_gap(g: Column, u: Column) -> Column:
+        ex, ey = p["x"] - g["x"] - u * g["vx"], p["y"] - g["y"] - u * g["vy"]
+        return ex * ex + ey * ey
+
+    steps = F.transform(segments, along)
+    near = F.array_min(F.transform(F.zip_with(segments, steps, lambda g, u: square_gap(g, u)), lambda d, i: F.struct(d.alias("d"), i.alias("i"))))
+
+    def found(best: Column) -> Column:
+        g = F.get(segments, best["i"])
+        return bind(F.struct(g.alias("g"), along(g).alias("u")), lambda v: F.struct(
+            F.sqrt(best["d"]).alias("lateral"), best["i"].alias("segment"), (v["g"]["s"] + v["u"] * v["g"]["length"]).alias("s"),
+            (v["g"]["vx"] / F.greatest(v["g"]["length"], F.lit(1e-12))).alias("tx"), (v["g"]["vy"] / F.greatest(v["g"]["length"], F.lit(1e-12))).alias("ty")))
+
+    return bind(near, found)
+
+
+def at_arcs(line: Column, arc: Column, where: Column) -> Column:
+    """Points of a short line at the given arc lengths, by linear interpolation; beyond the ends the end points."""
+    last = F.size(line) - 1
+    found = F.transform(where, lambda t: F.struct(t.alias("t"), F.greatest(F.lit(1), F.least(last, F.size(F.filter(arc, lambda a: a <= t)))).alias("j")))
+
+    def between(f: Column) -> Column:
+        a, b, s0, s1 = F.get(line, f["j"] - 1), F.get(line, f["j"]), F.get(arc, f["j"] - 1), F.get(arc, f["j"])
+        u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (f["t"] - s0) / F.greatest(s1 - s0, F.lit(1e-12))))
+        return F.struct((a["x"] + (b["x"] - a["x"]) * u).alias("x"), (a["y"] + (b["y"] - a["y"]) * u).alias("y"))
+
+    return F.transform(found, between)
 
 
 def line_arcs(line: Column) -> Column:
@@ -247,11 +281,11 @@ def line_arcs(line: Column) -> Column:
 
 def nearest_vertex(points: DataFrame, vertices: DataFrame, keys: list[str]) -> DataFrame:
     """Nearest vertex of a short path: arc length there, distance, index."""
-    df = points.join(vertices.withColumn("_arc", line_arcs(F.col("line"))), keys)
+    df = points.join(vertices, keys)
     index = F.sequence(F.lit(0), F.size("line") - 1)
-    best = F.array_min(F.transform(index, lambda i: F.struct(
+    best = bind(line_arcs(F.col("line")), lambda arc: F.array_min(F.transform(index, lambda i: F.struct(
         F.hypot(F.col("x") - F.col("line")[i]["x"], F.col("y") - F.col("line")[i]["y"]).alias("distance"),
-        i.alias("vertex"), F.col("_arc")[i].alias("s"))))
+        i.alias("vertex"), arc[i].alias("s")))))
     return df.withColumn("_b", best).select(*points.columns, "_b.*")
 
 

@@ -13,13 +13,14 @@ POSITION_WINDOW, DERIVATIVE_WINDOW, POLY = 51, 31, 3
 CHUNK = 1024
 
 
-def time_step(rows: DataFrame, keys: list[str], frame: str, rate: float) -> DataFrame:
-    """Median frame difference over the frame rate per track; 1/rate when there is none."""
-    steps = bounded.previous_row(rows, keys, [frame], {"_pf": frame}).withColumn("_step", F.col(frame) - F.col("_pf"))
-    median = bounded.quantile_columns(steps, keys, F.col("_step"), {"_m": 0.5})
-    dt = F.col("_m") / rate
+def time_step(rows: DataFrame, keys: list[str], frame: str, rate: float, stamp: str | None = None, default: float | None = None) -> DataFrame:
+    """Median positive difference of ``stamp`` (the frame, if none is given) in frame order, over ``rate``, per track;
+    ``default`` (1 / rate, if none is given) where there is none."""
+    stamp = stamp or frame
+    steps = bounded.previous_row(rows, keys, [frame], {"_pf": stamp}).withColumn("_step", F.col(stamp) - F.col("_pf"))
+    median = bounded.quantile_columns(steps.where(F.col("_step") > 0), keys, F.col("_step"), {"_m": 0.5})
     out = rows.select(*keys).distinct().join(median, keys, "left")
-    return out.select(*keys, F.when(dt > 0, dt).otherwise(1.0 / rate).alias("dt"))
+    return out.select(*keys, F.coalesce(F.col("_m") / rate, F.lit(1.0 / rate if default is None else default)).alias("dt"))
 
 
 def _with_surroundings(rows: DataFrame, keys: list[str], order: str, halo: int) -> DataFrame:
@@ -99,13 +100,12 @@ def velocity_derivative(rows: DataFrame, keys: list[str], window: int = 9, poly:
 
     ``timestamp_ms`` gives the time; tracks with fewer than three rows get no acceleration.
     """
-    dt = time_step(rows.withColumn("_ms", F.col("timestamp_ms").cast("long")), keys, "_ms", 1000.0)
+    dt = time_step(rows, keys, "frame", 1000.0, stamp="timestamp_ms", default=0.1)
     cut = _with_surroundings(rows.select(*keys, "frame", "timestamp_ms", "vx", "vy"), keys, "frame", window).join(dt, keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos")
         first, total, delta = int(pdf["_pos"].iloc[0]), int(pdf["_total"].iloc[0]), float(pdf["dt"].iloc[0])
-        delta = delta if delta != 0.001 else 0.1
         win = S.odd_window(total, window, poly, strict=True)
         t = pdf["timestamp_ms"].to_numpy(float) / 1000.0
         out = pdf[[*keys, "frame"]].copy()

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from trackloom import constants as K
-from trackloom.functions import columns as C, pathscore
-from trackloom.operators import bounded, geometry as G
+from trackloom.functions import columns as C
+from trackloom.operators import bounded, geometry as G, pathfit
 from trackloom.session import materialize
 
 SCENE = ["dataset", "scene_id"]
 TRACK = ["dataset", "scene_id", "track_id"]
 SAMPLES = 80
-KEEP_COARSE = 12
 
 
 def thresholds(unit: Column, dataset: Column, which: int, scale: float = 1.0) -> Column:
@@ -22,13 +21,14 @@ def thresholds(unit: Column, dataset: Column, which: int, scale: float = 1.0) ->
 
 
 def directed(paths: DataFrame) -> DataFrame:
-    """Every path in both directions, without repeated points. ``paths``: scene, path_id, line."""
+    """Every path in both directions, without repeated points; a path of fewer than two points has no direction and matches
+    nothing. ``paths``: scene, path_id, line."""
     both = paths.withColumn("invert", F.explode(F.array(F.lit(False), F.lit(True))))
     line = F.when(F.col("invert"), F.reverse("line")).otherwise(F.col("line"))
     both = both.withColumn("line", line).where(F.size("line") >= 2)
     index = F.sequence(F.lit(0), F.size("line") - 1)
     ok = lambda i: (i == 0) | (G.gap(F.col("line")[i], F.col("line")[F.greatest(i - 1, F.lit(0))]) > 1e-9)
-    return both.withColumn("line", F.transform(F.filter(index, ok), lambda i: F.col("line")[i]))
+    return both.withColumn("line", F.transform(F.filter(index, ok), lambda i: F.col("line")[i])).where(F.size("line") >= 2)
 
 
 def sampled_tracks(tracks: DataFrame, scenes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,10 +62,9 @@ def coarse_scores(lines: DataFrame, variants: DataFrame) -> DataFrame:
     return pairs.select(*TRACK, "path_id", "invert", coarse_score(F.col("track"), F.col("line")).alias("coarse"))
 
 
-def _refine(candidates: DataFrame, lines: DataFrame, variants: DataFrame, scale: float, with_frechet: bool) -> DataFrame:
+def _refine(candidates: DataFrame, lines: DataFrame, variants: DataFrame, scale: float) -> DataFrame:
     df = candidates.select(*TRACK, "path_id", "invert").join(lines, TRACK).join(variants, [*SCENE, "path_id", "invert"])
-    df = df.withColumn("_s", pathscore.score_pairs("track", "line", F.lit(with_frechet)))
-    df = df.select(*TRACK, "unit", "path_id", "invert", "_s.*")
+    df = pathfit.scored(df.select(*TRACK, "unit", "path_id", "invert", "track", "line")).drop("track", "line")
     t = [thresholds(F.col("unit"), F.col("dataset"), i, scale) for i in range(3)]
     unit_scale = F.greatest(F.lit(1.0), t[0] / 6.0)
     score = (
@@ -82,15 +81,19 @@ def _refine(candidates: DataFrame, lines: DataFrame, variants: DataFrame, scale:
     return df.withColumn("score", F.when(has, score).otherwise(float("inf"))).withColumn("passed", F.coalesce(passed, F.lit(False)))
 
 
-def best_matches(lines: DataFrame, variants: DataFrame, scale: float = 1.0, top_k: int = 4) -> DataFrame:
-    """Best variant per track: coarse top 3k, refined top k, then best and runner-up with ambiguity."""
+def best_matches(lines: DataFrame, variants: DataFrame, scale: float = 1.0, coarse_keep: int | None = None) -> DataFrame:
+    """Best variant per track by the full score, with the runner-up and ambiguity.
+
+    All variants of the scene are scored. ``coarse_keep`` scores only as many as come first by the coarse score, which is
+    faster where a scene has many paths, and can miss the best one.
+    """
     tie = [F.col("path_id"), F.col("invert")]
-    # Each stage scores with Python; its small result is written once instead of being computed again.
-    coarse = bounded.top_per_group(coarse_scores(lines, variants), TRACK, [F.col("coarse"), *tie], max(KEEP_COARSE, 3 * top_k))
-    prelim = _refine(materialize(coarse, "coarse"), lines, variants, scale, False).select(*TRACK, "path_id", "invert", "score")
-    top = materialize(bounded.top_per_group(prelim, TRACK, [F.col("score"), *tie], top_k), "top")
-    final = materialize(_refine(top, lines, variants, scale, True), "refined")
-    # At most top_k rows per track from here on.
+    if coarse_keep is None:
+        pairs = lines.select(*TRACK).join(variants.select(*SCENE, "path_id", "invert"), SCENE)
+    else:
+        pairs = materialize(bounded.top_per_group(coarse_scores(lines, variants), TRACK, [F.col("coarse"), *tie], coarse_keep), "coarse")
+    final = materialize(_refine(pairs, lines, variants, scale), "refined")
+    # Two rows for each path of the track's scene.
     w = W.partitionBy(*TRACK).orderBy("score", *tie)
     final = final.withColumns({
         "_rank": F.row_number().over(w), "_alt": F.lead("score").over(w), "_alt_path": F.lead("path_id").over(w),
@@ -125,8 +128,8 @@ def compress_runs(ids: Column, min_run: int = 3) -> Column:
 def lane_change_matches(lines: DataFrame, variants: DataFrame, first: int = 16) -> DataFrame:
     """Tracks that start on one route and then follow neighbouring ones of the same direction."""
     pairs = lines.join(variants.select(*SCENE, "path_id", "invert", "line"), SCENE)
-    pairs = pairs.withColumn("_l", pathscore.score_lanes("track", "line", F.lit(first)))
-    pairs = pairs.select(*TRACK, "unit", "path_id", "invert", "_l.*")
+    # Written, because filters pushed below the fit would compute it once for each of their conditions.
+    pairs = materialize(pathfit.lane_fit(pairs, first).drop("track", "line"), "lane-fit")
     t = [thresholds(F.col("unit"), F.col("dataset"), i) for i in range(3)]
     starts = pairs.where(
         (F.col("first_mean") <= t[1]) & (F.col("first_p90") <= t[2])
@@ -139,9 +142,9 @@ def lane_change_matches(lines: DataFrame, variants: DataFrame, first: int = 16)
     bundle = starts.drop("first_mean", "first_p90").join(
         initial.select(*TRACK, "initial_invert"), TRACK).where(F.col("invert") == F.col("initial_invert"))
     usable = bundle.where((F.col("direction") >= 0.70) & (F.col("monotonic") >= 0.85))
-    points = usable.select(*TRACK, "unit", "path_id", "initial_score", F.posexplode(F.arrays_zip("lateral", "dots", "advance")).alias("_i", "_v"))
+    points = usable.select(*TRACK, "unit", "path_id", "initial_score", F.posexplode("_points").alias("_i", "_v"))
     near = points.groupBy(*TRACK, "unit", "_i").agg(
-        F.min(F.struct(F.col("_v.lateral").alias("lateral"), "initial_score", "path_id", F.col("_v.dots").alias("dot"), F.col("_v.advance").alias("advance"))).alias("_n"),
+        F.min(F.struct(F.col("_v.lateral").alias("lateral"), "initial_score", "path_id", F.col("_v.dot").alias("dot"), F.col("_v.advance").alias("advance"))).alias("_n"),
         F.count(F.lit(1)).alias("_lanes"),
     ).where(F.col("_lanes") >= 2)
     # 80 sampled points per track.
@@ -180,7 +183,7 @@ def _record(df: DataFrame, **given: Column) -> DataFrame:
 
 
 def assign(tracks: DataFrame, scenes: DataFrame, paths: DataFrame, rejects: DataFrame | None = None,
-           reject_scale: float = K.REJECT_SCALE, top_k: int = 4) -> DataFrame:
+           reject_scale: float = K.REJECT_SCALE, coarse_keep: int | None = None) -> DataFrame:
     """One assignment record per track.
 
     Order of decisions: not a vehicle, too short, matches a reject prototype, matches a route, changes lanes
@@ -192,15 +195,15 @@ def assign(tracks: DataFrame, scenes: DataFrame, paths: DataFrame, rejects: Data
     out = _record(verdicts, ambiguous=no)
     if rejects is not None:
         prototypes = materialize(directed(rejects.withColumnRenamed("reject_id", "path_id")), "prototypes")
-        hit = best_matches(lines, prototypes, reject_scale, top_k).where("passed")
+        hit = best_matches(lines, prototypes, reject_scale, coarse_keep).where("passed")
         out = out.unionByName(_record(hit, status=F.lit("rejected_ignore_track"), reject_id=F.col("path_id"), path_id=F.lit(None), match_mode=F.lit(None)))
         lines = lines.join(hit.select(*TRACK), TRACK, "left_anti")
     variants = materialize(directed(paths), "variants")
-    match = best_matches(lines, variants, 1.0, top_k)
+    match = best_matches(lines, variants, 1.0, coarse_keep)
     out = out.unionByName(_record(match.where("passed"), status=F.lit("assigned"), match_mode=F.lit("shape")))
     open_ = lines.join(match.where("passed").select(*TRACK), TRACK, "left_anti")
     lanes = materialize(lane_change_matches(open_.where(F.col("dataset") == "NGSIM"), variants), "lanes")
-    full = _refine(lanes, lines, variants, 1.0, True).select(*TRACK, "path_id", "invert", "segment_mean", "lateral_mean", "lateral_p90", "frechet")
+    full = _refine(lanes, lines, variants, 1.0).select(*TRACK, "path_id", "invert", "segment_mean", "lateral_mean", "lateral_p90", "frechet")
     lanes = lanes.join(full, [*TRACK, "path_id", "invert"], "left")
     out = out.unionByName(_record(lanes, status=F.lit("assigned"), match_mode=F.lit("initial_ref_path_lane_change"), ambiguous=no))
     rest = open_.select(*TRACK).join(lanes.select(*TRACK), TRACK, "left_anti").join(match, TRACK, "left")

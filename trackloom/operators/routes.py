@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from trackloom.operators import bounded, clustering, geometry as G
-from trackloom.session import materialize
+from trackloom.session import discard, materialize
 
 SCENE = ["dataset", "scene_id"]
 POINTS = 50
@@ -93,26 +93,26 @@ def overlaps(cands: DataFrame, scenes: DataFrame) -> DataFrame:
         F.col("b_size").alias("earlier_size"), "length_ratio", "start_dot", "end_dot", "mean_nearest", "p90_nearest")
 
 
-def prune_overlaps(cands: DataFrame, edges: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
+def prune_overlaps(cands: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Keep the first of every group of overlapping candidates: the lexicographically first independent set.
 
     A candidate is settled once every earlier overlapping one is: kept if all of those are pruned, pruned if
-    one of them is kept. At least one candidate per scene settles in each round.
+    one of them is kept. At least one candidate per scene settles in each round, so this ends.
     """
     edges = materialize(edges, "overlaps")
     state = materialize(cands.select(*CLUSTER, F.lit(None).cast("boolean").alias("kept")), "prune")
-    for _ in range(max_rounds):
+    while True:
         earlier = state.select(*SCENE, F.col("cluster_id").alias("earlier_id"), F.col("kept").alias("_k"))
         seen = edges.join(earlier, [*SCENE, "earlier_id"]).groupBy(*CLUSTER).agg(
             F.max(F.coalesce(F.col("_k"), F.lit(False))).alias("_any_kept"), F.count_if(F.col("_k").isNull()).alias("_open"))
+        last = state
         state = state.join(seen, CLUSTER, "left").select(
             *CLUSTER,
             F.coalesce("kept", F.when(F.col("_any_kept"), False).when(F.coalesce("_open", F.lit(0)) == 0, True)).alias("kept"))
         state = materialize(state, "prune")
+        discard(last)
         if state.where(F.col("kept").isNull()).isEmpty():
             break
-    else:
-        raise RuntimeError("pruning did not settle")
     kept = cands.join(state.where("kept").select(*CLUSTER), CLUSTER, "left_semi")
     owner = edges.join(state.where("kept").select(*SCENE, F.col("cluster_id").alias("earlier_id")), [*SCENE, "earlier_id"])
     first = owner.groupBy(*CLUSTER).agg(F.min_by(

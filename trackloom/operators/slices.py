@@ -117,11 +117,14 @@ def slice_metrics(wide: DataFrame, models: list[str], features: list[str], range
     sums = {"n": F.count(F.lit(1)), "_fp": F.bit_xor("_h")}
     for a in "xy":
         t = F.col(f"a{a}_true")
-        sums |= {f"_s_{a}": F.sum(t), f"_q_{a}": F.sum(t * t)}
+        # Centred squares: the difference of two large sums would lose the digits of a small spread.
+        sums |= {f"_s_{a}": F.sum(t), f"_q_{a}": F.var_pop(t) * F.count(t)}
         for m in models:
             sums[f"_e_{a}_{m}"] = F.sum(F.pow(F.col(f"a{a}_{m}") - t, 2))
     buckets = rows.groupBy("scope", "feature", "code").agg(*[v.alias(k) for k, v in sums.items()])
     again = [F.bit_xor("_fp").alias("fingerprint") if k == "_fp" else F.sum(k).alias(k) for k in sums]
+    # Between the buckets: each bucket's mean, once for each of its rows.
+    again += [(F.sum(F.pow(F.col(f"_s_{a}"), 2) / F.col("n")) - F.pow(F.sum(f"_s_{a}"), 2) / F.sum("n")).alias(f"_between_{a}") for a in "xy"]
     out = _over_slices(buckets, bounds, again).where(F.col("n") >= min_samples)
     n = F.col("n")
     per_model = []
@@ -130,7 +133,7 @@ def slice_metrics(wide: DataFrame, models: list[str], features: list[str], range
         r2 = []
         for a in "xy":
             res = F.col(f"_e_{a}_{m}")
-            tot = F.greatest(F.col(f"_q_{a}") - F.col(f"_s_{a}") * F.col(f"_s_{a}") / n, F.lit(0.0))
+            tot = F.greatest(F.col(f"_q_{a}") + F.col(f"_between_{a}"), F.lit(0.0))
             fields.append(F.sqrt(res / n).alias(f"rmse_{a}"))
             r2.append(metrics.r2_unit_denom(res, tot))
         fields += [r2[0].alias("r2_x"), r2[1].alias("r2_y"), ((r2[0] + r2[1]) / 2).alias("r2_mean")]
@@ -233,10 +236,10 @@ def stratified_mixes(ranked: DataFrame, group: list[str], good=K.GOOD_RANK_RANGE
     )
 
 
-def screen(metrics_table: DataFrame, r2_interval: tuple[float, float], margin: float = 0.006, cap: int = 260) -> DataFrame:
+def screen(metrics_table: DataFrame, r2_interval: tuple[float, float], margin: float = 0.006, cap: int | None = None) -> DataFrame:
     """Cheap screen: slices whose R2 lies within a caller-supplied interval, best first, identical row sets once.
 
-    ``cap`` is the published bound on how many slices get the exact treatment per model.
+    ``cap`` keeps that many slices per model, best first; without it all that pass are kept.
     """
     from pyspark.sql import Window as W
     from trackloom.functions.columns import in_interval, interval_distance
@@ -250,7 +253,8 @@ def screen(metrics_table: DataFrame, r2_interval: tuple[float, float], margin: f
         F.min_by(F.struct(*rest), F.struct("screen_score", *name)).alias("_s")
     ).select("model", "fingerprint", "samples", *[F.col("_s")[c].alias(c) for c in rest])
     w = W.partitionBy("model").orderBy("screen_score", F.desc("samples"), *name)
-    return once.withColumn("screen_rank", F.row_number().over(w)).where(F.col("screen_rank") <= cap)
+    ranked_ = once.withColumn("screen_rank", F.row_number().over(w))
+    return ranked_ if cap is None else ranked_.where(F.col("screen_rank") <= cap)
 
 
 def exact_after_screen(long_predictions: DataFrame, screened: DataFrame, features: list[str]) -> DataFrame:

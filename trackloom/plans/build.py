@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trackloom import constants as K
 from trackloom.functions import columns as C
 from trackloom.operators import cleaning, kinematics, neighbors, transitions
 from trackloom.session import materialize
@@ -29,6 +30,7 @@ class CorpusSpec:
     drop_still: bool = False
 
 
+# Limits, classes and radii of the corpora.
 SPECS = {
     "inD": CorpusSpec((10, 10, 8, 8), vehicles=("car", "truck_bus"), half_extent=("size", 0.75, 1.5)),
     "HighD": CorpusSpec((10, 5, 5, 2), neighbors="ids"),
@@ -63,12 +65,13 @@ def prepare(corpus: str, rows: DataFrame) -> DataFrame:
     return rows
 
 
-# Columns that must be finite before anything else looks at a row.
+# Columns that must be finite before anything else looks at a row.
 FINITE = {
     "inD": ["frame", "x", "y", "heading", "width", "length", "vx", "vy", "ax", "ay"],
-    "HighD": ["frame", "x", "y", "vx", "vy", "ax", "ay"], "DJI": ["frame", "x", "y", "vx", "vy", "ax", "ay"],
+    "HighD": ["frame", "x", "y", "vx", "vy", "ax", "ay", *K.NEIGHBOR_ID_COLUMNS], "DJI": ["frame", "x", "y", "vx", "vy", "ax", "ay", *K.NEIGHBOR_ID_COLUMNS],
     "sinD": ["frame", "x", "y", "vx", "vy", "ax", "ay", "heading"],
-    "NGSIM": ["frame", "x", "y", "speed", "lane_id", "width", "length"], "CitySim": ["frame", "x", "y", "speed", "course", "heading"],
+    "NGSIM": ["frame", "x", "y", "speed", "v_Acc", "lane_id", "width", "length"],
+    "CitySim": ["frame", "x", "y", "carCenterXft", "carCenterYft", "speed", "course", "heading"],
     "INTERACTION": ["frame", "x", "y", "vx", "vy", "heading", "width", "length"],
 }
 
@@ -80,15 +83,18 @@ def population(corpus: str, rows: DataFrame, assigned: DataFrame | None) -> Data
     as a neighbour.
     """
     spec = SPECS[corpus]
-    df = cleaning.finite_rows(prepare(corpus, rows), FINITE[corpus])
+    df = prepare(corpus, rows)
+    df = cleaning.finite_rows(df, [c for c in FINITE[corpus] if c in df.columns])
     if spec.vehicles:
         df = cleaning.vehicle_rows(df, list(spec.vehicles), fold_case=corpus == "sinD")
     if spec.needs_assignment:
         if assigned is None:
             raise ValueError(f"{corpus} needs an assignment table")
         df = cleaning.assigned_rows(df, assigned)
+    # A repeated (track, frame) would shift the positions that windows are cut by; the first in file order stays.
+    df = cleaning.first_per_frame(df, "ordinal", TRACK) if "ordinal" in df.columns else df
     if spec.motion == "smoothed":
-        df = cleaning.from_first_motion(cleaning.first_per_frame(df, "ordinal", TRACK), "speed", TRACK)
+        df = cleaning.from_first_motion(df, "speed", TRACK)
         df = kinematics.add_kinematics(df.drop("heading"), TRACK, spec.rate, course="course" if corpus == "CitySim" else None)
         df = cleaning.finite_rows(df, ["vx", "vy", "ax", "ay"])
     elif spec.motion == "velocity":

@@ -144,10 +144,20 @@ def mmd_linear(spark, d):
     return rounded(out.select("model", "n", "mmd2"), ["mmd2"])
 
 
-@query("A8")
+@query("A6", with_blocks("SELECT model, dataset, n, round((xx + yy - 2 * xy) / (n * 1e0 * n), 6) AS mmd2 FROM sums", *V.PREDICTION_BLOCKS, _EXACT_MMD))
+def mmd_v_statistic(spark, d):
+    out = distribution.mmd2_v(predicted(spark, d), ["model", "dataset"])
+    return rounded(out.select("model", "dataset", "n", "mmd2"), ["mmd2"])
+
+
+@query("A8", with_blocks("""
+SELECT model, 2 * count(*) AS n, round(greatest(0, CASE WHEN 2 * avg(t) < -1e-12 THEN any_value(v) ELSE 2 * avg(t) END), 6) AS mmd2,
+       round(sqrt(greatest(0, CASE WHEN 2 * avg(t) < -1e-12 THEN any_value(v) ELSE 2 * avg(t) END)), 6) AS mmd
+FROM paired JOIN (SELECT model, (xx + yy - 2 * xy) / (n * 1e0 * n) AS v FROM whole) USING (model) GROUP BY 1""", *V.PREDICTION_BLOCKS, _LINEAR_MMD,
+    _EXACT_MMD.split("ustat AS")[0].rstrip().rstrip(",").replace("sums AS", "whole AS").replace("a.model, a.dataset,", "a.model,").replace("USING (model, dataset)", "USING (model)").replace("SELECT model, dataset, count(*)", "SELECT model, count(*)").replace("GROUP BY 1, 2)", "GROUP BY 1)")))
 def mmd_with_fallback(spark, d):
-    """Exact or linear by size, with the sampled V-statistic where the linear estimate is negative."""
-    return rounded(distribution.mmd2(predicted(spark, d), ["model"], KEY, ["frame_k"], _order_chunk(), exact_rows=256), ["mmd2", "mmd"])
+    """Linear-time, with the V-statistic where that estimate is negative."""
+    return rounded(distribution.mmd2(predicted(spark, d), ["model"], KEY, ["frame_k"], _order_chunk(), "linear").select("model", "n", "mmd2", "mmd"), ["mmd2", "mmd"])
 
 
 _TTC = """
@@ -588,7 +598,7 @@ SELECT model, samples, round(screen_score, 5) AS screen_score FROM (
 def screened_slices(spark, d):
     """Cheap screen by R2 against a caller-supplied interval; identical row sets are kept once."""
     out = slices.slice_metrics(wide_predictions(spark, d), V.MODELS, _SLICE_FEATS, K.SWEEP_RANGES)
-    return rounded(slices.screen(out, R2_WINDOW, cap=100000).select("model", "samples", "screen_score"), ["screen_score"], 5)
+    return rounded(slices.screen(out, R2_WINDOW).select("model", "samples", "screen_score"), ["screen_score"], 5)
 
 
 @query("E4")

@@ -56,7 +56,7 @@ def arc_lengths(spark, d):
     return rounded(G.arc_length(lines(spark, d), KEY).select(*KEY, "seq", "s"), ["s"], 5)
 
 
-@query("W17 R1 W19", with_blocks(
+@query("W17 R1", with_blocks(
     "SELECT dataset, scene_id, track_id, seq, round(x, 5) AS x, round(y, 5) AS y FROM r50", V.TRACKS_SQL, LINES_SQL, _ARC, _resample_sql(50, "r50")))
 def resampled_tracks(spark, d):
     return rounded(G.resample(lines(spark, d), KEY, 50), ["x", "y"], 5)
@@ -167,7 +167,7 @@ def path_coverage(spark, d):
     return rounded(out, ["mean_distance", "p95_distance"], 4)
 
 
-@query("J6 Q2 Q3 H17", with_blocks("""
+@query("J6 Q2 H17", with_blocks("""
 SELECT g.dataset, g.scene_id, g.path_id, round(min(mean_gap), 4) AS min_gap_to_track, min_by(track_id, (mean_gap, track_id)) AS nearest_track_id,
        max(c.coverage) AS coverage, any_value(x.ok) AS geometry_ok
 FROM gaps g JOIN (SELECT dataset, scene_id, round(avg(CASE WHEN gap <= 35e-1 THEN 1e0 ELSE 0e0 END), 5) AS coverage FROM (
@@ -201,7 +201,7 @@ dd AS (SELECT t.dataset, t.scene_id, t.track_id, p.path_id, p.invert, t.seq, min
 coarse AS (SELECT dataset, scene_id, track_id, path_id, invert, avg(d) + 3e-1 * quantile_cont(d, 9e-1) AS score FROM dd GROUP BY 1, 2, 3, 4, 5)"""
 
 
-@query("J5 R10 T1", with_blocks("SELECT dataset, scene_id, track_id, path_id, invert, round(score, 4) AS coarse FROM coarse", *PATH_BLOCKS, _COARSE))
+@query("J5 R10", with_blocks("SELECT dataset, scene_id, track_id, path_id, invert, round(score, 4) AS coarse FROM coarse", *PATH_BLOCKS, _COARSE))
 def coarse_scores(spark, d):
     v = matching.directed(routes.path_lines(mined_paths(spark, d)))
     return rounded(matching.coarse_scores(sampled(spark, d), v), ["coarse"], 4)
@@ -225,20 +225,38 @@ def projections(spark, d):
     return out.select(*KEY, "path_id", "seq", r("lateral", 4).alias("lateral"), r("s", 2).alias("s"))
 
 
-@query("R9")
+@query("R9", with_blocks("""
+SELECT dataset, scene_id, track_id, path_id, seq, round(min(d), 4) AS distance, min_by(vertex, (round(d, 9), vertex)) AS vertex, round(min_by(s, (round(d, 9), vertex)), 4) AS s
+FROM (SELECT t.dataset, t.scene_id, t.track_id, t.seq, g.path_id, g.seq AS vertex, g.s, sqrt(pow(t.x - g.x, 2) + pow(t.y - g.y, 2)) AS d
+      FROM r12 t JOIN geo g ON t.dataset = g.dataset AND t.scene_id = g.scene_id) GROUP BY 1, 2, 3, 4, 5""", *PATH_BLOCKS, _resample_sql(12, "r12")))
 def nearest_vertices(spark, d):
     points = G.resample(lines(spark, d), KEY, 12)
     paths = routes.path_lines(mined_paths(spark, d))
     joined = points.join(paths.select(*SCENE, "path_id"), SCENE)
-    return rounded(G.nearest_vertex(joined, paths, [*SCENE, "path_id"]), ["distance", "s"], 4)
-
-
-@query("R12")
+    return rounded(G.nearest_vertex(joined, paths, [*SCENE, "path_id"]).drop("x", "y"), ["distance", "s"], 4)
+
+
+# The distance fills a table along its diagonals k = i + j; a step needs the two diagonals before it.
+_FRECHET = f"""
+{_resample_sql(20, 'r20')},
+tl AS (SELECT dataset, scene_id, track_id, list(struct_pack(x := x, y := y) ORDER BY seq) AS a FROM r20 GROUP BY 1, 2, 3),
+pl AS (SELECT dataset, scene_id, path_id, list(struct_pack(x := x, y := y) ORDER BY seq) AS b FROM geo GROUP BY 1, 2, 3),
+pairs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY t.dataset, t.scene_id, track_id, path_id) AS id, t.dataset, t.scene_id, track_id, path_id, a, b FROM tl t JOIN pl p ON t.dataset = p.dataset AND t.scene_id = p.scene_id),
+gaps2 AS MATERIALIZED (SELECT id, i, j, sqrt(pow(a[i].x - b[j].x, 2) + pow(a[i].y - b[j].y, 2)) AS d FROM (SELECT *, unnest(range(1, 21)) AS i FROM pairs), (SELECT unnest(range(1, 101)) AS j)),
+diag(id, k, i, now, last) AS (
+  SELECT id, 2, i, CASE WHEN i = 1 THEN d ELSE 1e300 END, 1e300 FROM gaps2 WHERE j = 1
+  UNION ALL
+  SELECT w.id, w.k + 1, w.i, CASE WHEN g.d IS NULL THEN 1e300 ELSE greatest(g.d, w.best) END, w.now
+  FROM (SELECT *, least(now, coalesce(lag(now) OVER t, 1e300), coalesce(lag(last) OVER t, 1e300)) AS best FROM diag WINDOW t AS (PARTITION BY id ORDER BY i)) w
+  LEFT JOIN gaps2 g ON g.id = w.id AND g.i = w.i AND g.j = w.k + 1 - w.i WHERE w.k < 120)"""
+
+
+@query("R12", "WITH RECURSIVE" + with_blocks("""
+SELECT dataset, scene_id, track_id, path_id, round(now, 5) AS frechet FROM diag JOIN pairs USING (id) WHERE k = 120 AND i = 20""", *PATH_BLOCKS, _FRECHET)[4:])
 def frechet_distances(spark, d):
-    """Discrete Frechet distance of every track to every path, 20 points each."""
+    """Discrete Frechet distance of every track (20 points) to every path (all its points)."""
     t = G.to_array(G.resample(lines(spark, d), KEY, 20), KEY, "track")
-    p = mined_paths(spark, d).where(F.col("seq") % 5 == 0)
-    p = G.to_array(p.select(*SCENE, "path_id", "seq", "x", "y"), [*SCENE, "path_id"])
+    p = G.to_array(mined_paths(spark, d).select(*SCENE, "path_id", "seq", "x", "y"), [*SCENE, "path_id"])
     return t.join(p, SCENE).select(*KEY, "path_id", r(G.discrete_frechet(F.col("track"), F.col("line")), 5).alias("frechet"))
 
 

@@ -231,18 +231,33 @@ def transitions_round_trip(spark, d):
 @query("S12 S15", with_blocks(
     "SELECT dataset, scene_id, count(DISTINCT track_id) AS n_assigned FROM tracks WHERE is_assigned GROUP BY 1, 2", V.TRACKS_SQL))
 def assignments_round_trip(spark, d):
-    """Write one assignment document per scene and read the assigned tracks back."""
+    """Write assignment records and their summary, read the assigned tracks back."""
     t = V.tracks(spark, d)
     folder = f"{shared_folder(spark)}/assignments-{uuid.uuid4().hex}"
-    rows = t.select(*KEY, F.when(F.col("is_assigned"), "assigned").otherwise("unassigned").alias("status")).distinct()
-    records = rows.groupBy("dataset", "scene_id", F.col("track_id").alias("part")).agg(
-        F.collect_list(F.struct("track_id", "status", F.lit("p000").alias("path_id"))).alias("assignments"))
-    records.drop("part").write.json(f"{folder}/all")
-    back = tables.read_assignments(spark, folder, scenes=t.select("dataset", "scene_id"), require_path_id=True, one_document_per_file=False)
+    rows = t.select(*KEY, F.when(F.col("is_assigned"), "assigned").otherwise("unassigned").alias("status"), F.lit("p000").alias("path_id")).distinct()
+    tables.write_assignments(rows, rows.groupBy("dataset", "scene_id").count(), folder)
+    back = tables.read_written_assignments(spark, folder, require_path_id=True, scenes=t.select("dataset", "scene_id"))
     return back.groupBy("dataset", "scene_id").agg(F.countDistinct("track_id").alias("n_assigned"))
 
 
-@query("S17 P12 P20 T7", with_blocks("""
+@query("P12", with_blocks("SELECT concat(scene_id, '/', track_id) AS track_key, count(*) AS n FROM tracks GROUP BY 1", V.TRACKS_SQL))
+def track_keys(spark, d):
+    return tables.track_key(V.tracks(spark, d)).groupBy("track_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("S17 U1", with_blocks("""
+SELECT dataset, track_id, count(*) AS n, round(sum(x), 3) AS total, count(*) FILTER (frame % 2 = 0) AS even_rows FROM tracks GROUP BY 1, 2""", V.TRACKS_SQL))
+def written_union(spark, d):
+    """Two tables with different columns united by name, written as CSV and read back."""
+    t = V.tracks(spark, d)
+    parts = [t.where("frame % 2 = 0").select("dataset", "track_id", "x", F.lit(1).alias("even")), t.where("frame % 2 <> 0").select("track_id", "x", "dataset")]
+    folder = f"{shared_folder(spark)}/union-{uuid.uuid4().hex}"
+    tables.write_csv(tables.union_all(parts, sort_columns=True), folder)
+    back = spark.read.option("header", True).schema("dataset string, even int, track_id string, x double").csv(folder)
+    return back.groupBy("dataset", "track_id").agg(F.count(F.lit(1)).alias("n"), r(F.sum("x"), 3).alias("total"), F.count("even").alias("even_rows"))
+
+
+@query("P20 T7", with_blocks("""
 SELECT e AS experiment, m AS model, concat('runs/', e, '/', m, '.pt') AS checkpoint FROM (SELECT DISTINCT dataset AS e FROM tracks), (SELECT unnest(['a', 'b']) AS m)""", V.TRACKS_SQL))
 def experiment_catalogue(spark, d):
     exps = V.tracks(spark, d).select(F.col("dataset").alias("experiment")).distinct()

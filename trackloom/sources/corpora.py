@@ -7,6 +7,8 @@ folder of part files with the same name, as Spark writes them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from trackloom import constants as K
@@ -36,7 +38,6 @@ GLOBS = {
     "NGSIM": "trajectories-*.csv", "CitySim": "Intersection*/Traject*/*.csv", "INTERACTION": "DR_*_*.csv",
 }
 FRAME_RATES = {"HighD": 25.0, "inD": 25.0, "DJI": 30.0, "sinD": 10.0, "NGSIM": 10.0, "CitySim": 30.0, "INTERACTION": 10.0}
-INTERACTION_COUNTRIES = ["CHN", "DEU", "USA"]
 
 
 def _parse(path: Column, pattern: str, group: int = 1) -> Column:
@@ -67,17 +68,53 @@ def scene_columns(corpus: str, path: Column) -> dict[str, Column]:
     raise ValueError(f"unknown corpus {corpus!r}")
 
 
+def matching_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Files that a pattern names; for a folder of part files, the parts. Listings only."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for status in files.globStatus(target) or []:
+        inside = files.listStatus(status.getPath()) if status.isDirectory() else [status]
+        found += [f.getPath().toString() for f in inside if not f.getPath().getName().startswith(("_", "."))]
+    return sorted(found)
+
+
+def first_line(spark: SparkSession, path: str) -> str:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
+    try:
+        return spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine() or ""
+    finally:
+        stream.close()
+
+
+def read_csv(spark: SparkSession, pattern: str) -> DataFrame:
+    """All files of a pattern as text columns, united by column name, with ``_path`` and ``ordinal`` (file order).
+
+    One reader takes the names of a single header and applies them to all its files by position, so the files are
+    grouped by their header line first (one line of each is read) and each group has a reader of its own.
+    """
+    groups: dict[str, list[str]] = {}
+    for path in matching_files(spark, pattern):
+        groups.setdefault(first_line(spark, path), []).append(path)
+    if not groups:
+        raise FileNotFoundError(f"no file matches {pattern}")
+    parts = [spark.read.option("header", True).option("enforceSchema", False).csv(paths).withColumns(
+        {"_path": F.col("_metadata.file_path"), "ordinal": F.monotonically_increasing_id()}) for paths in groups.values()]
+    return reduce(lambda a, c: a.unionByName(c, allowMissingColumns=True), parts)
+
+
 def scan(spark: SparkSession, corpus: str, root: str) -> DataFrame:
     """Raw rows with path columns and a source ordinal (file order, fixed before any shuffle).
 
     Types are applied by column name, never inferred; columns the files do not have come back null.
     """
-    raw = spark.read.option("header", True).csv(f"{root.rstrip('/')}/{GLOBS[corpus]}")
+    raw = read_csv(spark, f"{root.rstrip('/')}/{GLOBS[corpus]}")
     typed = [
         (F.col(name).try_cast(kind) if name in raw.columns else F.lit(None).cast(kind)).alias(name)
         for name, kind in RAW[corpus].items()
     ]
-    df = raw.select(*typed, F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("ordinal"))
+    df = raw.select(*typed, "_path", "ordinal")
     return df.withColumns(scene_columns(corpus, F.col("_path"))).drop("_path")
 
 
@@ -154,26 +191,39 @@ def with_meta(tracks: DataFrame, meta: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("agent_type", F.coalesce("class", F.lit("vehicle"))).drop("class")
 
 
-def read_meta(spark: SparkSession, root: str, glob: str = "*_tracksMeta.csv", id_column: str = "id") -> DataFrame:
-    raw = spark.read.option("header", True).csv(f"{root.rstrip('/')}/{glob}")
-    recording = _parse(F.col("_metadata.file_path"), r"/([^/_]+)_tracksMeta\.csv")
+# Metadata files beside the track files, and their id column.
+META = {"HighD": ("*_tracksMeta.csv", "id"), "inD": ("*_tracksMeta.csv", "trackId"), "DJI": ("DJI_*/*_tracksMeta.csv", "id")}
+
+
+def read_meta(spark: SparkSession, root: str, glob: str = "*_tracksMeta.csv", id_column: str = "id", corpus: str = "HighD") -> DataFrame:
+    """recording, track_id and class of every track."""
+    raw = read_csv(spark, f"{root.rstrip('/')}/{glob}")
+    recording = scene_columns(corpus, F.replace(F.col("_path"), F.lit("_tracksMeta.csv"), F.lit("_tracks.csv")))["recording"]
     return raw.select(recording.alias("recording"), F.col(id_column).alias("track_id"), "class")
 
 
 def read_frame_rates(spark: SparkSession, root: str, default: float, glob: str = "*_recordingMeta.csv") -> DataFrame:
     """Frame rate per recording from its one-row metadata file."""
-    raw = spark.read.option("header", True).csv(f"{root.rstrip('/')}/{glob}")
-    recording = _parse(F.col("_metadata.file_path"), r"/([^/_]+)_recordingMeta\.csv")
+    raw = read_csv(spark, f"{root.rstrip('/')}/{glob}")
+    recording = _parse(F.col("_path"), r"/([^/_]+)_recordingMeta\.csv")
     name = next((c for c in ("frameRate", "frame_rate") if c in raw.columns), None)
     rate = F.col(name).try_cast("double") if name else F.lit(None).cast("double")
-    return raw.select(recording.alias("recording"), F.coalesce(rate, F.lit(default)).alias("frame_rate"), *[c for c in raw.columns if c != name])
+    return raw.select(recording.alias("recording"), F.coalesce(rate, F.lit(default)).alias("frame_rate"), *[c for c in raw.columns if c not in (name, "_path", "ordinal")])
 
 
 def read_corpus(spark: SparkSession, corpus: str, root: str) -> DataFrame:
-    """Canonical tracks of one corpus; raw columns that are not canonical stay available."""
+    """Canonical tracks of one corpus; raw columns that are not canonical stay available.
+
+    Where a corpus keeps the vehicle class in a metadata file beside the tracks, that is joined (``vehicle`` for tracks
+    without an entry, or if there is no such file).
+    """
     if corpus not in NORMALIZERS:
         raise ValueError(f"unknown dataset {corpus}; choices={sorted(NORMALIZERS)}")
-    return NORMALIZERS[corpus](scan(spark, corpus, root))
+    tracks = NORMALIZERS[corpus](scan(spark, corpus, root))
+    glob, id_column = META.get(corpus, (None, None))
+    if not glob or not matching_files(spark, f"{root.rstrip('/')}/{glob}"):
+        return tracks
+    return with_meta(tracks, read_meta(spark, root, glob, id_column, corpus), ["recording", "track_id"])
 
 
 def read_lane_centers(spark: SparkSession, path: str) -> DataFrame:

@@ -35,8 +35,19 @@ def read_assignments(spark: SparkSession, root: str, require_path_id: bool = Fal
 
 
 def write_assignments(assignments: DataFrame, scene_summary: DataFrame, folder: str) -> None:
-    assignments.write.partitionBy("dataset", "scene_id").parquet(f"{folder}/assignments")
-    scene_summary.write.json(f"{folder}/assignments_qc")
+    """Assignment records as JSON lines below dataset and scene, in the form ``read_assignments`` takes, and the summary.
+
+    Every record is a document of one track: a scene of any size is written by as many tasks as it has partitions.
+    """
+    fields = [c for c in assignments.columns if c not in ("dataset", "scene_id")]
+    documents = assignments.select("dataset", "scene_id", F.array(F.struct(*fields)).alias("assignments"))
+    documents.write.json(f"{folder}/documents/all")
+    scene_summary.write.json(f"{folder}/summary")
+
+
+def read_written_assignments(spark: SparkSession, folder: str, require_path_id: bool = False, scenes: DataFrame | None = None) -> DataFrame:
+    """Assigned tracks of what ``write_assignments`` wrote."""
+    return read_assignments(spark, f"{folder}/documents", require_path_id, scenes, one_document_per_file=False)
 
 
 def write_transitions(windows: DataFrame, folder: str, rows_per_file: int = 200_000) -> None:
