@@ -10,6 +10,8 @@ from trackloom.operators import bounded, geometry as G, pathfit
 from trackloom.session import materialize
 
 SCENE = ["dataset", "scene_id"]
+# Limits of the flags in summaries.
+LOW_ASSIGNED, HIGH_AMBIGUOUS, HIGH_INVERT = 0.90, 0.10, 0.60
 TRACK = ["dataset", "scene_id", "track_id"]
 SAMPLES = 80
 
@@ -212,8 +214,11 @@ def assign(tracks: DataFrame, scenes: DataFrame, paths: DataFrame, rejects: Data
         match_mode=F.lit(None), ambiguous=F.coalesce("ambiguous", no)))
 
 
-def scene_summary(assignments: DataFrame) -> DataFrame:
-    """Counts by status, ratios and flags per scene."""
+def scene_summary(assignments: DataFrame, paths: DataFrame | None = None, rejects: DataFrame | None = None) -> DataFrame:
+    """Counts by status, ratios and flags per scene, with the limits of the flags.
+
+    Given the paths and reject prototypes that were matched against, also how many of each the scene has.
+    """
     is_ = lambda s: F.count_if(F.col("status") == s)
     assigned = F.col("status") == "assigned"
     out = assignments.groupBy(*SCENE).agg(
@@ -231,11 +236,17 @@ def scene_summary(assignments: DataFrame) -> DataFrame:
         "ambiguous_ratio": F.col("ambiguous_assigned") / kept,
         "invert_ratio": F.col("invert_assigned") / kept,
     })
-    return out.withColumns({
-        "low_assigned_ratio": F.col("assigned_ratio") < 0.90,
-        "high_ambiguous_ratio": F.col("ambiguous_ratio") > 0.10,
-        "high_invert_ratio": F.col("invert_ratio") > 0.60,
+    out = out.withColumns({
+        "low_assigned_ratio": F.col("assigned_ratio") < LOW_ASSIGNED,
+        "high_ambiguous_ratio": F.col("ambiguous_ratio") > HIGH_AMBIGUOUS,
+        "high_invert_ratio": F.col("invert_ratio") > HIGH_INVERT,
+        "low_assigned_limit": F.lit(LOW_ASSIGNED), "high_ambiguous_limit": F.lit(HIGH_AMBIGUOUS), "high_invert_limit": F.lit(HIGH_INVERT),
     }).drop("invert_assigned")
+    for table, column, name in ((paths, "path_id", "n_paths"), (rejects, "reject_id", "n_rejects")):
+        if table is not None:
+            counts = table.groupBy(*SCENE).agg(F.countDistinct(column).alias(name))
+            out = out.join(counts, SCENE, "left").na.fill(0, [name])
+    return out
 
 
 def best_unassigned(assignments: DataFrame, n: int = 20) -> DataFrame:
@@ -243,12 +254,18 @@ def best_unassigned(assignments: DataFrame, n: int = 20) -> DataFrame:
         assignments.where(F.col("status") == "unassigned"), SCENE, [F.asc_nulls_last("score"), F.col("track_id")], n)
 
 
-def batch_summary(scene_rows: DataFrame) -> DataFrame:
-    """Totals by dataset and overall, with the number of flagged scenes."""
+def batch_summary(scene_rows: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Totals by dataset and overall, with the number of flagged scenes and, if the wanted scenes are given, of those
+    that gave no result (see :func:`missing_scenes`)."""
     flagged = F.col("low_assigned_ratio") | F.col("high_ambiguous_ratio") | F.col("high_invert_ratio")
-    out = scene_rows.rollup("dataset").agg(
-        F.count(F.lit(1)).alias("scenes"), F.sum("n_tracks").alias("tracks"), *[F.sum(s).alias(s) for s in K.STATUSES],
-        F.count_if(flagged).alias("flagged_scenes"))
+    rows = scene_rows.withColumn("_missing", F.lit(0)).withColumn("_done", F.lit(1))
+    if wanted is not None:
+        gone = missing_scenes(wanted, scene_rows).withColumns({"_missing": F.lit(1), "_done": F.lit(0)})
+        rows = rows.unionByName(gone, allowMissingColumns=True)
+    out = rows.rollup("dataset").agg(
+        F.sum("_done").alias("scenes"), F.coalesce(F.sum("n_tracks"), F.lit(0)).alias("tracks"),
+        *[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in K.STATUSES],
+        F.count_if(flagged).alias("flagged_scenes"), *([F.sum("_missing").alias("missing_scenes")] if wanted is not None else []))
     return out.withColumn("dataset", F.coalesce("dataset", F.lit("(all)")))
 
 

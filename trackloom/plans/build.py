@@ -82,9 +82,13 @@ def population(corpus: str, rows: DataFrame, assigned: DataFrame | None) -> Data
     The filters stay below the neighbour join on purpose: a vehicle that is dropped here is also invisible
     as a neighbour.
     """
+    return with_motion(corpus, eligible(corpus, rows, assigned))
+
+
+def eligible(corpus: str, rows: DataFrame, assigned: DataFrame | None) -> DataFrame:
+    """Finite rows of assigned vehicles, each frame of a track once, from the first motion on where speed is smoothed."""
     spec = SPECS[corpus]
-    df = prepare(corpus, rows)
-    df = cleaning.finite_rows(df, [c for c in FINITE[corpus] if c in df.columns])
+    df = finite(corpus, rows)
     if spec.vehicles:
         df = cleaning.vehicle_rows(df, list(spec.vehicles), fold_case=corpus == "sinD")
     if spec.needs_assignment:
@@ -93,8 +97,18 @@ def population(corpus: str, rows: DataFrame, assigned: DataFrame | None) -> Data
         df = cleaning.assigned_rows(df, assigned)
     # A repeated (track, frame) would shift the positions that windows are cut by; the first in file order stays.
     df = cleaning.first_per_frame(df, "ordinal", TRACK) if "ordinal" in df.columns else df
+    return cleaning.from_first_motion(df, "speed", TRACK) if spec.motion == "smoothed" else df
+
+
+def finite(corpus: str, rows: DataFrame) -> DataFrame:
+    df = prepare(corpus, rows)
+    return cleaning.finite_rows(df, [c for c in FINITE[corpus] if c in df.columns])
+
+
+def with_motion(corpus: str, df: DataFrame) -> DataFrame:
+    """Velocities and accelerations where the corpus does not give them."""
+    spec = SPECS[corpus]
     if spec.motion == "smoothed":
-        df = cleaning.from_first_motion(df, "speed", TRACK)
         df = kinematics.add_kinematics(df.drop("heading"), TRACK, spec.rate, course="course" if corpus == "CitySim" else None)
         df = cleaning.finite_rows(df, ["vx", "vy", "ax", "ay"])
     elif spec.motion == "velocity":
@@ -131,3 +145,35 @@ def build_transitions(corpus: str, rows: DataFrame, assigned: DataFrame | None =
     splits = transitions.file_splits(ids, method=split)
     ids = ids.join(splits, ["country", "file_stem", "case_id", "track_number", "file_split"]).select("scene_id", "track_id", "split")
     return cut.join(ids, ["scene_id", "track_id"])
+
+
+def build_report(corpus: str, rows: DataFrame, assigned: DataFrame | None = None, history: int = 12) -> DataFrame:
+    """What a build saw and left out, per scene.
+
+    Rows by reason (class, no assignment, before the first motion or repeated), tracks too short for a window, and the
+    candidate windows that were broken, implausible or kept. Rows that are not finite are not seen at all.
+    """
+    spec, scene, key = SPECS[corpus], ["dataset", "scene_id"], ["dataset", "scene_id", "track_id"]
+    kind = F.lower("agent_type") if corpus == "sinD" else F.col("agent_type")
+    vehicle = F.coalesce(kind.isin(*spec.vehicles), F.lit(False)) if spec.vehicles else F.lit(True)
+    seen = finite(corpus, rows)
+    if spec.needs_assignment:
+        seen = seen.join(assigned.select(*key).distinct().withColumn("_assigned", F.lit(True)), key, "left")
+    matched = F.col("_assigned").isNotNull() if spec.needs_assignment else F.lit(True)
+    tracks = seen.groupBy(*TRACK).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(~vehicle).alias("skipped_class"), F.count_if(vehicle & ~matched).alias("skipped_unassigned"))
+    used = transitions.window_counts(eligible(corpus, rows, assigned), spec.stride, history, TRACK)
+    # One row a track on both sides.
+    tracks = tracks.join(used, TRACK, "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    per_scene = tracks.groupBy(*scene).agg(
+        F.sum("rows").alias("rows_seen"), F.count(F.lit(1)).alias("tracks_seen"), F.sum("skipped_class").alias("skipped_class"),
+        F.sum("skipped_unassigned").alias("skipped_unassigned"),
+        (F.sum("rows") - F.sum("skipped_class") - F.sum("skipped_unassigned") - F.sum("n_rows")).alias("skipped_still_or_repeated"),
+        F.count_if((F.col("n_rows") > 0) & (F.col("n_rows") < history + 2)).alias("short_tracks"),
+        F.coalesce(F.sum("candidates"), F.lit(0)).alias("candidates"))
+    judged = build_windows(corpus, rows, assigned, history).groupBy(*scene).agg(
+        F.count(F.lit(1)).alias("consecutive"), F.count_if("kept").alias("kept"))
+    out = per_scene.join(judged, scene, "left").na.fill(0, ["consecutive", "kept"])
+    return out.withColumns({
+        "skipped_nonconsecutive": F.col("candidates") - F.col("consecutive"), "skipped_physical": F.col("consecutive") - F.col("kept"),
+    }).drop("consecutive")

@@ -184,21 +184,55 @@ def build_ind(spark, d):
     return corpus_counts(spark, d, "inD")
 
 
-@query("P2")
+# How many windows are kept does not depend on the neighbours, so their SQL leaves the distances out.
+_NO_GAPS = "sectors AS (SELECT *, " + ", ".join(f"CAST(NULL AS DOUBLE) AS d{i}" for i in range(8)) + " FROM veh)"
+_CLASSES = "agent_type IN ('car', 'truck', 'bus')"
+
+
+def _within(ax, ay, jump_x, jump_y):
+    both = lambda i, limit, jump: f"abs(action[{i}]) <= {limit} AND abs(next_action[{i}]) <= {limit} AND abs(next_action[{i}] - action[{i}]) <= {jump}"
+    return f"{both(1, ax, jump_x)} AND {both(2, ay, jump_y)}"
+
+
+def _build_blocks(corpus, vehicles):
+    return [V.TRACKS_SQL, f"traw AS (SELECT * REPLACE ('{corpus}' AS dataset) FROM tracks)",
+            f"veh AS (SELECT * FROM traw WHERE is_assigned AND {vehicles})", _NO_GAPS, V.WINDOWS_SQL]
+
+
+def _build_sql(corpus, vehicles, limits):
+    return with_blocks(f"SELECT dataset, scene_id, split, count(*) AS n FROM split_windows WHERE {_within(*limits)} GROUP BY 1, 2, 3", *_build_blocks(corpus, vehicles))
+
+
+@query("P2", _build_sql("HighD", "true", (10, 5, 5, 2)))
 def build_highd(spark, d):
     return corpus_counts(spark, d, "HighD")
 
 
-@query("P2")
+@query("P2", _build_sql("DJI", _CLASSES, (8, 8, 6, 6)))
 def build_dji(spark, d):
     return corpus_counts(spark, d, "DJI")
 
 
-@query("P2")
+@query("P2", _build_sql("sinD", _CLASSES, (10, 10, 8, 8)))
 def build_sind(spark, d):
     return corpus_counts(spark, d, "sinD")
 
 
+@query("A2", with_blocks(f"""
+SELECT s.*, coalesce(short_tracks, 0) AS short_tracks, coalesce(candidates, 0) AS candidates, coalesce(candidates, 0) - coalesce(consecutive, 0) AS skipped_nonconsecutive,
+       coalesce(consecutive, 0) - coalesce(k, 0) AS skipped_physical, coalesce(k, 0) AS kept, 0 AS skipped_still_or_repeated
+FROM (SELECT dataset, scene_id, count(*) AS rows_seen, count(DISTINCT track_id) AS tracks_seen, count(*) FILTER (NOT {_CLASSES}) AS skipped_class,
+             count(*) FILTER ({_CLASSES} AND NOT is_assigned) AS skipped_unassigned FROM traw GROUP BY 1, 2) s
+LEFT JOIN (SELECT dataset, scene_id, count(*) FILTER (n < 14) AS short_tracks, sum(CASE WHEN n >= 14 THEN CAST(ceil((n - 13) / 12e0) AS BIGINT) ELSE 0 END) AS candidates
+           FROM (SELECT dataset, scene_id, track_id, count(*) AS n FROM veh GROUP BY 1, 2, 3) GROUP BY 1, 2) c ON c.dataset = s.dataset AND c.scene_id = s.scene_id
+LEFT JOIN (SELECT dataset, scene_id, count(*) AS consecutive, count(*) FILTER ({_within(8, 8, 6, 6)}) AS k FROM split_windows GROUP BY 1, 2) w
+       ON w.dataset = s.dataset AND w.scene_id = s.scene_id""", *_build_blocks("DJI", _CLASSES)))
+def build_report(spark, d):
+    """What a build saw, left out for which reason, and kept."""
+    rows = _raw_rows(spark, d, "DJI")
+    return build.build_report("DJI", rows, rows.where("is_assigned").select(*KEY).distinct())
+
+
 @query("P2 W15")
 def build_ngsim(spark, d):
     return corpus_counts(spark, d, "NGSIM")
@@ -264,3 +298,29 @@ def experiment_catalogue(spark, d):
     models = exps.limit(1).select(F.explode(F.array(F.lit("b"), F.lit("a"))).alias("model")).withColumn(
         "checkpoint_template", F.concat(F.lit("runs/{experiment}/"), "model", F.lit(".pt")))
     return tables.in_order(tables.catalogue(exps, models), "model", ["a", "b"], "experiment")
+
+
+@query("S10", with_blocks("SELECT 'NGSIM' AS dataset, concat('NGSIM_', CASE WHEN lane_id <= 2 THEN 'left' ELSE 'right' END) AS scene_id FROM tracks GROUP BY 1, 2", V.TRACKS_SQL))
+def scene_listing(spark, d):
+    """Scenes found from the listing of written track files."""
+    t = V.tracks(spark, d)
+    folder = f"{shared_folder(spark)}/listing-{uuid.uuid4().hex}"
+    columns = [F.col("track_id").alias("Vehicle_ID"), F.col("frame").alias("Frame_ID"), F.col("x").alias("Local_Y"), F.col("y").alias("Local_X")]
+    t.where("lane_id <= 2").select(*columns).write.option("header", True).csv(f"{folder}/trajectories-left.csv")
+    t.where("lane_id > 2").select(*columns[::-1]).write.option("header", True).csv(f"{folder}/trajectories-right.csv")
+    return corpora.discover_scenes(spark, {"NGSIM": folder})
+
+
+@query("S8", with_blocks("""
+SELECT center_id, count(*) AS n_points, round(sum(x), 3) AS sum_x, round(sum(y), 3) AS sum_y FROM (
+  SELECT concat(scene_id, '/', lane_id) AS center_id, CAST(floor(frame / 50e0) AS BIGINT) AS part, avg(x) AS x, avg(y) AS y FROM tracks GROUP BY 1, 2)
+GROUP BY 1 HAVING count(*) >= 2""", V.TRACKS_SQL))
+def lane_centres(spark, d):
+    """Centre lines of lanes (mean place for every 50 frames), written as JSON and read back; single points are left out."""
+    parts = V.tracks(spark, d).groupBy(F.concat_ws("/", "scene_id", "lane_id").alias("center_id"), F.floor(F.col("frame") / 50.0).alias("part")).agg(
+        F.avg("x").alias("x"), F.avg("y").alias("y"))
+    lines = parts.groupBy("center_id").agg(F.array_sort(F.collect_list(F.struct("part", "x", "y"))).alias("p"))
+    folder = f"{shared_folder(spark)}/lanes-{uuid.uuid4().hex}"
+    lines.select("center_id", F.transform("p", lambda v: F.array(v["x"], v["y"])).alias("center_points")).write.json(folder)
+    back = corpora.read_lane_centers(spark, folder, one_document_per_file=False).select("center_id", F.explode("line").alias("p"))
+    return back.groupBy("center_id").agg(F.count(F.lit(1)).alias("n_points"), r(F.sum("p.x"), 3).alias("sum_x"), r(F.sum("p.y"), 3).alias("sum_y"))

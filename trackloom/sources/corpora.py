@@ -226,10 +226,10 @@ def read_corpus(spark: SparkSession, corpus: str, root: str) -> DataFrame:
     return with_meta(tracks, read_meta(spark, root, glob, id_column, corpus), ["recording", "track_id"])
 
 
-def read_lane_centers(spark: SparkSession, path: str) -> DataFrame:
-    """Lane centre lines with at least two points."""
+def read_lane_centers(spark: SparkSession, path: str, one_document_per_file: bool = True) -> DataFrame:
+    """Lane centre lines with at least two points, from one JSON per file (or JSON lines)."""
     schema = "center_id string, center_points array<array<double>>"
-    lanes = spark.read.schema(schema).option("multiLine", True).json(path)
+    lanes = spark.read.schema(schema).option("multiLine", one_document_per_file).json(path)
     line = F.transform("center_points", lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
     return lanes.where(F.size("center_points") >= 2).select("center_id", line.alias("line"))
 
