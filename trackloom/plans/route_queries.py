@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trackloom.operators import bounded, cleaning, clustering, geometry as G, matching, routes
 from trackloom.plans import views as V
 from trackloom.plans.registry import query, r, rounded, with_blocks
+from trackloom.session import materialize, shared_folder
 
 SCENE = ["dataset", "scene_id"]
 KEY = [*SCENE, "track_id"]
@@ -167,7 +170,8 @@ def path_coverage(spark, d):
     return rounded(out, ["mean_distance", "p95_distance"], 4)
 
 
-@query("J6 Q2 H17", with_blocks("""
+_QUALITY = """
+quality AS (
 SELECT g.dataset, g.scene_id, g.path_id, round(min(mean_gap), 4) AS min_gap_to_track, min_by(track_id, (mean_gap, track_id)) AS nearest_track_id,
        max(c.coverage) AS coverage, any_value(x.ok) AS geometry_ok
 FROM gaps g JOIN (SELECT dataset, scene_id, round(avg(CASE WHEN gap <= 35e-1 THEN 1e0 ELSE 0e0 END), 5) AS coverage FROM (
@@ -177,11 +181,45 @@ JOIN (SELECT a.dataset, a.scene_id, a.path_id, NOT bool_or(b.seq >= a.seq + 2
      AND (CASE WHEN abs((b.y - a.y) * (a.nx - a.x) - (a.ny - a.y) * (b.x - a.x)) > 1e-9 THEN sign((b.y - a.y) * (a.nx - a.x) - (a.ny - a.y) * (b.x - a.x)) ELSE 0 END) * (CASE WHEN abs((b.ny - a.y) * (a.nx - a.x) - (a.ny - a.y) * (b.nx - a.x)) > 1e-9 THEN sign((b.ny - a.y) * (a.nx - a.x) - (a.ny - a.y) * (b.nx - a.x)) ELSE 0 END) < 0) AS ok
   FROM seg a JOIN seg b ON a.dataset = b.dataset AND a.scene_id = b.scene_id AND a.path_id = b.path_id GROUP BY 1, 2, 3) x
   ON x.dataset = g.dataset AND x.scene_id = g.scene_id AND x.path_id = g.path_id
-GROUP BY 1, 2, 3""", *GAP_BLOCKS,
-    "seg AS (SELECT * FROM (SELECT *, lead(x) OVER t AS nx, lead(y) OVER t AS ny FROM geo WINDOW t AS (PARTITION BY dataset, scene_id, path_id ORDER BY seq)) WHERE nx IS NOT NULL)"))
+GROUP BY 1, 2, 3)"""
+_SEG = "seg AS (SELECT * FROM (SELECT *, lead(x) OVER t AS nx, lead(y) OVER t AS ny FROM geo WINDOW t AS (PARTITION BY dataset, scene_id, path_id ORDER BY seq)) WHERE nx IS NOT NULL)"
+QUALITY_BLOCKS = [*GAP_BLOCKS, _SEG, _QUALITY]
+
+
+@query("J6 Q2 H17", with_blocks("""
+SELECT *, true AS metadata_ok, min_gap_to_track >= 1e-1 AS not_identical_to_raw_track, 100 AS n_points,
+       geometry_ok AND min_gap_to_track >= 1e-1 AND coverage >= 9e-1 AS valid FROM quality""", *QUALITY_BLOCKS))
 def quality_report(spark, d):
-    out = routes.quality_report(mined_paths(spark, d), gaps(spark, d), line_scenes(spark, d))
-    return rounded(rounded(out.select(*SCENE, "path_id", "min_gap_to_track", "nearest_track_id", "coverage", "geometry_ok"), ["min_gap_to_track"], 4), ["coverage"], 5)
+    out = routes.quality_report(mined_paths(spark, d), gaps(spark, d), line_scenes(spark, d), enforce_uniqueness=True)
+    return rounded(rounded(out, ["min_gap_to_track"], 4), ["coverage"], 5)
+
+
+@query("S16 Q3 Q4", with_blocks("""
+SELECT g.dataset, g.scene_id, g.path_id, count(*) AS n_points, round(sum(g.x), 3) AS sum_x, any_value(q.nearest_track_id) AS nearest_track_id, any_value(q.coverage) AS coverage,
+       any_value(q.refused) AS refused_for_coverage
+FROM geo g JOIN (SELECT *, bool_or(fit AND coverage < 9e-1) OVER () AS refused FROM (
+    SELECT *, bool_and(geometry_ok AND min_gap_to_track >= 1e-1) OVER (PARTITION BY dataset, scene_id) AS fit FROM quality)) q
+  ON g.dataset = q.dataset AND g.scene_id = q.scene_id AND g.path_id = q.path_id WHERE q.fit GROUP BY 1, 2, 3""", *QUALITY_BLOCKS))
+def saved_paths(spark, d):
+    """Paths of scenes that pass all checks of the paths themselves, saved with their report and read back.
+
+    The gate is tried both ways: with coverage required it refuses if any of these scenes is covered too little.
+    """
+    points = mined_paths(spark, d)
+    report = materialize(routes.quality_report(points, gaps(spark, d), line_scenes(spark, d), enforce_uniqueness=True), "path-report")
+    failing = report.where("NOT (geometry_ok AND metadata_ok AND not_identical_to_raw_track)").select(*SCENE).distinct()
+    points, report = points.join(failing, SCENE, "left_anti"), report.join(failing, SCENE, "left_anti")
+    folder = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
+    try:
+        routes.save_paths(points, report, f"{folder}/covered", require_coverage=True)
+        refused = False
+    except ValueError:
+        refused = True
+    routes.save_paths(points, report, f"{folder}/all", require_coverage=False)
+    back = spark.read.schema("path_id string, x double, nearest_track_id string, coverage double, dataset string, scene_id string").parquet(f"{folder}/all/paths")
+    return back.groupBy(*SCENE, "path_id").agg(
+        F.count(F.lit(1)).alias("n_points"), r(F.sum("x"), 3).alias("sum_x"), F.first("nearest_track_id").alias("nearest_track_id"),
+        r(F.first("coverage"), 5).alias("coverage"), F.lit(refused).alias("refused_for_coverage"))
 
 
 def sampled(spark, d):
@@ -303,6 +341,70 @@ def batch_summary(spark, d):
     return matching.batch_summary(matching.scene_summary(assignments(spark, d)))
 
 
+# One record for each track with a status from its number: the summaries have SQL twins of their own, apart from matching.
+_RECORDS = """
+records AS (
+  SELECT dataset, scene_id, track_id, CASE WHEN any_value(agent_type) = 'pedestrian' THEN 'excluded_non_vehicle' WHEN CAST(track_id AS BIGINT) % 6 = 0 THEN 'rejected_ignore_track'
+      WHEN CAST(track_id AS BIGINT) % 6 = 1 THEN 'unassigned' WHEN count(*) < 14 THEN 'invalid_too_short' ELSE 'assigned' END AS status,
+    CAST(track_id AS BIGINT) % 10 = 2 AS ambiguous, CAST(track_id AS BIGINT) % 2 = 0 AS invert,
+    CASE WHEN CAST(track_id AS BIGINT) % 5 = 0 THEN 'initial_ref_path_lane_change' ELSE 'shape' END AS match_mode, max(x) AS score
+  FROM tracks GROUP BY dataset, scene_id, track_id)"""
+_SCENE_COUNTS = """
+scene_counts AS (
+  SELECT dataset, scene_id, count(*) AS n_tracks, count(*) FILTER (status = 'assigned') AS assigned, count(*) FILTER (status = 'rejected_ignore_track') AS rejected_ignore_track,
+    count(*) FILTER (status = 'unassigned') AS unassigned, count(*) FILTER (status = 'excluded_non_vehicle') AS excluded_non_vehicle,
+    count(*) FILTER (status = 'invalid_too_short') AS invalid_too_short, count(*) FILTER (status = 'assigned' AND ambiguous) AS ambiguous_assigned,
+    count(*) FILTER (status = 'assigned' AND invert) AS inv, count(*) FILTER (status = 'assigned' AND match_mode = 'shape') AS mode_shape,
+    count(*) FILTER (status = 'assigned' AND match_mode <> 'shape') AS mode_lane_change FROM records GROUP BY 1, 2),
+scene_ratios AS (
+  SELECT *, assigned * 1e0 / greatest(1, assigned + rejected_ignore_track + unassigned) AS assigned_ratio,
+    (assigned + rejected_ignore_track) * 1e0 / greatest(1, assigned + rejected_ignore_track + unassigned) AS usable_ratio,
+    ambiguous_assigned * 1e0 / greatest(1, assigned) AS ambiguous_ratio, inv * 1e0 / greatest(1, assigned) AS invert_ratio FROM scene_counts)"""
+_RATIOS = ["assigned_ratio", "usable_ratio", "ambiguous_ratio", "invert_ratio"]
+
+
+def status_records(spark, d):
+    n = F.col("track_id").cast("long")
+    t = V.tracks(spark, d).groupBy(*KEY).agg(F.first("agent_type").alias("kind"), F.count(F.lit(1)).alias("n"), F.max("x").alias("score"))
+    status = F.when(F.col("kind") == "pedestrian", "excluded_non_vehicle").when(n % 6 == 0, "rejected_ignore_track").when(n % 6 == 1, "unassigned").when(
+        F.col("n") < 14, "invalid_too_short").otherwise("assigned")
+    mode = F.when(n % 5 == 0, "initial_ref_path_lane_change").otherwise("shape")
+    return t.select(*KEY, status.alias("status"), (n % 10 == 2).alias("ambiguous"), (n % 2 == 0).alias("invert"), mode.alias("match_mode"), "score")
+
+
+@query("A18", with_blocks("""
+SELECT s.* EXCLUDE (inv, assigned_ratio, usable_ratio, ambiguous_ratio, invert_ratio), round(assigned_ratio, 5) AS assigned_ratio, round(usable_ratio, 5) AS usable_ratio,
+  round(ambiguous_ratio, 5) AS ambiguous_ratio, round(invert_ratio, 5) AS invert_ratio, assigned_ratio < 9e-1 AS low_assigned_ratio, ambiguous_ratio > 1e-1 AS high_ambiguous_ratio,
+  invert_ratio > 6e-1 AS high_invert_ratio, 9e-1 AS low_assigned_limit, 1e-1 AS high_ambiguous_limit, 6e-1 AS high_invert_limit, coalesce(p.n_paths, 0) AS n_paths
+FROM scene_ratios s LEFT JOIN (SELECT dataset, scene_id, count(DISTINCT path_id) AS n_paths FROM geo GROUP BY 1, 2) p ON p.dataset = s.dataset AND p.scene_id = s.scene_id""",
+    *PATH_BLOCKS, _RECORDS, _SCENE_COUNTS))
+def status_summary(spark, d):
+    """Counts, ratios, flags and limits per scene, with the number of paths."""
+    return rounded(matching.scene_summary(status_records(spark, d), paths=mined_paths(spark, d)), _RATIOS, 5)
+
+
+@query("A19 P9", with_blocks("""
+SELECT coalesce(w.dataset, '(all)') AS dataset, count(s.scene_id) AS scenes, coalesce(sum(n_tracks), 0) AS tracks, coalesce(sum(assigned), 0) AS assigned,
+  coalesce(sum(rejected_ignore_track), 0) AS rejected_ignore_track, coalesce(sum(unassigned), 0) AS unassigned, coalesce(sum(excluded_non_vehicle), 0) AS excluded_non_vehicle,
+  coalesce(sum(invalid_too_short), 0) AS invalid_too_short, count(*) FILTER (assigned_ratio < 9e-1 OR ambiguous_ratio > 1e-1 OR invert_ratio > 6e-1) AS flagged_scenes,
+  count(*) FILTER (s.scene_id IS NULL) AS missing_scenes
+FROM (SELECT DISTINCT unnest(['inD', 'DJI', 'sinD']) AS dataset, scene_id FROM tracks) w
+LEFT JOIN scene_ratios s ON s.dataset = w.dataset AND s.scene_id = w.scene_id GROUP BY ROLLUP (w.dataset)""", V.TRACKS_SQL, _RECORDS, _SCENE_COUNTS))
+def status_batch(spark, d):
+    """Totals of a batch in which every dataset was to have every scene: those without a result are counted."""
+    every = F.explode(F.array(*[F.lit(x) for x in ("inD", "DJI", "sinD")])).alias("dataset")
+    wanted = V.tracks(spark, d).select("scene_id").distinct().select(every, "scene_id")
+    return matching.batch_summary(matching.scene_summary(status_records(spark, d)), wanted)
+
+
+@query("A18 T2", with_blocks("""
+SELECT dataset, scene_id, track_id, round(score, 4) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY dataset, scene_id ORDER BY score NULLS LAST, track_id) AS i FROM records WHERE status = 'unassigned') WHERE i <= 20""", V.TRACKS_SQL, _RECORDS))
+def nearest_unassigned(spark, d):
+    """The unassigned tracks of each scene that came nearest to a match."""
+    return rounded(matching.best_unassigned(status_records(spark, d)).select(*KEY, "score"), ["score"], 4)
+
+
 @query("A18 T2")
 def best_unassigned(spark, d):
     out = matching.best_unassigned(assignments(spark, d))
