@@ -510,7 +510,7 @@ def _slice_metrics_sql(group: str = "scope, feature, q_lo, q_hi", source: str =
     return "sm AS (" + " UNION ALL ".join(parts) + ")"
 
 
-_SLICE_FEATS = ["speed", "prev_acc", "target_ax_abs", "front_dist", "min_neighbor"]
+_SLICE_FEATS = _FEATURE_NAMES
 SLICE_BLOCKS = [*V.PREDICTION_BLOCKS, _FEATS, _long_sql(_SLICE_FEATS), _SWEEP, _slice_metrics_sql()]
 
 
@@ -530,6 +530,15 @@ def slice_r2(spark, d):
     return rounded(out.select("scope", "feature", "q_lo", "q_hi", "model", "samples", "r2_x", "r2_y"), ["r2_x", "r2_y"], 4)
 
 
+@query("E3", with_blocks(
+    "SELECT scope, feature, q_lo, q_hi, model, samples, round(rmse_x, 4) AS rmse_x, round(rmse_y, 4) AS rmse_y, round(r2_x, 4) AS r2_x, round(r2_y, 4) AS r2_y FROM sm",
+    *V.PREDICTION_BLOCKS, _FEATS, _long_sql(_SLICE_FEATS), _slices_sql(K.FINE_RANGES), _slice_metrics_sql()))
+def slice_fine(spark, d):
+    """The finer list of quantile ranges."""
+    out = slices.slice_metrics(wide_predictions(spark, d), V.MODELS, _SLICE_FEATS, K.FINE_RANGES)
+    return rounded(out.select("scope", "feature", "q_lo", "q_hi", "model", "samples", "rmse_x", "rmse_y", "r2_x", "r2_y"), ["rmse_x", "rmse_y", "r2_x", "r2_y"], 4)
+
+
 _HORIZONS = [1.0, 2.0, 3.0]
 
 
