@@ -180,13 +180,6 @@ def fit(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], pool: float =
     return Discriminant(n[1] / total, centre, scale, (means[0], means[1]), (factors[0], factors[1]), (log_dets[0], log_dets[1]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts with their label, of the folds that may be learned from. The shuffle is by doc_id, one label row each."""
-    one = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("quality"))
-    learn = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
-    return learn.join(one, F.col("doc_id") == F.col("label_id")).select("text", F.col("quality").cast("int").alias("quality"))
-
-
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD_FOLD, F.lit(False))
 
