@@ -205,7 +205,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their group: the smallest doc_id (then text mark), and one of equal rows."""
-    members = materialize(link(materialize(fingerprints(docs), "fingerprints")), "members")
+    return keep_first(docs, materialize(link(materialize(fingerprints(docs), "fingerprints")), "members"))
+
+
+def keep_first(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """members: doc_id, mark and group of every row of ``docs``, written already."""
     name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
     stays = members.groupBy("group").agg(F.min(name).alias("first"))
     own_id, own_mark, copies = fresh(docs, "own_id", "own_mark", "own_copies")
