@@ -189,6 +189,18 @@ def test_quality_counts():
     assert np.allclose(whole[:3], parts[:3]) and np.isfinite(parts).all()
 
 
+@pytest.mark.parametrize("limit", [1, 7, 1000, 40_000])
+def test_quality_does_not_depend_on_pieces(limit):
+    """A text's statistics are the same whatever piece it is read in: cut words and lines, repeated ones, none at all."""
+    some = " ".join(f"w{i}" for i in range(300))
+    texts = [LONG[:50_000], "\n".join([some] * 6), "x" * 300, "a a a b\n\n a a\na", "\n \n", "ab" * 40 + "\n" + "ab" * 40, "é ü é ü\n" * 30, " lead and trail \n"]
+    for text in texts[1 if limit < 1000 else 0 :]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        bounds = np.array([0, len(data)])
+        whole = quality.transform(quality.counts(data, bounds))
+        assert np.allclose(quality.statistics(data, bounds, limit), whole, rtol=0, atol=1e-12), text[:20]
+
+
 def test_quality_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (8, 0), (4, 1), (11, 0), (5, 1), (7, None), (None, 1), (3, 0)], "doc_id long, quality int")
     for some in (labels, labels.where("false"), labels.where("quality = 1")):

@@ -39,6 +39,10 @@ _IS_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
 _POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
 
 
+def _run_hash(sums: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return (sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + length.astype(np.uint64)
+
+
 def _word_hashes(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of every maximal run where ``inside`` holds."""
     edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
@@ -49,19 +53,81 @@ def _word_hashes(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.n
         np.arange(len(data)) - np.concatenate((np.zeros(start[0], np.int64), np.repeat(start, np.diff(np.append(start, len(data)))))))
     mixed = (data.astype(np.uint64) + np.uint64(1)) * _POWERS[place & 63] * inside
     sums = np.add.reduceat(mixed, start)
-    return start, (sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (end - start).astype(np.uint64)
-
-
-def _pieces(data: np.ndarray, limit: int) -> Iterator[np.ndarray]:
-    """A long text cut behind a blank where there is one, so that its words stay whole."""
-    at = 0
-    while at < len(data):
-        end = min(at + limit, len(data))
-        if end < len(data):
-            blanks = np.flatnonzero(_IS_SPACE[data[at:end]])
-            end = at + int(blanks[-1]) + 1 if len(blanks) else end
-        yield data[at:end]
-        at = end
+    return start, _run_hash(sums, end - start)
+
+
+def _merged(hashes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different hashes and the sum of each one's counts."""
+    value, place = np.unique(hashes, return_inverse=True)
+    return value, np.bincount(place, times, len(value)).astype(np.int64)
+
+
+class _Runs:
+    """Maximal runs (words or lines) of a text that comes in pieces: an open run goes on in the next piece."""
+
+    def __init__(self) -> None:
+        self.seen, self.times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.total = self.bytes = self.squares = self.same = self.open_bytes = 0
+        self.open_sum, self.last = np.zeros(1, np.uint64), np.zeros(0, np.uint64)
+
+    def add(self, data: np.ndarray, inside: np.ndarray) -> None:
+        if not len(data):
+            return
+        goes_on = bool(self.open_bytes and inside[0])
+        if self.open_bytes and not goes_on:
+            self.close()
+        edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if not len(start):
+            return
+        length = end - start
+        place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        if goes_on:
+            place[: length[0]] += self.open_bytes
+        sums = np.add.reduceat((data[inside].astype(np.uint64) + np.uint64(1)) * _POWERS[place & 63], np.cumsum(length) - length)
+        if goes_on:
+            sums[:1] += self.open_sum
+            length[0] += self.open_bytes
+        self.open_bytes = 0
+        if inside[-1]:
+            self.open_sum, self.open_bytes = sums[-1:], int(length[-1])
+            sums, length = sums[:-1], length[:-1]
+        self._take(sums, length)
+
+    def close(self) -> None:
+        if self.open_bytes:
+            self._take(self.open_sum, np.array([self.open_bytes]))
+            self.open_bytes = 0
+
+    def _take(self, sums: np.ndarray, length: np.ndarray) -> None:
+        if not len(sums):
+            return
+        hashes = _run_hash(sums, length)
+        chain = np.concatenate((self.last, hashes))
+        self.same += int((chain[1:] == chain[:-1]).sum())
+        self.last = hashes[-1:]
+        self.total += len(hashes)
+        self.bytes += int(length.sum())
+        self.squares += int((length * length).sum())
+        self.seen, self.times = _merged(np.concatenate((self.seen, hashes)), np.concatenate((self.times, np.ones(len(hashes), np.int64))))
+
+
+def long_counts(data: np.ndarray, limit: int) -> dict[str, np.ndarray]:
+    """``counts`` of one text, read in pieces of ``limit`` bytes so that no array of its bytes' hashes grows with it."""
+    kinds, words, lines = dict.fromkeys(_TABLES, 0), _Runs(), _Runs()
+    for at in range(0, len(data), limit):
+        piece = data[at : at + limit]
+        for k, t in _TABLES.items():
+            kinds[k] += int(t[piece].sum())
+        words.add(piece, ~_IS_SPACE[piece])
+        lines.add(piece, piece != 10)
+    words.close()
+    lines.close()
+    found = {"bytes": len(data)} | kinds | {
+        "words": words.total, "different": len(words.seen), "top": words.times.max(initial=0), "lines": lines.total, "different_lines": len(lines.seen),
+        "word_bytes": float(words.bytes), "word_squares": float(words.squares), "same": float(words.same),
+    }
+    return {k: np.array([v]) for k, v in found.items()}
 
 
 def _repetition(owner: np.ndarray, hashes: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,12 +195,7 @@ def statistics(data: np.ndarray, bounds: np.ndarray, limit: int = CHUNK_BYTES) -
         if len(part) <= 2 * limit:
             rows.append(transform(counts(part, bounds[first : last + 1] - bounds[first])))
             continue
-        # One very long text: counts add up over its pieces; repetition is taken as the mean over the pieces' words.
-        sums: dict[str, np.ndarray] = {}
-        for piece in _pieces(part, limit):
-            for k, v in counts(piece, np.array([0, len(piece)])).items():
-                sums[k] = sums.get(k, 0) + v
-        rows.append(transform(sums))
+        rows.append(transform(long_counts(part, limit)))  # one very long text
     return np.concatenate(rows) if rows else np.zeros((0, len(STATISTICS)))
 
 
