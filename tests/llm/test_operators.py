@@ -149,6 +149,15 @@ def test_repeated_spans_odd(odd, none):
     assert not repeated_spans.deduplicate(none).collect()
 
 
+def test_repeated_ids_have_numbers_of_their_own(spark):
+    """Many texts under one id and under none; in 26 bits of a hash some of them would be one document."""
+    texts = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, 5).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    some = spark.createDataFrame([(1, "alone"), (2, "twice"), (2, "twice"), (3, None), (3, "")], "doc_id long, text string")
+    found = repeated_spans.keyed(texts.union(texts.limit(10)).union(some)).select("doc", "mark", "doc_id", "text").distinct().collect()
+    assert len(found) == 60_004 and len({(r["doc"], r["mark"]) for r in found}) == 60_004
+    assert max(r["mark"] for r in found) == 29_999 and {r["mark"] for r in found if r["doc_id"] in (1, 2)} == {0}
+
+
 # 4 -----------------------------------------------------------------------------------------------------------------
 
 def test_quality(spark):

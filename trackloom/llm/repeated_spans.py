@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from trackloom.llm.common import spans_of_rows, text_bytes, text_mark
 from trackloom.session import materialize
@@ -39,8 +39,9 @@ PIECE = 1 << 19
 CROWDED_IN_PIECE = 16  # texts of one bucket in a piece
 CROWDED = 50_000  # rows of one bucket counted in such pieces
 LAST_ID = (1 << 63) - 1
-# A place is 26 bits that tell apart equal doc_ids, 31 bits of offset and 6 bits of run length.
+# A place is a number of 26 bits that tells apart equal doc_ids, 31 bits of offset and 6 bits of run length.
 MARK_BITS, OFFSET_BITS, SPAN_BITS = 26, 31, 6
+PART_BITS = 12
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -315,13 +316,28 @@ def settle_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(out_doc), pa.array(out_at >> (OFFSET_BITS + SPAN_BITS)), pa.array(begin << 31 | (end - begin))], ["doc", "mark", "cut"])
 
 
+def text_numbers(rows: DataFrame) -> DataFrame:
+    """rows: doc and full_mark. of_doc, of_mark and number: the place of each different text among those of its doc, for
+    docs with several rows. Texts are counted by the upper bits of their marks first, so that no doc is one task."""
+    repeated = rows.groupBy("doc").count().where("count > 1").select("doc")
+    texts = rows.join(repeated, "doc", "left_semi").distinct().withColumn("part", F.shiftright("full_mark", 64 - PART_BITS))
+    texts = materialize(texts, "repeated-ids")
+    parts = texts.groupBy("doc", "part").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("doc").orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow))  # at most 2^PART_BITS rows
+    within = F.row_number().over(W.partitionBy("doc", "part").orderBy("full_mark"))
+    number = F.col("before") + F.col("within") - 1
+    fits = F.when(number < 1 << MARK_BITS, number).otherwise(F.raise_error(F.lit(f"more than 2^{MARK_BITS} different texts have one doc_id")).cast("long"))
+    both = texts.withColumn("within", within).join(parts.select("doc", "part", (upto - F.col("n")).alias("before")), ["doc", "part"])
+    return materialize(both.select(F.col("doc").alias("of_doc"), F.col("full_mark").alias("of_mark"), fits.alias("number")), "text-numbers")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc (null last), mark (bits that tell apart rows of an id that is repeated, else 0), doc_id and text."""
+    """doc (null last), mark (a number that tells apart texts of an id that is repeated, else 0), doc_id and text."""
     doc_id = F.col("doc_id").cast("long")
-    rows = docs.select(F.coalesce(doc_id, F.lit(LAST_ID)).alias("doc"), doc_id.alias("doc_id"), "text")
-    repeated = materialize(rows.groupBy(F.col("doc").alias("again")).count().where("count > 1").select("again"), "repeated-ids")
-    mark = F.when(F.col("again").isNotNull(), text_mark(F.col("text")).bitwiseAND(F.lit((1 << MARK_BITS) - 1))).otherwise(0)
-    return rows.join(repeated, F.col("doc") == F.col("again"), "left").select("doc", mark.cast("long").alias("mark"), "doc_id", "text")
+    rows = docs.select(F.coalesce(doc_id, F.lit(LAST_ID)).alias("doc"), text_mark(F.col("text")).alias("full_mark"), doc_id.alias("doc_id"), "text")
+    numbers = text_numbers(rows.select("doc", "full_mark"))
+    same = (F.col("doc") == F.col("of_doc")) & (F.col("full_mark") == F.col("of_mark"))
+    return rows.join(numbers, same, "left").select("doc", F.coalesce("number", F.lit(0)).cast("long").alias("mark"), "doc_id", "text")
 
 
 def removed_ranges(rows: DataFrame) -> DataFrame:
