@@ -16,30 +16,33 @@ POINT = ["ax_pred", "ay_pred", "ax_true", "ay_true"]
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _tile_sums(left: pd.Series, right: pd.Series, same: pd.Series) -> pd.Series:
-    """Kernel sums (predictions, truths, across) of two blocks of at most about BLOCK rows, counted for both orders."""
+    """Kernel sums (predictions, truths, across) of two blocks of about BLOCK different points with their counts, for both orders."""
     out = []
     for a, b, diagonal in zip(left, right, same):
-        p, q = (np.array([[r[c] for c in POINT] for r in rows], dtype=float).reshape(-1, len(POINT)) for rows in (a, b))
+        p, q = (np.array([[r[c] for c in [*POINT, "_w"]] for r in rows], dtype=float).reshape(-1, len(POINT) + 1) for rows in (a, b))
+        m, n = p[:, 4], q[:, 4]
 
-        def kernel(u: np.ndarray, v: np.ndarray) -> float:
+        def kernel(u: np.ndarray, v: np.ndarray, m: np.ndarray = m, n: np.ndarray = n) -> float:
             d2 = (u[:, :1] - v[:, 0]) ** 2 + (u[:, 1:] - v[:, 1]) ** 2
-            return float(sum(np.exp(-d2 / (2 * w * w)).sum() for w in K.KERNEL_BANDWIDTHS) / len(K.KERNEL_BANDWIDTHS))
+            return float(sum(m @ np.exp(-d2 / (2 * w * w)) @ n for w in K.KERNEL_BANDWIDTHS) / len(K.KERNEL_BANDWIDTHS))
 
         times = 1 if diagonal else 2
-        across = kernel(p[:, :2], q[:, 2:]) + (0 if diagonal else kernel(q[:, :2], p[:, 2:]))
-        out.append([times * kernel(p[:, :2], q[:, :2]), times * kernel(p[:, 2:], q[:, 2:]), across])
+        across = kernel(p[:, :2], q[:, 2:4]) + (0 if diagonal else kernel(q[:, :2], p[:, 2:4], n, m))
+        out.append([times * kernel(p[:, :2], q[:, :2]), times * kernel(p[:, 2:4], q[:, 2:4]), across])
     return pd.Series(out)
 
 
 def _pairwise(df: DataFrame, group: list[str]) -> DataFrame:
     """Kernel sums per group over all pairs of rows, by tiles of two blocks.
 
-    A block is one row of the tile join, and a block meets the others of its group under keys of their own, so that no
-    task holds more than two blocks and a group of any size is spread out.
+    Equal rows are one point with a count, so that no value can fill a block. A block is one row of the tile join, and a
+    block meets the others of its group under keys of their own, so that no task holds more than two blocks and a group
+    of any size is spread out.
     """
-    rows = df.select(*group, F.struct(*POINT).alias("_p"))
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).cast("long").alias("n"))
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    points = df.groupBy(*group, *POINT).agg(F.count(F.lit(1)).alias("_w"))
+    rows = points.select(*group, F.struct(*POINT, "_w").alias("_p"))
+    sizes = rows.groupBy(*group).agg(F.sum("_p._w").cast("long").alias("n"), F.count(F.lit(1)).alias("_points"))
+    parts = F.ceil(F.col("_points") / BLOCK).cast("int")
     dealt = rows.join(sizes, group) if group else rows.crossJoin(sizes)  # one row
     dealt = dealt.withColumns({"_parts": parts, "_b": F.pmod(F.xxhash64("_p"), parts).cast("int")})
     blocks = dealt.groupBy(*group, "n", "_parts", "_b").agg(F.collect_list("_p").alias("_rows"))
