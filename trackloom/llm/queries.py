@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackloom.llm import decontamination, language, mixing, quality, repeated_spans, secret_scan, sharding, simhash, url_cascade, vector_tree
+from trackloom.llm import decontamination, language, merge_encoding, mixing, quality, repeated_spans, secret_scan, sharding, simhash, url_cascade, vector_tree
 from trackloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +119,8 @@ def op5_tree_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op3_suffix_buckets(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_spans.deduplicate(table(spark, folder, "documents"))
+
+
+@register
+def op11_merge_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    return merge_encoding.digests(table(spark, folder, "documents"), merge_encoding.load(public_tokenizers.path("piece_bpe_32k.model")))
