@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackloom.llm import decontamination, language, merge_encoding, mixing, quality, repeated_spans, secret_scan, sharding, simhash, url_cascade, vector_tree
+from trackloom.llm import decontamination, language, merge_encoding, mixing, quality, repeated_spans, secret_scan, sharding, simhash, spelling, url_cascade, vector_tree
 from trackloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,51 @@ def op3_suffix_buckets(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op11_merge_encoding(spark: SparkSession, folder: str) -> DataFrame:
     return merge_encoding.digests(table(spark, folder, "documents"), merge_encoding.load(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+# crc32 of a string, from its bytes; the table's 256 entries by the rule of its polynomial.
+_CRC = r"""
+crc_table AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, step: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def _crc32(text: str) -> str:
+    code = f"list_transform(range(1, 2 * octet_length(encode({text})), 2), lambda i: ('0x' || substr(hex(encode({text})), i, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {code}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+@register
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+SQL["op12_spelling_variants"] = rf"""
+WITH RECURSIVE {_CRC},
+runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc32("concat(doc_id, ':', run)")} AS h FROM runs, crc_table),
+words AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS MATERIALIZED (SELECT word, i, word[: i - 1] || word[i + 1 :] AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cut c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word FROM cut c JOIN words w ON c.rest = w.word),
+best AS (
+  SELECT near.word, count(*) AS n_near, min({{'less': -w.n, 'other': other}}) AS best
+  FROM near JOIN words w ON other = w.word GROUP BY near.word),
+forms AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 10 * n THEN best.other END AS form,
+    CASE WHEN -best.less >= 10 * n THEN -best.less END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS reached FROM forms
+  UNION ALL SELECT chain.word, form FROM chain JOIN forms ON reached = forms.word WHERE form IS NOT NULL)
+SELECT f.word, reached AS root, f.form, f.n, f.n_near, f.form_n
+FROM chain JOIN forms f ON chain.word = f.word JOIN forms tail ON reached = tail.word WHERE tail.form IS NULL
+"""
