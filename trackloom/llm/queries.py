@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackloom.llm import decontamination, language, merge_encoding, mixing, quality, repeated_spans, secret_scan, sharding, simhash, spelling, url_cascade, vector_tree
+from trackloom.llm import decontamination, language, merge_encoding, mixing, prefix_trie, quality, repeated_spans, secret_scan, sharding, simhash, spelling, url_cascade, vector_tree
 from trackloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,34 @@ chain AS (
 SELECT f.word, reached AS root, f.form, f.n, f.n_near, f.form_n
 FROM chain JOIN forms f ON chain.word = f.word JOIN forms tail ON reached = tail.word WHERE tail.form IS NULL
 """
+
+
+@register
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, folder, "conversations"))
+
+
+SQL["op13_prefix_trie"] = rf"""
+WITH {_CRC},
+own AS (
+  SELECT conv_id, list({{'role': r, 'text': x}} ORDER BY turn NULLS FIRST, r, md5(length(r) || ':' || r || x)) AS turns
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+asked AS (SELECT conv_id, turns, {_crc32("conv_id::VARCHAR")} % 4 AS h FROM own, crc_table),
+rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(f.turns[1 : h], []), a.turns[h + 1 :]) AS turns
+  FROM asked a LEFT JOIN own f ON f.conv_id = a.conv_id - a.conv_id % 20),
+ways AS (SELECT conv_id, d, turns[1 : d] AS way, len(turns) = d AS ends FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS MATERIALIZED (
+  SELECT d, way, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+    CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(way[d].text, '[^\x20\x09-\x0D]+')) END AS words
+  FROM ways GROUP BY d, way),
+kids AS (SELECT d - 1 AS d, way[1 : d - 1] AS way, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON n.d = k.d AND n.way = k.way),
+under AS (
+  SELECT up, way[1 : up] AS top, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM full_nodes) GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens,
+  n.ends_sha256
+FROM full_nodes n JOIN under u ON u.up = n.d AND u.top = n.way LEFT JOIN nodes p ON p.d = n.d - 1 AND p.way = n.way[1 : n.d - 1]
+"""
