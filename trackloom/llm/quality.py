@@ -277,10 +277,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Discriminant:
 def add_score(docs: DataFrame, model: Discriminant, name: str) -> DataFrame:
     """``docs`` with a column of scores; one narrow pass."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for text in batches:
-            yield pd.Series(model.score(statistics(*text_bytes(pa.array(text, pa.large_string(), from_pandas=True)))))
+            yield pa.array(model.score(statistics(*text_bytes(text))))
 
     return docs.withColumn(name, score(F.col("text")))
 
