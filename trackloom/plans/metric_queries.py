@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trackloom import constants as K
 from trackloom.functions import columns as C
-from trackloom.operators import bounded, distribution, longtail, metrics, neighbors, scoring, slices, trajectories, transitions, ttc
+from trackloom.operators import bounded, distribution, longtail, metrics, neighbors, scoring, slice_kernels, slice_quantiles, slices, trajectories, transitions, ttc
 from trackloom.plans import views as V
 from trackloom.plans.registry import query, r, rounded, with_blocks
 
@@ -539,6 +539,24 @@ def slice_fine(spark, d):
     return rounded(out.select("scope", "feature", "q_lo", "q_hi", "model", "samples", "rmse_x", "rmse_y", "r2_x", "r2_y"), ["rmse_x", "rmse_y", "r2_x", "r2_y"], 4)
 
 
+_SLICE_MMD = f"""
+preds AS ({" UNION ALL ".join(f"SELECT '{m}' AS model, scope, feature, q_lo, q_hi, ax_true, ay_true, {x} AS px, {y} AS py FROM inside" for m, (x, y) in _MODEL_COLS.items())}),
+ksum AS (
+  SELECT model, scope, feature, q_lo, q_hi, sqrt(count(*)) AS n, sum({_k('a.px', 'a.py', 'b.px', 'b.py')}) AS xx,
+    sum({_k('a.ax_true', 'a.ay_true', 'b.ax_true', 'b.ay_true')}) AS yy, sum({_k('a.px', 'a.py', 'b.ax_true', 'b.ay_true')}) AS xy
+  FROM preds a JOIN preds b USING (model, scope, feature, q_lo, q_hi) GROUP BY 1, 2, 3, 4, 5),
+kstat AS (SELECT *, CASE WHEN n < 2 THEN 0 ELSE (xx - n) / (n * (n - 1e0)) + (yy - n) / (n * (n - 1e0)) - 2 * xy / (n * n) END AS u FROM ksum)"""
+
+
+@query("E3 A6", with_blocks(
+    "SELECT scope, feature, q_lo, q_hi, model, CAST(round(n) AS BIGINT) AS samples, round(greatest(0, CASE WHEN u < -1e-12 THEN (xx + yy - 2 * xy) / (n * n) ELSE u END), 6) AS mmd2 FROM kstat",
+    *V.PREDICTION_BLOCKS, _FEATS, _long_sql(_SLICE_FEATS), _SWEEP, _SLICE_MMD))
+def slice_mmd(spark, d):
+    """Exact discrepancy on every slice of every feature, from one pass over the pairs."""
+    out = slice_kernels.slice_mmd(wide_predictions(spark, d), V.MODELS, _SLICE_FEATS, K.SWEEP_RANGES)
+    return rounded(out.select("scope", "feature", "q_lo", "q_hi", "model", "samples", "mmd2"), ["mmd2"])
+
+
 _HORIZONS = [1.0, 2.0, 3.0]
 
 
@@ -569,6 +587,26 @@ def slice_ttc_peaks(spark, d):
     return rounded(out, ["peak_error"], 5)
 
 
+_SLICE_TTC_ERR = f"""
+sq AS (SELECT scope, feature, q_lo, q_hi, horizon, model, quantile_cont(v, {_PROBS}) AS q, count(*) AS n FROM sv WHERE v >= 0 AND v <= 5 GROUP BY ALL),
+sb AS (
+  SELECT a.scope, a.feature, a.q_lo, a.q_hi, a.horizon, a.model, least(a.n, t.n) AS n_ttc, abs(pa.peak - pt.peak) AS pe,
+    CASE WHEN least(a.n, t.n) >= 20 THEN sqrt(list_avg(list_transform(list_zip(a.q, t.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) END AS q
+  FROM sq a JOIN sq t ON (a.scope, a.feature, a.q_lo, a.q_hi, a.horizon) = (t.scope, t.feature, t.q_lo, t.q_hi, t.horizon) AND a.model <> 'true' AND t.model = 'true'
+  JOIN sp pa ON (a.scope, a.feature, a.q_lo, a.q_hi, a.horizon, a.model) = (pa.scope, pa.feature, pa.q_lo, pa.q_hi, pa.horizon, pa.model)
+  JOIN sp pt ON (a.scope, a.feature, a.q_lo, a.q_hi, a.horizon) = (pt.scope, pt.feature, pt.q_lo, pt.q_hi, pt.horizon) AND pt.model = 'true')"""
+
+
+@query("E3 A14 A15 A16", with_blocks("""
+SELECT scope, feature, q_lo, q_hi, horizon, model, n_ttc, round(pe, 5) AS peak_error, round(q, 5) AS quantile_error,
+       round((CASE WHEN pe IS NULL THEN q WHEN pe = 0 AND q > 0 THEN greatest(q, 5e-2) ELSE pe END) + coalesce(least(q, 2e-2), 0), 5) AS ttc_error
+FROM sb""", *V.PREDICTION_BLOCKS, _FEATS, _long_sql(_SLICE_FEATS), _SWEEP, _slice_ttc_sql(), _SLICE_TTC_ERR))
+def slice_ttc(spark, d):
+    """Combined time-to-collision error on every slice of every feature."""
+    out = slice_quantiles.slice_ttc(wide_predictions(spark, d), V.MODELS, _SLICE_FEATS, K.SWEEP_RANGES, _HORIZONS)
+    return rounded(out, ["peak_error", "quantile_error", "ttc_error"], 5)
+
+
 @query("E2", with_blocks(
     "SELECT 'outcome_conditioned' AS kind, q_lo, q_hi, model, samples, round(rmse_x, 4) AS rmse_x FROM sm",
     *V.PREDICTION_BLOCKS, _FEATS,
