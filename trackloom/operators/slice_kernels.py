@@ -165,3 +165,14 @@ def slice_mmd(wide: DataFrame, models: list[str], features: list[str], ranges: l
     # A group holds at most (buckets squared) rows a model, whatever the size of the data.
     read = named.groupBy("scope", "feature").cogroup(spans.groupBy("scope", "feature")).applyInPandas(_of_slices(models), MMD)
     return read.withColumn("mmd", F.sqrt("mmd2"))
+
+
+def exact_screened(wide: DataFrame, models: list[str], features: list[str], ranges: list[tuple[float, float]], r2_interval: tuple[float, float],
+                   min_population: int = 20) -> DataFrame:
+    """Every slice that passes the screen by R2, each set of rows once, with its regression metrics and discrepancy.
+
+    All are exact on the rows of the slice already, so what passes needs no second look at the rows.
+    """
+    passed = slices.screen(slices.slice_metrics(wide, models, features, ranges, min_population), r2_interval)
+    exact = slice_mmd(wide, models, features, ranges, min_population).drop("samples")
+    return passed.join(exact, ["model", "scope", "feature", "q_lo", "q_hi"])
