@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trackloom import constants as K
-from trackloom.operators import bounded, distribution, metrics, ttc
+from trackloom.operators import bounded, metrics, ttc
 
 KEYS = ["dataset", "scene_id", "track_id", "frame_k"]
 NEAR = slice(4, 12)
@@ -174,16 +174,6 @@ def slice_ttc_peaks(wide: DataFrame, models: list[str], features: list[str], ran
     )
 
 
-def members(df: DataFrame, slices: DataFrame, features: list[str], on: list[str] = ()) -> DataFrame:
-    """Row-level membership for a declared list of slices (scope, feature, value bounds)."""
-    value = F.create_map(*[x for n in features for x in (F.lit(n), F.col(n))])
-    rows = df.withColumn("_value", value).withColumn("scope", F.explode(F.array(F.lit("all"), F.col("dataset"))))
-    wanted = slices.select(*on, "scope", "feature", "q_lo", "q_hi", "value_lo", "value_hi")
-    v = F.col("_value")[F.col("feature")]
-    joined = rows.join(wanted, [*on, "scope"])
-    return joined.where((v >= F.col("value_lo")) & (v <= F.col("value_hi"))).drop("_value")
-
-
 def error_order_flag(models: list[str]) -> Column:
     """True where the longitudinal errors of the models are non-decreasing in the given order."""
     err = lambda m: F.abs(F.col(f"ax_{m}") - F.col("ax_true"))
@@ -257,20 +247,6 @@ def screen(metrics_table: DataFrame, r2_interval: tuple[float, float], margin: f
     return ranked_ if cap is None else ranked_.where(F.col("screen_rank") <= cap)
 
 
-def exact_after_screen(long_predictions: DataFrame, screened: DataFrame, features: list[str]) -> DataFrame:
-    """R2 with the zero-variance rule and MMD for the screened slices, on their exact rows."""
-    name = ["model", "scope", "feature", "q_lo", "q_hi"]
-    rows = members(long_predictions, screened, features, on=["model"])
-    reg = metrics.regression(rows, name).select(
-        *name, "samples", "rmse_x", "rmse_y",
-        F.col("r2_zero_var_x").alias("r2_x"), F.col("r2_zero_var_y").alias("r2_y"), F.col("r2_zero_var_mean").alias("r2_mean"),
-    )
-    mmd = distribution.mmd2(
-        rows, name, ["dataset", "scene_id", "track_id"], ["frame_k"], bounded.frame_chunk("frame_k", 24576)
-    ).select(*name, "mmd2", "mmd")
-    return reg.join(mmd, name)
-
-
 def ranked(table: DataFrame, metric: str, within: list[str], descending: bool = False) -> DataFrame:
     """Rank every slice by a caller-chosen metric; also says how many slices were tried."""
     from pyspark.sql import Window as W

@@ -575,7 +575,7 @@ ss AS (SELECT {k}, nv, bin, sum(coalesce(n, 0)) OVER (PARTITION BY {k} ORDER BY
 sp AS (SELECT {k}, nv, CASE WHEN nv >= 20 THEN (min(bin) FILTER (s = top) + 5e-1) * 5e-2 END AS peak FROM (SELECT *, max(s) OVER (PARTITION BY {k}) AS top FROM ss) GROUP BY {k}, nv)"""
 
 
-_TTC_FEATS = ["speed", "front_dist"]
+_TTC_FEATS = _SLICE_FEATS
 
 
 @query("E3 A14", with_blocks(
