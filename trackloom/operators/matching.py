@@ -66,7 +66,7 @@ def coarse_scores(lines: DataFrame, variants: DataFrame) -> DataFrame:
 
 def _refine(candidates: DataFrame, lines: DataFrame, variants: DataFrame, scale: float) -> DataFrame:
     df = candidates.select(*TRACK, "path_id", "invert").join(lines, TRACK).join(variants, [*SCENE, "path_id", "invert"])
-    df = pathfit.scored(df.select(*TRACK, "unit", "path_id", "invert", "track", "line")).drop("track", "line")
+    df = pathfit.scored(df.select(*TRACK, "unit", "path_id", "invert", "track", "line"))
     t = [thresholds(F.col("unit"), F.col("dataset"), i, scale) for i in range(3)]
     unit_scale = F.greatest(F.lit(1.0), t[0] / 6.0)
     score = (

@@ -1,16 +1,21 @@
-"""How well a sampled track follows a directed path: column expressions over pairs of short lines.
+"""How well a sampled track follows a directed path.
 
-``pairs`` hold ``track`` and ``line``, arrays of (x, y). Every stage is a column of its own, so that the next one reads it
-instead of computing it again.
+``pairs`` hold ``track`` and ``line``, arrays of (x, y). The full fit works on Arrow batches of pairs; the fit of lane
+changes is made of column expressions, every stage a column of its own, so that the next one reads it instead of
+computing it again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from trackloom.operators import geometry as G
 
 FRECHET_STEP = 4
+FIT = ["segment_mean", "lateral_mean", "lateral_p90", "frechet", "direction", "start_dot", "end_dot", "monotonic"]
+BLOCK_CELLS = 1 << 19  # points times vertices that are compared at once
 
 
 def _each(values: str | Column, field: str) -> Column:
@@ -43,31 +48,102 @@ def placed(pairs: DataFrame) -> DataFrame:
 
 
 def scored(pairs: DataFrame) -> DataFrame:
-    """Adds segment_mean, lateral_mean, lateral_p90, frechet, direction, start_dot, end_dot and monotonic.
+    """Puts segment_mean, lateral_mean, lateral_p90, frechet, direction, start_dot, end_dot and monotonic in the place of
+    ``track`` and ``line``.
 
     The track is compared with the stretch of the path between the 2nd and 98th percentile of its projections (between
-    the extremes, if those coincide); without any extent there is no segment_mean and no frechet.
+    the extremes, if those coincide); without any extent there is no segment_mean and no frechet. A track without points
+    or a path of fewer than two has no value at all. Pairs are fitted together, in blocks of bounded size.
     """
-    df = placed(pairs).withColumns({"_s": _each("_at", "s"), "_side": _each("_at", "lateral")})
-    df = df.withColumns({"_sorted": F.array_sort("_s"), "_sides": F.array_sort("_side")})
-    lo, hi = (G.array_quantile(F.col("_sorted"), p, presorted=True) for p in (0.02, 0.98))
-    df = df.withColumns({"_lo": lo, "_hi": hi})
-    flat = F.col("_hi") <= F.col("_lo") + 1e-9
-    df = df.withColumns({"_lo": F.when(flat, F.get("_sorted", F.lit(0))).otherwise(F.col("_lo")), "_hi": F.when(flat, F.element_at("_sorted", -1)).otherwise(F.col("_hi"))})
-    steps = F.size("track") - 1
-    spread = lambda a, b: F.transform(F.sequence(F.lit(0), steps), lambda i: a + (b - a) * i / steps)
-    df = df.withColumn("_even", G.bind(G.line_arcs(F.col("track")), lambda own: G.at_arcs(F.col("track"), own, spread(F.lit(0.0), F.element_at(own, -1)))))
-    df = df.withColumn("_local", G.bind(G.line_arcs(F.col("line")), lambda arc: G.at_arcs(F.col("line"), arc, spread(F.col("_lo"), F.col("_hi")))))
-    thin = lambda a: G.bind(a, lambda v: F.transform(F.sequence(F.lit(0), steps, F.lit(FRECHET_STEP)), lambda i: F.get(v, i)))
-    extent = F.col("_hi") > F.col("_lo") + 1e-9
-    df = df.withColumns({"_even4": thin(F.col("_even")), "_local4": thin(F.col("_local"))})
-    return df.withColumns({
-        "segment_mean": F.when(extent, G.mean_gap(F.col("_even"), F.col("_local"))),
-        "frechet": F.when(extent, G.discrete_frechet(F.col("_even4"), F.col("_local4"))),
-        "lateral_mean": G.array_mean(F.col("_side")), "lateral_p90": G.array_quantile(F.col("_sides"), 0.9, presorted=True),
-        "direction": G.array_mean(F.col("_dots")), "start_dot": F.get("_dots", F.lit(0)), "end_dot": F.element_at("_dots", -1),
-        "monotonic": forward_share(F.col("_s")),
-    }).drop("_at", "_dots", "_s", "_side", "_sorted", "_sides", "_lo", "_hi", "_even", "_local", "_even4", "_local4")
+    kept = [f for f in pairs.schema.fields if f.name not in ("track", "line")]
+    names = [f.name for f in kept]
+    schema = T.StructType([*kept, *[T.StructField(n, T.DoubleType()) for n in FIT]])
+
+    def fitted(batches):
+        for batch in batches:
+            values = _fit_batch(batch.column("track"), batch.column("line"))
+            columns = [batch.column(n) for n in names] + [pa.array(v, pa.float64(), mask=np.isnan(v)) for v in values.T]
+            yield pa.RecordBatch.from_arrays(columns, names + FIT)
+
+    return pairs.mapInArrow(fitted, schema)
+
+
+def _fit_batch(tracks: pa.ListArray, lines: pa.ListArray) -> np.ndarray:
+    """One row of ``FIT`` for each pair; pairs with tracks of one size share a block, their lines padded to the longest."""
+    (nt, at, t), (nl, al, l) = _flat(tracks), _flat(lines)
+    out = np.full((len(nt), len(FIT)), np.nan)
+    for n in np.unique(nt[(nt > 0) & (nl > 1)]):
+        rows = np.flatnonzero((nt == n) & (nl > 1))
+        rows = rows[np.argsort(nl[rows], kind="stable")]
+        while len(rows):
+            # Lines are in order of size, so the last of a block is its longest.
+            fits = np.arange(1, len(rows) + 1) * nl[rows] * n <= BLOCK_CELLS
+            now, rows = np.split(rows, [max(1, int(fits.sum()))])
+            own = t[at[now, None] + np.arange(n)]
+            padded = l[al[now, None] + np.minimum(np.arange(nl[now].max()), nl[now, None] - 1)]
+            out[now] = _fit(own, padded, nl[now])
+    return out
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    points = column.flatten()
+    xy = np.stack([points.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")], axis=1)
+    return sizes, np.cumsum(sizes) - sizes, xy
+
+
+def _fit(track: np.ndarray, line: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``track``: pairs, points, 2. ``line``: pairs, vertices, 2, of which the first ``sizes`` count."""
+    step = np.diff(line, axis=1)
+    length = np.hypot(step[..., 0], step[..., 1])
+    arc = np.concatenate([np.zeros((len(line), 1)), np.cumsum(length, axis=1)], axis=1)
+    square = np.maximum((step ** 2).sum(-1), 1e-12)[:, None]
+    rx, ry = (track[:, :, None, k] - line[:, None, :-1, k] for k in (0, 1))
+    vx, vy = step[:, None, :, 0], step[:, None, :, 1]
+    u = np.clip((rx * vx + ry * vy) / square, 0.0, 1.0)
+    far = (rx - u * vx) ** 2 + (ry - u * vy) ** 2
+    far[np.broadcast_to(np.arange(step.shape[1]) >= sizes[:, None, None] - 1, far.shape)] = np.inf
+    near = far.argmin(-1)
+    pick = lambda a: np.take_along_axis(a, near[..., None], -1)[..., 0]
+    of_segment = lambda a: np.take_along_axis(a, near, -1)
+    side = np.sqrt(pick(far))
+    s = of_segment(arc) + pick(u) * of_segment(length)
+    unit = step / np.maximum(length, 1e-12)[..., None]
+    n = track.shape[1]
+    before, after = track[:, np.maximum(np.arange(n) - 1, 0)], track[:, np.minimum(np.arange(n) + 1, n - 1)]
+    heading = (after - before) / np.maximum(np.hypot(*np.moveaxis(after - before, -1, 0)), 1e-9)[..., None]
+    dots = heading[..., 0] * of_segment(unit[..., 0]) + heading[..., 1] * of_segment(unit[..., 1])
+    lo, hi = np.quantile(s, [0.02, 0.98], axis=1)
+    flat = hi <= lo + 1e-9
+    lo, hi = np.where(flat, s.min(1), lo), np.where(flat, s.max(1), hi)
+    own = np.concatenate([np.zeros((len(track), 1)), np.cumsum(np.hypot(*np.moveaxis(np.diff(track, axis=1), -1, 0)), axis=1)], axis=1)
+    even = np.stack([_at_arcs(p, a, 0.0, a[-1], n) for p, a in zip(track, own)])
+    local = np.stack([_at_arcs(p[:k], a[:k], x, y, n) for p, a, k, x, y in zip(line, arc, sizes, lo, hi)])
+    extent = hi > lo + 1e-9
+    gaps = np.hypot(*np.moveaxis(even - local, -1, 0)).mean(1)
+    ahead = (np.diff(s, axis=1) >= -1e-6).mean(1) if n > 1 else np.ones(len(s))
+    return np.stack([
+        np.where(extent, gaps, np.nan), side.mean(1), np.quantile(side, 0.9, axis=1),
+        np.where(extent, _frechet(even[:, ::FRECHET_STEP], local[:, ::FRECHET_STEP]), np.nan),
+        dots.mean(1), dots[:, 0], dots[:, -1], ahead], axis=1)
+
+
+def _at_arcs(points: np.ndarray, arc: np.ndarray, lo: float, hi: float, n: int) -> np.ndarray:
+    at = lo + (hi - lo) * np.arange(n) / max(n - 1, 1)
+    return np.stack([np.interp(at, arc, points[:, k]) for k in (0, 1)], axis=1)
+
+
+def _frechet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Discrete Frechet distances of many pairs of lines at once, a row of the table at a time."""
+    gaps = np.hypot(a[:, :, None, 0] - b[:, None, :, 0], a[:, :, None, 1] - b[:, None, :, 1])
+    row = np.maximum.accumulate(gaps[:, 0], axis=1)
+    for i in range(1, gaps.shape[1]):
+        reach = np.minimum(row, np.concatenate([row[:, :1], row[:, :-1]], axis=1))
+        row = np.empty_like(row)
+        row[:, 0] = np.maximum(reach[:, 0], gaps[:, i, 0])
+        for j in range(1, gaps.shape[2]):
+            row[:, j] = np.maximum(np.minimum(reach[:, j], row[:, j - 1]), gaps[:, i, j])
+    return row[:, -1]
 
 
 def lane_fit(pairs: DataFrame, first: int) -> DataFrame:
