@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from trackloom import constants as K
 from trackloom.functions import columns as C
-from trackloom.operators import bounded, geometry as G, pathfit
+from trackloom.operators import bounded, geometry as G, pathfit, pathindex
 from trackloom.session import materialize
 
 SCENE = ["dataset", "scene_id"]
@@ -83,18 +83,40 @@ def _refine(candidates: DataFrame, lines: DataFrame, variants: DataFrame, scale:
     return df.withColumn("score", F.when(has, score).otherwise(float("inf"))).withColumn("passed", F.coalesce(passed, F.lit(False)))
 
 
+def fitted_pairs(lines: DataFrame, variants: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Full scores of every variant that can be a track's best or second best.
+
+    The two paths nearest to the middle of a track are fitted first, in both directions. Of the others only those whose lower
+    bound does not pass the second best score so far can still win (see ``pathindex``). A track whose first paths leave it
+    without two finite scores is compared with every path of its scene.
+    """
+    keys = [*TRACK, "path_id"]
+    grids = materialize(pathindex.scene_grids(variants), "grids")
+    probes = materialize(pathindex.track_probes(lines, grids), "probes")
+    near = materialize(pathindex.cell_distances(probes, variants, grids), "cell-distances")
+    both = variants.select(*SCENE, "path_id", "invert")
+    likely = pathindex.nearest_paths(probes, near)
+    first = materialize(_refine(likely.join(both, [*SCENE, "path_id"]), lines, variants, scale), "first-fits")
+    # Four scores for each track.
+    second = F.get(F.array_sort(F.collect_list("score")), F.lit(1))
+    limits = materialize(first.groupBy(*TRACK).agg(F.coalesce(second, F.lit(float("inf"))).alias("limit")), "limits")
+    others = pathindex.possible_paths(limits, probes, near, grids).join(first.select(*keys).distinct(), keys, "left_anti")
+    rest = materialize(_refine(others.join(both, [*SCENE, "path_id"]), lines, variants, scale), "further-fits")
+    return first.unionByName(rest)
+
+
 def best_matches(lines: DataFrame, variants: DataFrame, scale: float = 1.0, coarse_keep: int | None = None) -> DataFrame:
     """Best variant per track by the full score, with the runner-up and ambiguity.
 
-    All variants of the scene are scored. ``coarse_keep`` scores only as many as come first by the coarse score, which is
-    faster where a scene has many paths, and can miss the best one.
+    Every variant that can still win is fitted, so the result is that of fitting all. ``coarse_keep`` fits only as many as
+    come first by the coarse score, and can miss the best one.
     """
     tie = [F.col("path_id"), F.col("invert")]
     if coarse_keep is None:
-        pairs = lines.select(*TRACK).join(variants.select(*SCENE, "path_id", "invert"), SCENE)
+        final = fitted_pairs(lines, variants, scale)
     else:
         pairs = materialize(bounded.top_per_group(coarse_scores(lines, variants), TRACK, [F.col("coarse"), *tie], coarse_keep), "coarse")
-    final = materialize(_refine(pairs, lines, variants, scale), "refined")
+        final = materialize(_refine(pairs, lines, variants, scale), "refined")
     # Two rows for each path of the track's scene.
     w = W.partitionBy(*TRACK).orderBy("score", *tie)
     final = final.withColumns({
