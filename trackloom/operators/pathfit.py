@@ -103,7 +103,8 @@ def _fit(track: np.ndarray, line: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     u = np.clip((rx * vx + ry * vy) / square, 0.0, 1.0)
     far = (rx - u * vx) ** 2 + (ry - u * vy) ** 2
     far[np.broadcast_to(np.arange(step.shape[1]) >= sizes[:, None, None] - 1, far.shape)] = np.inf
-    near = far.argmin(-1)
+    # A point before a corner is as near to both segments; the first of them counts, whatever rounding says.
+    near = (far <= far.min(-1, keepdims=True) * (1.0 + 1e-9) + 1e-12).argmax(-1)
     pick = lambda a: np.take_along_axis(a, near[..., None], -1)[..., 0]
     of_segment = lambda a: np.take_along_axis(a, near, -1)
     side = np.sqrt(pick(far))

@@ -307,10 +307,65 @@ def assignments(spark, d):
     return V.landed(spark, d, "assignments", build)
 
 
-@query("R11 R13 R14 P7 P8 P9")
+# Every variant is fitted here; p002 is the reject prototype, and no scene is of the corpus with lane changes.
+_VARIANT = "dataset, scene_id, track_id, path_id, invert"
+_FITS = f"""
+{_resample_sql(80, 't80a')},
+judged AS (SELECT l.*, coalesce(total, 0) AS total FROM (SELECT dataset, scene_id, track_id, bool_and(agent_type IN ('car', 'truck', 'bus')) AS vehicle, count(*) AS n FROM lines GROUP BY 1, 2, 3) l LEFT JOIN tot USING (dataset, scene_id, track_id)),
+t80 AS MATERIALIZED (SELECT t.* FROM t80a t JOIN judged j USING (dataset, scene_id, track_id) WHERE j.vehicle AND j.n >= 2 AND j.total > 1e-9),
+{_chain(80, 't80', 'e80')},
+heads AS (SELECT dataset, scene_id, track_id, seq, x, y, dx / greatest(sqrt(dx * dx + dy * dy), 1e-9) AS hx, dy / greatest(sqrt(dx * dx + dy * dy), 1e-9) AS hy FROM (
+  SELECT *, lead(x, 1, x) OVER t - lag(x, 1, x) OVER t AS dx, lead(y, 1, y) OVER t - lag(y, 1, y) OVER t AS dy FROM t80 {_T})),
+vdir AS (SELECT dataset, scene_id, path_id, false AS invert, seq, x, y, s FROM geo UNION ALL
+  SELECT dataset, scene_id, path_id, true, 99 - seq, x, y, max(s) OVER (PARTITION BY dataset, scene_id, path_id) - s FROM geo),
+vseg AS MATERIALIZED (SELECT *, nx - x AS vx, ny - y AS vy, sqrt(pow(nx - x, 2) + pow(ny - y, 2)) AS len FROM (SELECT *, lead(x) OVER v AS nx, lead(y) OVER v AS ny FROM vdir WINDOW v AS (PARTITION BY dataset, scene_id, path_id, invert ORDER BY seq)) WHERE nx IS NOT NULL),
+along AS (SELECT h.*, g.path_id, g.invert, g.seq AS segment, g.x AS gx, g.y AS gy, vx, vy, len, s AS gs, greatest(0, least(1, ((h.x - g.x) * vx + (h.y - g.y) * vy) / greatest(vx * vx + vy * vy, 1e-12))) AS u
+  FROM heads h JOIN vseg g ON h.dataset = g.dataset AND h.scene_id = g.scene_id),
+placed AS MATERIALIZED (SELECT {_VARIANT}, seq, sqrt(min(sq)) AS side, min_by(struct_pack(s := gs + u * len, dot := (hx * vx + hy * vy) / greatest(len, 1e-12)), segment) FILTER (sq <= least_sq * (1e0 + 1e-9) + 1e-12) AS q
+  FROM (SELECT *, min(sq) OVER (PARTITION BY {_VARIANT}, seq) AS least_sq FROM (SELECT *, pow(x - gx - u * vx, 2) + pow(y - gy - u * vy, 2) AS sq FROM along)) GROUP BY {_VARIANT}, seq),
+moved AS (SELECT *, q.s AS s, q.dot AS dot, q.s - lag(q.s) OVER (PARTITION BY {_VARIANT} ORDER BY seq) AS ds FROM placed),
+sums AS MATERIALIZED (SELECT {_VARIANT}, avg(side) AS lateral_mean, quantile_cont(side, 9e-1) AS lateral_p90, avg(dot) AS direction, max(dot) FILTER (seq = 0) AS start_dot, max(dot) FILTER (seq = 79) AS end_dot,
+    avg(CAST(ds >= -1e-6 AS DOUBLE)) AS monotonic, quantile_cont(s, 2e-2) AS lo0, quantile_cont(s, 98e-2) AS hi0, min(s) AS s0, max(s) AS s1 FROM moved GROUP BY {_VARIANT}),
+span AS (SELECT *, CASE WHEN hi0 <= lo0 + 1e-9 THEN s0 ELSE lo0 END AS lo, CASE WHEN hi0 <= lo0 + 1e-9 THEN s1 ELSE hi0 END AS hi FROM sums),
+wanted AS (SELECT {_VARIANT}, k AS seq, lo + (hi - lo) * k / 79e0 AS place FROM span, (SELECT unnest(range(80)) AS k)),
+local AS (SELECT w.dataset, w.scene_id, w.track_id, w.path_id, w.invert, w.seq, v.x + vx * least(1, (place - s) / greatest(len, 1e-12)) AS x, v.y + vy * least(1, (place - s) / greatest(len, 1e-12)) AS y
+  FROM wanted w ASOF JOIN vseg v ON w.dataset = v.dataset AND w.scene_id = v.scene_id AND w.path_id = v.path_id AND w.invert = v.invert AND w.place >= v.s),
+segment AS (SELECT {_VARIANT}, avg(sqrt(pow(e.x - l.x, 2) + pow(e.y - l.y, 2))) AS segment_mean FROM local l JOIN e80 e USING (dataset, scene_id, track_id, seq) GROUP BY {_VARIANT}),
+fid AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {_VARIANT}) AS id, {_VARIANT} FROM sums),
+cells AS MATERIALIZED (SELECT id, e.seq // 4 + 1 AS i, l.seq // 4 + 1 AS j, sqrt(pow(e.x - l.x, 2) + pow(e.y - l.y, 2)) AS d
+  FROM fid f JOIN local l USING ({_VARIANT}) JOIN e80 e ON e.dataset = f.dataset AND e.scene_id = f.scene_id AND e.track_id = f.track_id WHERE e.seq % 4 = 0 AND l.seq % 4 = 0),
+fdiag(id, k, i, now, last) AS (
+  SELECT id, 2, i, CASE WHEN i = 1 THEN d ELSE 1e300 END, 1e300 FROM cells WHERE j = 1
+  UNION ALL
+  SELECT w.id, w.k + 1, w.i, CASE WHEN g.d IS NULL THEN 1e300 ELSE greatest(g.d, w.best) END, w.now
+  FROM (SELECT *, least(now, coalesce(lag(now) OVER t, 1e300), coalesce(lag(last) OVER t, 1e300)) AS best FROM fdiag WINDOW t AS (PARTITION BY id ORDER BY i)) w
+  LEFT JOIN cells g ON g.id = w.id AND g.i = w.i AND g.j = w.k + 1 - w.i WHERE w.k < 40),
+fits AS (SELECT {_VARIANT}, CASE WHEN hi > lo + 1e-9 THEN segment_mean END AS segment_mean, lateral_mean, lateral_p90, CASE WHEN hi > lo + 1e-9 THEN now END AS frechet, direction, start_dot, end_dot, monotonic,
+    path_id = 'p002' AS reject, CASE WHEN path_id = 'p002' THEN 7e-1 ELSE 1e0 END AS scale
+  FROM span JOIN segment USING ({_VARIANT}) JOIN fid USING ({_VARIANT}) JOIN fdiag USING (id) WHERE k = 40 AND i = 20),
+scored AS (SELECT *, coalesce(segment_mean + lateral_p90 * 5e-1 + frechet * 25e-2 + 2e0 * greatest(0, 1 - direction) + 1e1 * greatest(0, 95e-2 - monotonic), CAST('Infinity' AS DOUBLE)) AS score,
+    coalesce(segment_mean <= 6 * scale AND lateral_mean <= 35e-1 * scale AND lateral_p90 <= 8 * scale AND direction >= 35e-2 AND start_dot >= -25e-2 AND end_dot >= -25e-2 AND monotonic >= 75e-2, false) AS passed FROM fits),
+ranked AS (SELECT *, row_number() OVER b AS k, lead(score) OVER b AS alt, lead(path_id) OVER b AS alt_path FROM scored WINDOW b AS (PARTITION BY dataset, scene_id, track_id, reject ORDER BY score, path_id, invert)),
+best AS (SELECT *, CASE WHEN score < CAST('Infinity' AS DOUBLE) AND alt < CAST('Infinity' AS DOUBLE) THEN alt_path END AS best_alt_path_id,
+    CASE WHEN score < CAST('Infinity' AS DOUBLE) AND alt < CAST('Infinity' AS DOUBLE) THEN (alt - score) / greatest(abs(score), 1e-6) END AS score_gap FROM ranked WHERE k = 1),
+decided AS (SELECT * FROM best b WHERE (reject AND passed) OR (NOT reject AND NOT EXISTS (SELECT 1 FROM best o WHERE o.reject AND o.passed AND o.dataset = b.dataset AND o.scene_id = b.scene_id AND o.track_id = b.track_id))),
+assigned AS MATERIALIZED (SELECT j.dataset, j.scene_id, j.track_id, CASE WHEN NOT vehicle THEN 'excluded_non_vehicle' WHEN n < 2 OR total <= 1e-9 THEN 'invalid_too_short' WHEN reject AND passed THEN 'rejected_ignore_track' WHEN passed THEN 'assigned' ELSE 'unassigned' END AS status,
+    CASE WHEN passed AND NOT reject THEN path_id END AS path_id, invert, score, segment_mean, lateral_mean, lateral_p90, frechet, direction, monotonic, CASE WHEN reject THEN path_id END AS reject_id, best_alt_path_id,
+    CASE WHEN NOT passed THEN path_id END AS best_candidate_path_id, CASE WHEN passed AND NOT reject THEN 'shape' END AS match_mode, score_gap, coalesce(score_gap < 1e-1, false) AS ambiguous
+  FROM judged j LEFT JOIN decided d USING (dataset, scene_id, track_id))"""
+_FIT_NUMBERS = ["score", "segment_mean", "lateral_mean", "lateral_p90", "frechet", "direction", "monotonic", "score_gap"]
+_NO_LANES = {"lane_change_count": "BIGINT", "lane_change_path_sequence": "VARCHAR"} | {f"{a}_lateral_{b}": "DOUBLE" for a in ("initial", "bundle") for b in ("mean", "p90")}
+
+
+def _with_fits(body: str, *more: str) -> str:
+    return "WITH RECURSIVE" + with_blocks(body, *PATH_BLOCKS, _FITS, *more)[4:]
+
+
+@query("T1 R11 R13 R14 P7 P8 P9", _with_fits(
+    "SELECT * EXCLUDE (" + ", ".join(_FIT_NUMBERS) + "), " + ", ".join(f"round({c}, 4) AS {c}" for c in _FIT_NUMBERS) + ", " + ", ".join(f"CAST(NULL AS {t}) AS {c}" for c, t in _NO_LANES.items()) + " FROM assigned"))
 def assign_tracks(spark, d):
-    a = assignments(spark, d)
-    return rounded(a, ["score", "segment_mean", "lateral_mean", "lateral_p90", "frechet", "direction", "monotonic", "score_gap"], 4)
+    a = assignments(spark, d).withColumn("lane_change_path_sequence", F.array_join("lane_change_path_sequence", ">"))
+    return rounded(a, _FIT_NUMBERS, 4)
 
 
 @query("R15 W10 U1")
