@@ -113,6 +113,21 @@ def case_dynamics(series: DataFrame, truth: str = "GT") -> DataFrame:
     )
 
 
+def positions_in_segments(positions_: DataFrame, segments: DataFrame, keys: list[str], span: int = 120) -> DataFrame:
+    """Positions of a track within its segments: an interval join on the track and a stretch of ``span`` frames, so that a row
+    meets the segments of its own stretch and not all of its track. One frame behind a segment's last window belongs to it.
+
+    ``positions_``: keys, frame, x, y. ``segments``: keys, segment, frame_k_start, frame_k_end. Step 11 is the first frame.
+    """
+    keys = list(keys)
+    part = lambda c: F.floor(c / span)
+    last = F.col("frame_k_end") + 1
+    parts = segments.select(*keys, "segment", "frame_k_start", last.alias("_last"), F.explode(F.sequence(part(F.col("frame_k_start")), part(last))).alias("_part"))
+    rows = positions_.select(*keys, "frame", "x", "y", part(F.col("frame")).alias("_part"))
+    inside = rows.join(parts, [*keys, "_part"]).where(F.col("frame").between(F.col("frame_k_start"), F.col("_last")))
+    return inside.select(*keys, "segment", (F.col("frame") - F.col("frame_k_start") + K.HISTORY - 1).alias("step"), "x", "y")
+
+
 def rollout_against_positions(rolled: DataFrame, positions_: DataFrame, keys: list[str]) -> DataFrame:
     """ADE, FDE, largest error and path lengths of a rollout measured against recorded positions.
 

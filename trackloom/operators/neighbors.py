@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trackloom import constants as K
 from trackloom.functions import columns as C
+from trackloom.session import materialize
 
 # The scene rides along: a recording belongs to one scene.
 FRAME = ["dataset", "scene_id", "recording", "frame"]
@@ -100,30 +101,46 @@ def feature_row(df: DataFrame) -> Column:
     return F.array(*moving, *gaps)
 
 
-def nearest_neighbor(tracks: DataFrame, first_cell: float = 60.0, keys: list[str] = FRAME,
-                     id_col: str = "track_id", rings: int = 1, carry: list[str] = ()) -> DataFrame:
+def nearest_neighbor(tracks: DataFrame, first_radius: float = 60.0, keys: list[str] = FRAME,
+                     id_col: str = "track_id", carry: list[str] = ()) -> DataFrame:
     """Nearest other agent of the same frame without a radius limit: its distance and speed.
 
-    Each level searches a grid and settles rows whose hit is closer than the searched radius; only rows
-    still open go on to an eightfold radius. The last level compares the open rows with the frame's
-    occupied coarse cells in order of distance, so no level lists all pairs of a frame.
+    A round joins rows and positions by grid cell and settles the rows that have another agent within its radius. Rows that
+    are left stand farther apart than that, so few of them share a cell of the next round, whose radius is twice as large:
+    each round compares a position with a bounded number of rows. Rows without another agent, or without finite
+    coordinates, have no distance.
     """
-    keys, carry = list(keys), list(carry)
-    speed = F.hypot("vx", "vy")
-    base = tracks.select(*keys, id_col, "x", "y", speed.alias("_speed"), *carry)
+    keys, carry, radius = list(keys), list(carry), float(first_radius)
+    base = tracks.select(*keys, id_col, "x", "y", F.hypot("vx", "vy").alias("_speed"), *carry)
+    placed = F.coalesce(C.finite("x") & C.finite("y"), F.lit(False))
+    odd, base = base.where(~placed), base.where(placed)
     spots = base.groupBy(*keys, "x", "y").agg(
         F.min(F.struct(id_col, "_speed")).alias("_lo"), F.max(F.struct(id_col, "_speed")).alias("_hi")
     )
-    open_rows, settled, radius = base, None, float(first_cell)
-    for _ in range(rings):
-        hit = _search(open_rows, spots, radius, keys, id_col, carry)
-        done = hit.where(F.col("_best").isNotNull())
-        settled = done if settled is None else settled.unionByName(done)
-        open_rows = hit.where(F.col("_best").isNull()).drop("_best")
-        radius *= 8.0
-    far = _search_cells(open_rows, spots, radius, keys, id_col, carry)
-    out = settled.unionByName(far) if settled is not None else far
-    return out.select(
+    hit = materialize(_search(base, spots, radius, keys, id_col, carry), "ring")
+    done = hit.where(F.col("_best").isNotNull())
+    left = hit.where(F.col("_best").isNull()).drop("_best")
+    wide = lambda c: F.max(c) - F.min(c)
+    frames = spots.join(left.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(
+        F.hypot(wide("x"), wide("y")).alias("_extent"), F.min(F.col("_lo")[id_col]).alias("_a"), F.max(F.col("_hi")[id_col]).alias("_b"))
+    frames = materialize(frames.where(F.col("_a") != F.col("_b")).select(*keys, "_extent"), "ring-frames")
+    nothing = F.lit(None).cast(hit.schema["_best"].dataType)
+    alone = left.join(frames, keys, "left_anti").unionByName(odd)
+    done = done.unionByName(alone.withColumn("_best", nothing))
+    left = left.join(frames, keys, "left_semi")
+    widest = frames.agg(F.max("_extent")).first()[0]
+    if widest is not None:
+        spots = materialize(spots.join(frames.select(*keys), keys, "left_semi"), "ring-spots")
+    while widest is not None and not left.isEmpty():
+        # The last radius covers the widest frame, rounding included, so every row finds another agent by then.
+        radius *= 2.0
+        hit = materialize(_search(left, spots, radius, keys, id_col, carry), "ring")
+        done = done.unionByName(hit.where(F.col("_best").isNotNull()))
+        left = hit.where(F.col("_best").isNull()).drop("_best")
+        if radius > widest * 2.0 + 1.0:
+            done = done.unionByName(left.withColumn("_best", nothing))
+            break
+    return done.select(
         *keys, id_col, *carry, F.col("_speed").alias("speed"),
         F.col("_best._d").alias("distance"), F.col("_best._v").alias("neighbor_speed"),
     )
@@ -136,43 +153,18 @@ def _best(id_col: str) -> tuple[Column, Column]:
     return d, F.when(pick.isNotNull(), F.struct(d.alias("_d"), pick[id_col].alias("_oid"), pick["_speed"].alias("_v")))
 
 
-def _search(rows: DataFrame, spots: DataFrame, radius: float, keys: list[str], id_col: str, carry: list[str]) -> DataFrame:
+def _near_pairs(rows: DataFrame, spots: DataFrame, radius: float, keys: list[str]) -> DataFrame:
+    """Rows with every position whose disc touches their cell, or with none."""
     cell = 2.0 * radius
     reach = _reach(spots, radius, cell).withColumnsRenamed({"x": "_ox", "y": "_oy"})
-    egos = rows.withColumn("_cx", F.floor(F.col("x") / cell).cast("long")).withColumn(
-        "_cy", F.floor(F.col("y") / cell).cast("long")
-    )
+    at = lambda c: F.floor(F.col(c) / cell).cast("long")
+    return rows.withColumns({"_cx": at("x"), "_cy": at("y")}).join(reach, [*keys, "_cx", "_cy"], "left")
+
+
+def _search(rows: DataFrame, spots: DataFrame, radius: float, keys: list[str], id_col: str, carry: list[str]) -> DataFrame:
     d, best = _best(id_col)
-    joined = egos.join(reach, [*keys, "_cx", "_cy"], "left").withColumn("_cand", F.when(d <= radius, best))
-    return joined.groupBy(*keys, "_cx", "_cy", id_col).agg(
+    pairs = _near_pairs(rows, spots, radius, keys).withColumn("_cand", F.when(d <= radius, best))
+    return pairs.groupBy(*keys, "_cx", "_cy", id_col).agg(
         F.first("x").alias("x"), F.first("y").alias("y"), F.first("_speed").alias("_speed"),
         *[F.first(c).alias(c) for c in carry], F.min("_cand").alias("_best"),
     ).drop("_cx", "_cy")
-
-
-def _search_cells(rows: DataFrame, spots: DataFrame, radius: float, keys: list[str], id_col: str, carry: list[str]) -> DataFrame:
-    """Rows with nothing within ``radius``: bound the answer by cell summaries, then look only into those cells."""
-    cell = radius / 2.0
-    placed = spots.withColumn("_cx", F.floor(F.col("x") / cell).cast("long")).withColumn(
-        "_cy", F.floor(F.col("y") / cell).cast("long")
-    )
-    corner = lambda c, i: F.col(i) * cell
-    cells = placed.groupBy(*keys, "_cx", "_cy").agg(
-        F.min("_lo").alias("_clo"), F.max("_hi").alias("_chi"),
-        F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"),
-    )
-    gap = lambda c, a, b: F.greatest(F.col(a) - F.col(c), F.col(c) - F.col(b), F.lit(0.0))
-    far = lambda c, a, b: F.greatest(F.abs(F.col(a) - F.col(c)), F.abs(F.col(b) - F.col(c)))
-    has_other = (F.col("_clo")[id_col] != F.col(id_col)) | (F.col("_chi")[id_col] != F.col(id_col))
-    reach = rows.join(cells, keys, "left").where(has_other | F.col("_clo").isNull())
-    reach = reach.withColumn("_near", F.hypot(gap("x", "_x0", "_x1"), gap("y", "_y0", "_y1"))).withColumn(
-        "_far", F.hypot(far("x", "_x0", "_x1"), far("y", "_y0", "_y1"))
-    )
-    bound = reach.groupBy(*keys, id_col).agg(F.min("_far").alias("_bound"))
-    look = reach.join(bound, [*keys, id_col]).where(F.col("_near") <= F.col("_bound") + 1e-9)
-    d, best = _best(id_col)
-    near = look.select(*keys, "_cx", "_cy", id_col, "x", "y").join(
-        placed.withColumnsRenamed({"x": "_ox", "y": "_oy"}), [*keys, "_cx", "_cy"]
-    )
-    near = near.groupBy(*keys, id_col).agg(F.min(best).alias("_best"))
-    return rows.join(near, [*keys, id_col], "left").select(*keys, id_col, "x", "y", "_speed", *carry, "_best")

@@ -8,6 +8,7 @@ from trackloom import constants as K
 from trackloom.functions import columns as C
 from trackloom.operators import bounded, distribution, longtail, metrics, neighbors, scoring, slice_kernels, slice_quantiles, slices, trajectories, transitions, ttc
 from trackloom.plans import views as V
+from trackloom.session import materialize
 from trackloom.plans.registry import query, r, rounded, with_blocks
 
 KEY = ["dataset", "scene_id", "track_id"]
@@ -239,7 +240,8 @@ SELECT dataset, scene_id, track_id, round(min(f), 4) AS ttc_min, round(avg(f), 4
        round(quantile_cont(f, 5e-2), 4) AS ttc_p05, round(quantile_cont(f, 95e-2), 4) AS ttc_p95, round(count(f) / (count(*) * 1e0), 5) AS ttc_finite_ratio
 FROM (SELECT *, CASE WHEN NOT isinf(ttc) THEN ttc END AS f FROM ft WHERE ttc IS NOT NULL) GROUP BY 1, 2, 3""", *V.BASE, _NEAREST))
 def ttc_summary(spark, d):
-    out = ttc.series_summary(frame_ttc_rows(spark, d), KEY)
+    # Written, because the summary reads the series twice and the search is the dear part.
+    out = ttc.series_summary(materialize(frame_ttc_rows(spark, d), "frame-ttc"), KEY)
     cols = ["ttc_min", "ttc_mean", "ttc_median", "ttc_p05", "ttc_p95"]
     return rounded(out.withColumn("ttc_finite_ratio", r("ttc_finite_ratio", 5)), cols, 4)
 
@@ -783,8 +785,6 @@ legs AS (SELECT *, sqrt((qx - x) * (qx - x) + (qy - y) * (qy - y)) AS e, sqrt(po
     *STEP_BLOCKS, _rollout_sql("semi"), _ABSOLUTE))
 def rollout_positions(spark, d):
     segs = trajectories.segment_table(trajectories.split_segments(V.kept_windows(spark, d))).where(F.col("pred_steps") >= MIN_STEPS)
-    v = V.vehicles(spark, d).select(*KEY, "frame", "x", "y")
-    spots = v.join(segs, KEY).where(F.col("frame").between(F.col("frame_k_start"), F.col("frame_k_end") + 1))
-    spots = spots.select(*trajectories.SEGMENT, (F.col("frame") - F.col("frame_k_start") + 11).alias("step"), "x", "y")
+    spots = longtail.positions_in_segments(V.vehicles(spark, d), segs, KEY)
     out = longtail.rollout_against_positions(rollout(spark, d), spots, trajectories.SEGMENT)
     return rounded(out, ["ade_m", "fde_m", "max_error_m", "pred_path_len_m", "true_path_len_m", "path_ratio"], 4)

@@ -385,18 +385,7 @@ def lane_change_matches(spark, d):
                    ["score", "direction", "monotonic", "initial_lateral_mean", "initial_lateral_p90", "bundle_lateral_mean", "bundle_lateral_p90"], 4)
 
 
-@query("A18")
-def scene_summary(spark, d):
-    out = matching.scene_summary(assignments(spark, d))
-    return rounded(out, ["assigned_ratio", "usable_ratio", "ambiguous_ratio", "invert_ratio"], 5)
-
-
-@query("A19")
-def batch_summary(spark, d):
-    return matching.batch_summary(matching.scene_summary(assignments(spark, d)))
-
-
-# One record for each track with a status from its number: the summaries have SQL twins of their own, apart from matching.
+# One record for each track with a status from its number: the summaries with every status, also those that no match gives here.
 _RECORDS = """
 records AS (
   SELECT dataset, scene_id, track_id, CASE WHEN any_value(agent_type) = 'pedestrian' THEN 'excluded_non_vehicle' WHEN CAST(track_id AS BIGINT) % 6 = 0 THEN 'rejected_ignore_track'
@@ -460,7 +449,30 @@ def nearest_unassigned(spark, d):
     return rounded(matching.best_unassigned(status_records(spark, d)).select(*KEY, "score"), ["score"], 4)
 
 
-@query("A18 T2")
+_MATCHED = """
+records AS (SELECT * FROM assigned)"""
+
+
+@query("A18", _with_fits("""
+SELECT * EXCLUDE (inv, assigned_ratio, usable_ratio, ambiguous_ratio, invert_ratio), round(assigned_ratio, 5) AS assigned_ratio, round(usable_ratio, 5) AS usable_ratio,
+  round(ambiguous_ratio, 5) AS ambiguous_ratio, round(invert_ratio, 5) AS invert_ratio, assigned_ratio < 9e-1 AS low_assigned_ratio, ambiguous_ratio > 1e-1 AS high_ambiguous_ratio,
+  invert_ratio > 6e-1 AS high_invert_ratio, 9e-1 AS low_assigned_limit, 1e-1 AS high_ambiguous_limit, 6e-1 AS high_invert_limit
+FROM scene_ratios""", _MATCHED, _SCENE_COUNTS))
+def scene_summary(spark, d):
+    return rounded(matching.scene_summary(assignments(spark, d)), _RATIOS, 5)
+
+
+@query("A19", _with_fits("""
+SELECT coalesce(dataset, '(all)') AS dataset, count(*) AS scenes, sum(n_tracks) AS tracks, sum(assigned) AS assigned, sum(rejected_ignore_track) AS rejected_ignore_track, sum(unassigned) AS unassigned,
+  sum(excluded_non_vehicle) AS excluded_non_vehicle, sum(invalid_too_short) AS invalid_too_short, count(*) FILTER (assigned_ratio < 9e-1 OR ambiguous_ratio > 1e-1 OR invert_ratio > 6e-1) AS flagged_scenes
+FROM scene_ratios GROUP BY ROLLUP (dataset)""", _MATCHED, _SCENE_COUNTS))
+def batch_summary(spark, d):
+    return matching.batch_summary(matching.scene_summary(assignments(spark, d)))
+
+
+@query("A18 T2", _with_fits("""
+SELECT dataset, scene_id, track_id, best_candidate_path_id, round(score, 4) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY dataset, scene_id ORDER BY score NULLS LAST, track_id) AS i FROM assigned WHERE status = 'unassigned') WHERE i <= 20"""))
 def best_unassigned(spark, d):
     out = matching.best_unassigned(assignments(spark, d))
     return rounded(out.select(*KEY, "best_candidate_path_id", "score"), ["score"], 4)
