@@ -122,13 +122,31 @@ def test_dbscan_matches_brute_force_across_blocks(spark):
     v = v[rng.permutation(len(v))]
     eps = 1.6
     df = spark.createDataFrame([("d", "s", f"{i:06d}", [float(x) for x in row]) for i, row in enumerate(v)], "dataset string, scene_id string, id string, vector array<double>")
-    got = {int(r.id): (r.label, r.core) for r in clustering.dbscan(df, spark.createDataFrame([("d", "s", eps)], "dataset string, scene_id string, eps double"), 5, [0, 1]).collect()}
+    got = {int(r.id): (r.label, r.core) for r in clustering.dbscan(df, spark.createDataFrame([("d", "s", eps)], "dataset string, scene_id string, eps double"), 5).collect()}
     want, core = brute_dbscan(v, eps, 5)
     assert [got[i][1] for i in range(len(v))] == core.tolist()
     assert [got[i][0] for i in range(len(v)) if core[i] or want[i] < 0] == [int(w) for i, w in enumerate(want) if core[i] or want[i] < 0]
     assert all((got[i][0] >= 0) == (want[i] >= 0) for i in range(len(v)))
 
 
+@pytest.mark.parametrize("pivots", [1, 8, 32])
+def test_pivots_only_steer_the_work(spark, pivots):
+    """Labels are those of all pairs for any number of pivots; with enough of them most pairs are never compared."""
+    rng = np.random.default_rng(12)
+    v = np.concatenate([c + rng.normal(0, 0.3, (200, 8)) for c in rng.uniform(-9, 9, (12, 8))] + [rng.uniform(-9, 9, (100, 8))])
+    df = spark.createDataFrame([("d", s, f"{i:06d}", row) for s in ("s", "t") for i, row in enumerate(v.tolist())], "dataset string, scene_id string, id string, vector array<double>")
+    eps = spark.createDataFrame([("d", "s", 0.9), ("d", "t", 0.9)], "dataset string, scene_id string, eps double")
+    got = {(r.scene_id, int(r.id)): (r.label, r.core) for r in clustering.dbscan(df, eps, 5, pivots).collect()}
+    want, core = brute_dbscan(v, 0.9, 5)
+    for s in ("s", "t"):
+        assert [got[s, i][1] for i in range(len(v))] == core.tolist()
+        assert [got[s, i][0] for i in np.flatnonzero(core)] == want[core].tolist() and all((got[s, i][0] >= 0) == (want[i] >= 0) for i in range(len(v)))
+    pairs = clustering._block_pairs(clustering._placed(df.join(eps, ["dataset", "scene_id"]), pivots), [])
+    compared = pairs.agg(F.sum(F.size("a") * F.size("b"))).first()[0]
+    print(pivots, "pivots:", compared, "of", 2 * len(v) ** 2)
+    assert pivots < 32 or compared * 6 < 2 * len(v) ** 2
+
+
 def test_pruning_keeps_the_first_of_a_chain(spark):
     """a overlaps b, b overlaps c, a does not overlap c: b goes, a and c stay."""
     x = np.linspace(0, 100, 50)

@@ -1,7 +1,7 @@
 """Density clustering of feature vectors per scene, as Spark joins over blocks of bounded size.
 
-Points whose distance is at most eps differ by at most eps in every coordinate, so a grid over a few
-coordinates finds all candidate partners. Inside a cell, points are grouped into blocks of about BLOCK
+Points belong to the nearest of a few pivots and to a ring around it; the triangle inequality tells in which rings the
+partners of a point can be, in any number of dimensions. Inside a ring, points are grouped into blocks of about BLOCK
 rows; a task compares two blocks with matrix arithmetic and returns per-point results only: counts, or a
 spanning forest of the connections it saw. Pairs of points are never rows.
 """
@@ -18,6 +18,7 @@ from trackloom.session import discard, materialize
 
 BLOCK = 256
 SAMPLE = 1000
+PIVOTS = 32
 SCENE = ["dataset", "scene_id"]
 
 
@@ -44,23 +45,50 @@ def sampled_eps(points: DataFrame, percentile: float = 10.0, sample: int = SAMPL
     return picked.select(*SCENE, "vector").groupBy(*SCENE).applyInPandas(measure, "dataset string, scene_id string, eps double")
 
 
-def _cells(points: DataFrame, axes: list[int], spread: bool) -> DataFrame:
-    """Grid cells of side 4 eps over the chosen coordinates: the home cell, or all cells within eps."""
-    df = points
-    for k, axis in enumerate(axes):
-        v, side = F.col("vector")[axis], F.col("eps") * 4.0
-        if spread:
-            # A hair wider than eps, so that rounding in the matrix distances cannot lose a partner.
-            reach = F.col("eps") * 1.000001
-            cells = F.sequence(F.floor((v - reach) / side).cast("long"), F.floor((v + reach) / side).cast("long"))
-            df = df.withColumn(f"_c{k}", F.explode(cells))
-        else:
-            df = df.withColumn(f"_c{k}", F.floor(v / side).cast("long"))
-    return df
+def _pivots(points: DataFrame, n: int) -> DataFrame:
+    """``n`` places per scene that lie far apart: from a sample of stated size, each the one farthest from those before it.
+    They steer the work only; any choice gives the same labels."""
+    picked = bounded.top_per_group(points.select(*SCENE, "id", "vector").withColumn("_h", md5_code(F.col("id"))), SCENE, [F.col("_h"), F.col("id")], SAMPLE)
 
+    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(pdf["vector"]).astype(float)
+        chosen, gap = [0], _distances(v[:1], v)[0]
+        while len(chosen) < n and gap.max() > 1e-7:
+            chosen.append(int(gap.argmax()))
+            gap = np.minimum(gap, _distances(v[chosen[-1:]], v)[0])
+        return pdf[SCENE].head(1).assign(pivots=[v[chosen].tolist()])
 
-def _blocks(cells: DataFrame, axes: list[int], fields: list[str], name: str) -> DataFrame:
-    key = [*SCENE, *[f"_c{k}" for k in range(len(axes))]]
+    return picked.groupBy(*SCENE).applyInPandas(spread, "dataset string, scene_id string, pivots array<array<double>>")
+
+
+def _placed(points: DataFrame, n: int) -> DataFrame:
+    """Adds the distances to the scene's pivots (``_far``) and the nearest pivot (``_home``)."""
+    gap = lambda p: F.sqrt(F.aggregate(F.zip_with("vector", p, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+    df = points.join(_pivots(points, n), SCENE).withColumn("_far", F.transform("pivots", gap)).drop("pivots")
+    return df.withColumn("_home", F.array_position("_far", F.array_min("_far")).cast("int") - 1)
+
+
+def _cells(points: DataFrame, spread: bool) -> DataFrame:
+    """Cells are rings of two eps around the pivots. A point's home is a ring of its nearest pivot; spread, it is in all
+    rings in which a point within eps of it can have its home.
+
+    Within eps of x, a point whose nearest pivot is q is at most eps nearer to or farther from q than x, and x is no more
+    than two eps farther from q than from its own nearest pivot: both by the triangle inequality.
+    """
+    side = F.greatest(F.col("eps") * 2.0, F.lit(1e-12))
+    own = F.get("_far", F.col("_home"))
+    if not spread:
+        return points.withColumns({"_c0": F.col("_home"), "_c1": F.floor(own / side)}).drop("_far", "_home")
+    # A hair wider than eps, so that rounding cannot lose a partner.
+    reach = F.col("eps") * 1.000001 + 1e-12
+    near = F.filter(F.sequence(F.lit(0), F.size("_far") - 1), lambda q: F.get("_far", q) <= own + reach * 2.0)
+    df = points.withColumn("_c0", F.explode(near))
+    far = F.get("_far", F.col("_c0"))
+    return df.withColumn("_c1", F.explode(F.sequence(F.floor((far - reach) / side), F.floor((far + reach) / side)))).drop("_far", "_home")
+
+
+def _blocks(cells: DataFrame, fields: list[str], name: str) -> DataFrame:
+    key = [*SCENE, "_c0", "_c1"]
     sizes = cells.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("_parts"))
     cut = cells.join(sizes, key).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")))
     return cut.groupBy(*key, "_part").agg(
@@ -68,14 +96,12 @@ def _blocks(cells: DataFrame, axes: list[int], fields: list[str], name: str) ->
     ).drop("_part")
 
 
-def _block_pairs(points: DataFrame, axes: list[int], fields: list[str], home_where: Column | None = None,
-                 reach_where: Column | None = None) -> DataFrame:
+def _block_pairs(points: DataFrame, fields: list[str], home_where: Column | None = None, reach_where: Column | None = None) -> DataFrame:
     home = points if home_where is None else points.where(home_where)
     reach = points if reach_where is None else points.where(reach_where)
-    key = [*SCENE, *[f"_c{k}" for k in range(len(axes))]]
-    left = _blocks(_cells(home, axes, False), axes, fields, "a")
-    right = _blocks(_cells(reach, axes, True), axes, fields, "b")
-    return left.join(right, key).select(*SCENE, F.col("eps_a").alias("eps"), "a", "b")
+    left = _blocks(_cells(home, False), fields, "a")
+    right = _blocks(_cells(reach, True), fields, "b")
+    return left.join(right, [*SCENE, "_c0", "_c1"]).select(*SCENE, F.col("eps_a").alias("eps"), "a", "b")
 
 
 def _matrix(block) -> np.ndarray:
@@ -148,22 +174,21 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def dbscan(points: DataFrame, eps: DataFrame, min_samples: int = 5, axes: list[int] | None = None) -> DataFrame:
+def dbscan(points: DataFrame, eps: DataFrame, min_samples: int = 5, pivots: int = PIVOTS) -> DataFrame:
     """Labels per (scene, id): clusters numbered by their smallest core id, -1 for noise.
 
     A core point has at least ``min_samples`` points within eps, itself included; clusters are the connected
     components of core points; a border point joins the lowest-numbered cluster in reach.
     """
-    points = materialize(points.select(*SCENE, "id", "vector").join(eps, SCENE), "points")
-    axes = axes if axes is not None else [0, 1]
-    near = _block_pairs(points, axes, []).mapInPandas(_degrees, "dataset string, scene_id string, id string, near bigint")
+    points = materialize(_placed(points.select(*SCENE, "id", "vector").join(eps, SCENE), pivots), "points")
+    near = _block_pairs(points, []).mapInPandas(_degrees, "dataset string, scene_id string, id string, near bigint")
     degree = near.groupBy(*SCENE, "id").agg(F.sum("near").alias("degree"))
     points = materialize(points.join(degree.withColumn("core", F.col("degree") >= min_samples).drop("degree"), [*SCENE, "id"]), "points")
-    forest = _block_pairs(points, axes, [], F.col("core"), F.col("core")).mapInPandas(
+    forest = _block_pairs(points, [], F.col("core"), F.col("core")).mapInPandas(
         _forest, "dataset string, scene_id string, u string, v string")
     core = components(points.where("core"), forest)
     labelled = points.join(core, [*SCENE, "id"], "left")
-    border = _block_pairs(labelled, axes, ["component"], ~F.col("core"), F.col("core")).mapInPandas(
+    border = _block_pairs(labelled, ["component"], ~F.col("core"), F.col("core")).mapInPandas(
         _borders, "dataset string, scene_id string, id string, component string")
     border = border.groupBy(*SCENE, "id").agg(F.min("component").alias("component"))
     # One row per cluster: few per scene.

@@ -29,10 +29,9 @@ def track_vectors(tracks: DataFrame, eligible: DataFrame, n: int = POINTS, shape
 
 
 def cluster_tracks(vectors: DataFrame, min_samples: int = 5, sample: int = clustering.SAMPLE) -> DataFrame:
-    """Density clusters of track vectors; the grid uses the entry and the exit point."""
+    """Density clusters of track vectors."""
     points = vectors.select(*SCENE, F.col("track_id").alias("id"), "vector")
-    last = 2 * POINTS
-    labels = clustering.dbscan(points, clustering.sampled_eps(points, sample=sample), min_samples, [0, 1, last - 2, last - 1])
+    labels = clustering.dbscan(points, clustering.sampled_eps(points, sample=sample), min_samples)
     return labels.select(*SCENE, F.col("id").alias("track_id"), F.col("label").alias("cluster_id"))
 
 

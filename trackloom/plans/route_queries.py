@@ -503,17 +503,17 @@ LEFT JOIN (SELECT * FROM comp UNION ALL SELECT * FROM border) USING (id) LEFT JO
 def density_clusters(spark, d):
     p = embedding_points(spark, d)
     eps = p.select("dataset", "scene_id").distinct().withColumn("eps", F.lit(_EPS))
-    out = clustering.dbscan(p.drop("label"), eps, 5, [0, 1])
+    out = clustering.dbscan(p.drop("label"), eps, 5)
     return out.select(F.col("id").cast("long").alias("vec_id"), "core", F.col("label").cast("long").alias("cluster_id"))
 
 
 @query("R2", """
 WITH s AS (SELECT * FROM (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v,
-    row_number() OVER (ORDER BY CAST(concat('0x', substr(md5(lpad(CAST(vec_id AS VARCHAR), 9, '0')), 1, 15)) AS BIGINT), vec_id) AS k FROM embeddings) WHERE k <= 200),
+    row_number() OVER (ORDER BY CAST(concat('0x', substr(md5(lpad(CAST(vec_id AS VARCHAR), 9, '0')), 1, 15)) AS BIGINT), vec_id) AS k FROM embeddings) WHERE k <= 1000),
 dist AS (SELECT list_distance(a.v, b.v) AS d FROM s a JOIN s b ON a.k <> b.k)
 SELECT 'embeddings' AS dataset, 'all' AS scene_id, round(quantile_cont(d, 1e-1), 5) AS eps FROM dist WHERE d > 1e-7""")
 def sampled_eps(spark, d):
-    return rounded(clustering.sampled_eps(embedding_points(spark, d), sample=200), ["eps"], 5)
+    return rounded(clustering.sampled_eps(embedding_points(spark, d)), ["eps"], 5)
 
 
 def route_candidates(spark, d):
