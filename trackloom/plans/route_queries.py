@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from trackloom.operators import bounded, cleaning, clustering, geometry as G, matching, routes
+from trackloom.operators import bounded, cleaning, clustering, geometry as G, matching, medoids, routes
 from trackloom.plans import views as V
 from trackloom.plans.registry import query, r, rounded, with_blocks
 from trackloom.session import materialize, shared_folder
@@ -139,6 +139,32 @@ def final_paths(spark, d):
     return rounded(rounded(out, _GEO_COLS, 4), ["kappa"], 3)
 
 
+@query("A22", with_blocks("""
+SELECT dataset, scene_id, cluster_id, min_by(track_id, (round(total, 6), track_id)) AS track_id, round(min(total), 4) AS distance_sum, count(*) AS size FROM (
+  SELECT dataset, scene_id, cluster_id, track_id, sum(sqrt(square)) AS total FROM (
+    SELECT a.dataset, a.scene_id, CAST(a.track_id AS BIGINT) % 4 AS cluster_id, a.track_id, b.track_id AS other, sum(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS square
+    FROM r50 a JOIN r50 b ON a.dataset = b.dataset AND a.scene_id = b.scene_id AND a.seq = b.seq AND CAST(a.track_id AS BIGINT) % 4 = CAST(b.track_id AS BIGINT) % 4 GROUP BY 1, 2, 3, 4, 5)
+  GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""", V.TRACKS_SQL, LINES_SQL, _ARC, _resample_sql(50, "r50")))
+def route_medoids(spark, d):
+    """The most central track of every scene and curve family."""
+    t = lines(spark, d).withColumnRenamed("seq", "frame")
+    vectors = routes.track_vectors(t, t).withColumn("cluster_id", F.col("track_id").cast("long") % 4)
+    out = medoids.medoids(vectors.select(*SCENE, "cluster_id", F.col("track_id").alias("id"), "vector"), [*SCENE, "cluster_id"])
+    return rounded(out.drop("vector").withColumnRenamed("id", "track_id"), ["distance_sum"], 4)
+
+
+@query("A22", """
+SELECT label, min_by(vec_id, (round(total, 6), vec_id)) AS vec_id, round(min(total), 4) AS distance_sum, count(*) AS size FROM (
+  SELECT a.label, a.vec_id, sum(list_distance(a.v, b.v)) AS total
+  FROM (SELECT label, vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS v FROM embeddings) a
+  JOIN (SELECT label, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS v FROM embeddings) b ON a.label = b.label GROUP BY 1, 2) GROUP BY 1""")
+def label_medoids(spark, d):
+    """The most central vector of every label."""
+    p = embedding_points(spark, d)
+    out = medoids.medoids(p.select("label", "id", "vector"), ["label"])
+    return rounded(out.select("label", F.col("id").cast("long").alias("vec_id"), "distance_sum", "size"), ["distance_sum"], 4)
+
+
 @query("J8", with_blocks("""
 SELECT dataset, scene_id, path_id, other_path_id, seq, round(abs(sd), 4) AS distance, topology FROM (
   SELECT a.dataset, a.scene_id, a.path_id, b.path_id AS other_path_id, a.seq, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS sd,
