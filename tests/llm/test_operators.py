@@ -249,8 +249,9 @@ def test_neighbours_odd(spark, monkeypatch):
     bad = [(200, None), (220, [0.0, 0.0, 0.0]), (240, [1.0, None, 1.0]), (260, [1.0, float("nan"), 1.0]), (280, [float("inf"), 1.0, 1.0]), (300, [1.0]), (None, [1.0, 1.0, 1.0])]
     repeated = [(20, [9.0, 9.0, 9.0]), (100, [2.0, 2.0, 2.0])]
     df = spark.createDataFrame(good + bad + repeated, "vec_id long, embedding array<float>")
-    found = set(rows(vector_tree.search(df, target=1.0), "query_id", "rank", "vec_id", "score"))
-    assert found == brute_neighbours(good)  # 20 keeps its least vector, [6, 1, 2]
+    found = rows(vector_tree.search(df, target=1.0), "query_id", "rank", "vec_id", "score")
+    assert set(found) == brute_neighbours(good + repeated) and len(found) == 20 * 10  # eight ids asking, two of them twice
+    assert (0, 1, 20, 9.0) in found and (20, 1, 20, 81.0) in found  # the other row of an id is a neighbour like any other
     few = spark.createDataFrame(good[:5] + [(20, [1.0, 1.0, 1.0])], "vec_id long, embedding array<float>")
     assert set(rows(vector_tree.search(few), "query_id", "rank", "vec_id", "score")) == brute_neighbours(good[:5] + [(20, [1.0, 1.0, 1.0])])
     assert not vector_tree.search(df.where("vec_id = 200")).collect() and not vector_tree.search(df.where("false")).collect()

@@ -10,8 +10,10 @@ third of all vectors nor one that every query visits is one task. A tile gives e
 Sums are taken in double precision in a fixed order, so that equal vectors have equal scores; ties go to the smaller id.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without id
-or with another length than the most frequent one (the smaller among equally frequent); of rows that repeat an id the
-least vector stands. With fewer than k candidates all are returned; with none, there is no row.
+or with another length than the most frequent one (the smaller among equally frequent), which have no inner product with
+the others. Rows that repeat an id, or are equal, are candidates and queries of their own: only the query's own row is
+left out of its search, so an id can be its own neighbour, and a repeated query id has a list for each of its rows. With
+fewer than k candidates all are returned; with none, there is no row.
 """
 
 from __future__ import annotations
@@ -39,12 +41,12 @@ ROUNDS = 12
 
 
 def taking_part(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (doubles) of the vectors that can be searched, once for each id."""
+    """row (its number), vec_id and v (doubles) of the vectors that can be searched."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     v = F.col("embedding")
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("v")).where(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", fine) & F.exists("v", lambda x: x != 0))
-    good = materialize(good.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    good = materialize(good.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), "vectors")  # numbers stay as written
     lengths = good.groupBy(F.size("v").alias("length")).count().orderBy(F.desc("count"), "length").limit(1).collect()
     return good.where(F.size("v") == lengths[0]["length"]) if lengths else good
 
@@ -131,11 +133,11 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def best_of(queries: np.ndarray, query_ids: np.ndarray, members: np.ndarray, member_ids: np.ndarray, k: int) -> pd.DataFrame:
-    """query_id, vec_id, score: each query's best k of ``members`` without itself, ties to the smaller id."""
-    owner, ids, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+def best_of(queries: np.ndarray, query_rows: np.ndarray, members: np.ndarray, member_rows: np.ndarray, member_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's best k of ``members`` without its own row, ties to the smaller id: places of query and member, scores."""
+    owner, found, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     rough = queries @ members.T
-    rough[query_ids[:, None] == member_ids[None, :]] = -np.inf
+    rough[query_rows[:, None] == member_rows[None, :]] = -np.inf
     for i, row in enumerate(rough):
         if len(row) > k:
             edge = np.partition(row, len(row) - k)[len(row) - k]
@@ -144,11 +146,11 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, members: np.ndarray, mem
         else:
             at = np.flatnonzero(np.isfinite(row))
         score = (members[at] * queries[i]).sum(axis=1)
-        order = np.lexsort((member_ids[at], -score))[:k]
-        owner.append(np.full(len(order), query_ids[i]))
-        ids.append(member_ids[at][order])
+        order = np.lexsort((member_rows[at], member_ids[at], -score))[:k]
+        owner.append(np.full(len(order), i))
+        found.append(at[order])
         scores.append(score[order])
-    return pd.DataFrame({"query_id": np.concatenate(owner), "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
+    return np.concatenate(owner), np.concatenate(found), np.concatenate(scores)
 
 
 def index(vectors: DataFrame, tree: Tree, width: int) -> DataFrame:
@@ -158,40 +160,38 @@ def index(vectors: DataFrame, tree: Tree, width: int) -> DataFrame:
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(shared.value.assign(matrix(b.column("v"), width)), pa.int32())], ["vec_id", "v", "leaf"])
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("vec_id"), b.column("v"), pa.array(shared.value.assign(matrix(b.column("v"), width)), pa.int32())], ["row", "vec_id", "v", "leaf"])
 
-    return materialize(vectors.mapInArrow(leaf, "vec_id long, v array<double>, leaf int"), "leaves")
+    return materialize(vectors.mapInArrow(leaf, "row long, vec_id long, v array<double>, leaf int"), "leaves")
 
 
 def calibrate(indexed: DataFrame, tree: Tree, width: int, k: int, target: float = RECALL, count: int = CALIBRATION) -> int:
     """Leaves to visit so that ``count`` sampled queries find ``target`` of their true neighbours among all vectors."""
-    picked = indexed.where(F.col("vec_id") % QUERY_STEP == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).collect()
+    picked = indexed.where(F.col("vec_id") % QUERY_STEP == 0).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(count).collect()
     if not picked:
         return 1
-    ids, q = np.array([r["vec_id"] for r in picked]), np.array([r["v"] for r in picked])
+    own_rows, q = np.array([r["row"] for r in picked]), np.array([r["v"] for r in picked])
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, own, leaf = matrix(b.column("v"), width), b.column("vec_id").to_numpy(), b.column("leaf").to_numpy()
+            x, ids, rows, leaf = matrix(b.column("v"), width), *(b.column(c).to_numpy() for c in ("vec_id", "row", "leaf"))
             for at in range(0, len(x), TILE):
                 part = slice(at, at + TILE)
-                found = best_of(q, ids, x[part], own[part], k)
-                order = np.argsort(own[part])
-                found["leaf"] = leaf[part][order[np.searchsorted(own[part][order], found["vec_id"])]]
-                yield pa.RecordBatch.from_pandas(found.astype({"leaf": "int32"}), preserve_index=False)
-
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    exact = indexed.mapInArrow(search, "query_id long, vec_id long, score double, leaf int")
-    rows = exact.withColumn("i", F.row_number().over(ranked)).where(F.col("i") <= k).select("query_id", "leaf").collect()  # count * k rows
-    place = {int(i): {leaf: n for n, leaf in enumerate(tree.visits(v))} for i, v in zip(ids, q)}
-    needed = np.sort([place[r["query_id"]][r["leaf"]] + 1 for r in rows])
+                owner, found, score = best_of(q, own_rows, x[part], rows[part], ids[part], k)
+                yield pa.RecordBatch.from_arrays([pa.array(own_rows[owner], pa.int64()), pa.array(rows[part][found], pa.int64()), pa.array(ids[part][found], pa.int64()), pa.array(score), pa.array(leaf[part][found], pa.int32())], ["query_row", "row", "vec_id", "score", "leaf"])
+
+    ranked = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+    exact = indexed.mapInArrow(search, "query_row long, row long, vec_id long, score double, leaf int")
+    rows = exact.withColumn("i", F.row_number().over(ranked)).where(F.col("i") <= k).select("query_row", "leaf").collect()  # count * k rows
+    place = {int(i): {leaf: n for n, leaf in enumerate(tree.visits(v))} for i, v in zip(own_rows, q)}
+    needed = np.sort([place[r["query_row"]][r["leaf"]] + 1 for r in rows])
     return int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))]) if len(needed) else 1
 
 
 def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, sample: int = SAMPLE, target: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found of every vector whose id is divisible by ``step``."""
     good = taking_part(vectors)
-    fitted = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()
+    fitted = good.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).select("v").toPandas()
     if not len(fitted):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = np.stack(fitted["v"].to_numpy())
@@ -216,26 +216,28 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, samp
                     if sizes[at]:
                         row.append(i)
                         leaf.append(at)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(row, pa.int64())), b.column("v").take(pa.array(row, pa.int64())), pa.array(leaf, pa.int32())], ["query_id", "q", "leaf"])
+            of = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("row").take(of), b.column("vec_id").take(of), b.column("v").take(of), pa.array(leaf, pa.int32())], ["query_row", "query_id", "q", "leaf"])
 
-    queries = materialize(indexed.where(F.col("vec_id") % step == 0).select("vec_id", "v").mapInArrow(walk, "query_id long, q array<double>, leaf int"), "visits")
+    queries = materialize(indexed.where(F.col("vec_id") % step == 0).select("row", "vec_id", "v").mapInArrow(walk, "query_row long, query_id long, q array<double>, leaf int"), "visits")
     visitors = np.zeros(tree.leaves, np.int64)
     for r in queries.groupBy("leaf").count().collect():
         visitors[r["leaf"]] = r["count"]
     tiles = lambda counts: F.element_at(F.lit([int(max(1, -(-c // TILE))) for c in counts]), F.col("leaf") + 1)
     spread = lambda df, key, own, own_counts, other, other_counts: df.withColumn(
         own, F.pmod(F.xxhash64(key), tiles(own_counts)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), tiles(other_counts) - 1)))
-    left = spread(indexed.where(F.element_at(F.lit([bool(c) for c in visitors]), F.col("leaf") + 1)), "vec_id", "m", sizes, "q_tile", visitors)
-    right = spread(queries, "query_id", "q_tile", visitors, "m", sizes)
+    left = spread(indexed.where(F.element_at(F.lit([bool(c) for c in visitors]), F.col("leaf") + 1)), "row", "m", sizes, "q_tile", visitors)
+    right = spread(queries, "query_row", "q_tile", visitors, "m", sizes)
 
     def compare(members: pd.DataFrame, visiting: pd.DataFrame) -> pd.DataFrame:
-        if not len(members) or not len(visiting):
-            return best_of(np.zeros((0, width)), np.zeros(0, np.int64), np.zeros((0, width)), np.zeros(0, np.int64), k)
-        return best_of(np.stack(visiting["q"].to_numpy()), visiting["query_id"].to_numpy(), np.stack(members["v"].to_numpy()), members["vec_id"].to_numpy(), k)
+        vectors = lambda column: np.stack(column.to_numpy()) if len(column) else np.zeros((0, width))
+        asking, own, ids = visiting["query_row"].to_numpy(), members["row"].to_numpy(), members["vec_id"].to_numpy()
+        owner, found, score = best_of(vectors(visiting["q"]), asking, vectors(members["v"]), own, ids, k)
+        return pd.DataFrame({"query_row": asking[owner], "query_id": visiting["query_id"].to_numpy()[owner], "row": own[found], "vec_id": ids[found], "score": score})
 
     keys = ["leaf", "m", "q_tile"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_row long, query_id long, row long, vec_id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
