@@ -64,21 +64,48 @@ def split_short_turns(cands: DataFrame, scenes: DataFrame) -> tuple[DataFrame, D
     return flagged.where(~F.col("_short")).drop("_short", "unit"), rejected
 
 
+def _cells(lines: DataFrame, line: str) -> DataFrame:
+    """Cell (cx, cy), as wide as the limit of the 90th percentile, of every point of a candidate's line."""
+    # A little wider, so that rounding cannot put points at the limit two cells apart.
+    side = F.when(F.col("unit") == "pixel", 110.0).otherwise(3.0) * (1 + 1e-9)
+    points = lines.select(*CLUSTER, side.alias("_side"), F.explode(line).alias("p"))
+    return points.select(*CLUSTER, *[F.floor(F.col(f"p.{v}") / F.col("_side")).cast("long").alias(f"c{v}") for v in "xy"])
+
+
+def overlap_candidates(lines: DataFrame) -> DataFrame:
+    """Pairs (cluster_id, earlier_id) of a scene that can overlap. lines: candidates with unit, _p100 and _p200.
+
+    If the 90th percentile of a line's 100 gaps is within the limit, at most 10 gaps are beyond it. So of any 11 points
+    one has a point of the other line in its own or a neighbouring cell: the 11 points in the cells that the fewest
+    lines come near to are looked up, and a stretch of road that all routes of a scene share brings nothing together.
+    """
+    mine = _cells(lines, "_p100").groupBy(*CLUSTER, "cx", "cy").agg(F.count(F.lit(1)).alias("_points"))
+    around = F.inline(F.array(*[F.struct((F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
+    near = materialize(_cells(lines, "_p200").distinct().select(*CLUSTER, around).distinct(), "overlap-cells")
+    crowd = near.groupBy(*SCENE, "cx", "cy").agg(F.count(F.lit(1)).alias("_crowd"))
+    rarest = W.partitionBy(*CLUSTER).orderBy(F.coalesce("_crowd", F.lit(0)), "cx", "cy").rowsBetween(W.unboundedPreceding, -1)
+    probes = mine.join(crowd, [*SCENE, "cx", "cy"], "left").withColumn("_before", F.coalesce(F.sum("_points").over(rarest), F.lit(0)))
+    probes = probes.where(F.col("_before") < 11).select(*CLUSTER, "cx", "cy")
+    met = probes.join(near.withColumnRenamed("cluster_id", "earlier_id"), [*SCENE, "cx", "cy"]).where("cluster_id != earlier_id")
+    return met.select(*CLUSTER, "earlier_id").distinct()
+
+
 def overlaps(cands: DataFrame, scenes: DataFrame) -> DataFrame:
     """Pairs (candidate, earlier candidate) of a scene that run along the same way, with the statistics.
 
-    Earlier means longer, then larger, then smaller id. A scene has few candidates.
+    Earlier means longer, then larger, then smaller id. Only pairs that come near enough to each other are compared.
     """
-    c = cands.join(scenes.select(*SCENE, "unit"), SCENE).where((F.col("dataset") != "CitySim") & (F.size("line") >= 4))
-    c = G.with_resampled(G.with_resampled(c, 100, name="_p100"), 200, name="_p200")
+    c = cands.join(scenes.select(*SCENE, "unit"), SCENE).where((F.col("dataset") != "CitySim") & (F.size("line") >= 4) & (F.col("length") > 1e-9))
     fields = ["cluster_id", "size", "length", "line", "_p100", "_p200"]
+    c = G.with_resampled(G.with_resampled(c, 100, name="_p100"), 200, name="_p200")
+    c = materialize(c.select(*SCENE, "unit", *fields), "overlap-lines")
     a = c.select(*SCENE, "unit", *[F.col(f).alias(f"a_{f}") for f in fields])
     b = c.select(*SCENE, *[F.col(f).alias(f"b_{f}") for f in fields])
     order = lambda p: F.struct(-F.col(f"{p}_length"), -F.col(f"{p}_size"), F.col(f"{p}_cluster_id"))
+    near = overlap_candidates(c).select(*SCENE, F.col("cluster_id").alias("a_cluster_id"), F.col("earlier_id").alias("b_cluster_id"))
     # b precedes a, hence a is the shorter line.
-    pairs = a.join(b, SCENE).where(order("b") < order("a"))
-    pairs = pairs.withColumn("length_ratio", F.col("a_length") / F.col("b_length")).where(
-        (F.col("a_length") > 1e-9) & (F.col("length_ratio") >= 0.55))
+    pairs = a.join(near, [*SCENE, "a_cluster_id"]).join(b, [*SCENE, "b_cluster_id"]).where(order("b") < order("a"))
+    pairs = pairs.withColumn("length_ratio", F.col("a_length") / F.col("b_length")).where(F.col("length_ratio") >= 0.55)
     pairs = pairs.withColumns({
         "start_dot": G.direction_dot(F.col("a_line"), F.col("b_line"), True),
         "end_dot": G.direction_dot(F.col("a_line"), F.col("b_line"), False),
