@@ -568,6 +568,74 @@ def pruned_candidates(spark, d):
         pruned.select(*SCENE, "cluster_id", F.lit("pruned").alias("state"), "kept_cluster_id"))
 
 
+# Every track as a candidate of its own: many candidates a scene, of known order and size.
+_ROUTES = f"""
+{_chain(100, 'r50', 'c100')}, {_chain(200, 'r50', 'c200')},
+frames AS (SELECT dataset, scene_id, track_id, count(*) AS size FROM lines GROUP BY 1, 2, 3),
+cand AS MATERIALIZED (
+  SELECT dataset, scene_id, track_id, CAST(track_id AS BIGINT) AS cluster_id, any_value(size) AS size, sum(step_len) AS length, list(struct_pack(x := x, y := y) ORDER BY seq) AS p
+  FROM c100_a JOIN frames USING (dataset, scene_id, track_id) GROUP BY 1, 2, 3),
+facing AS (SELECT dataset, scene_id, cluster_id, track_id, size, length, p[6].x - p[1].x AS sx, p[6].y - p[1].y AS sy, p[50].x - p[45].x AS ex, p[50].y - p[45].y AS ey FROM cand WHERE length > 1e-9 AND dataset <> 'CitySim'),
+met AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT a.dataset, a.scene_id, a.cluster_id, b.cluster_id AS earlier_id, a.track_id, b.track_id AS earlier_track, b.length AS earlier_length, b.size AS earlier_size, a.length / b.length AS length_ratio,
+           (a.sx * b.sx + a.sy * b.sy) / greatest(sqrt(a.sx * a.sx + a.sy * a.sy) * sqrt(b.sx * b.sx + b.sy * b.sy), 1e-9) AS start_dot,
+           (a.ex * b.ex + a.ey * b.ey) / greatest(sqrt(a.ex * a.ex + a.ey * a.ey) * sqrt(b.ex * b.ex + b.ey * b.ey), 1e-9) AS end_dot
+    FROM facing a JOIN facing b ON a.dataset = b.dataset AND a.scene_id = b.scene_id AND (-b.length, -b.size, b.cluster_id) < (-a.length, -a.size, a.cluster_id))
+  WHERE length_ratio >= 55e-2 AND least(start_dot, end_dot) >= 85e-2),
+nearest AS (
+  SELECT m.dataset, m.scene_id, m.cluster_id, m.earlier_id, c.seq, min(sqrt((c.x - e.x) * (c.x - e.x) + (c.y - e.y) * (c.y - e.y))) AS d
+  FROM met m JOIN c100 c ON c.dataset = m.dataset AND c.scene_id = m.scene_id AND c.track_id = m.track_id JOIN c200 e ON e.dataset = m.dataset AND e.scene_id = m.scene_id AND e.track_id = m.earlier_track
+  GROUP BY 1, 2, 3, 4, 5),
+edges AS MATERIALIZED (
+  SELECT * FROM met JOIN (SELECT dataset, scene_id, cluster_id, earlier_id, avg(d) AS mean_nearest, quantile_cont(d, 9e-1) AS p90_nearest FROM nearest GROUP BY 1, 2, 3, 4) USING (dataset, scene_id, cluster_id, earlier_id)
+  WHERE mean_nearest <= 16e-1 AND p90_nearest <= 3e0)"""
+_ROUTE_BLOCKS = [V.TRACKS_SQL, LINES_SQL, _ARC, _resample_sql(50, "r50"), _ROUTES]
+
+# One candidate of a scene after the other: kept unless it overlaps one that is kept already.
+_KEPT = """
+turn AS MATERIALIZED (
+  SELECT c.*, row_number() OVER (PARTITION BY dataset, scene_id ORDER BY -length, -size, cluster_id) AS k, coalesce(earlier, []) AS earlier
+  FROM (SELECT dataset, scene_id, cluster_id, size, length FROM cand) c LEFT JOIN (SELECT dataset, scene_id, cluster_id, list(earlier_id) AS earlier FROM edges GROUP BY 1, 2, 3) USING (dataset, scene_id, cluster_id)),
+greedy(dataset, scene_id, k, kept) AS (
+  SELECT DISTINCT dataset, scene_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM turn
+  UNION ALL
+  SELECT g.dataset, g.scene_id, t.k, CASE WHEN list_has_any(g.kept, t.earlier) THEN g.kept ELSE list_append(g.kept, t.cluster_id) END
+  FROM greedy g JOIN turn t ON t.dataset = g.dataset AND t.scene_id = g.scene_id AND t.k = g.k + 1),
+kept AS (SELECT dataset, scene_id, unnest(max_by(kept, k)) AS cluster_id FROM greedy GROUP BY 1, 2),
+covered AS (
+  SELECT e.dataset, e.scene_id, e.cluster_id, min_by(struct_pack(earlier_id, length_ratio, mean_nearest, p90_nearest), (-earlier_length, -earlier_size, earlier_id)) AS o
+  FROM edges e JOIN kept k ON k.dataset = e.dataset AND k.scene_id = e.scene_id AND k.cluster_id = e.earlier_id GROUP BY 1, 2, 3)"""
+
+
+def track_routes(spark, d):
+    def build():
+        t = lines(spark, d)
+        line = G.to_array(G.resample(t, KEY, 50), KEY).join(t.groupBy(*KEY).agg(F.count(F.lit(1)).alias("size")), KEY)
+        return line.select(*SCENE, F.col("track_id").cast("int").alias("cluster_id"), "line", "size", G.line_length(F.col("line")).alias("length"))
+    return V.landed(spark, d, "track-routes", build)
+
+
+@query("J9", with_blocks("""
+SELECT dataset, scene_id, cluster_id, earlier_id, round(length_ratio, 4) AS length_ratio, round(start_dot, 4) + 0e0 AS start_dot, round(end_dot, 4) + 0e0 AS end_dot,
+       round(mean_nearest, 4) AS mean_nearest, round(p90_nearest, 4) AS p90_nearest FROM edges""", *_ROUTE_BLOCKS))
+def overlapping_routes(spark, d):
+    out = routes.overlaps(track_routes(spark, d), line_scenes(spark, d)).drop("earlier_length", "earlier_size")
+    return rounded(out, ["length_ratio", "start_dot", "end_dot", "mean_nearest", "p90_nearest"], 4)
+
+
+@query("R5 P10", "WITH RECURSIVE" + with_blocks("""
+SELECT dataset, scene_id, cluster_id, 'kept' AS state, CAST(NULL AS BIGINT) AS kept_cluster_id, CAST(NULL AS DOUBLE) AS length_ratio, CAST(NULL AS DOUBLE) AS mean_nearest, CAST(NULL AS DOUBLE) AS p90_nearest FROM kept
+UNION ALL
+SELECT dataset, scene_id, cluster_id, 'pruned', o.earlier_id, round(o.length_ratio, 4), round(o.mean_nearest, 4), round(o.p90_nearest, 4) FROM covered""", *_ROUTE_BLOCKS, _KEPT)[4:])
+def pruned_routes(spark, d):
+    c = track_routes(spark, d)
+    kept, pruned = routes.prune_overlaps(c, routes.overlaps(c, line_scenes(spark, d)))
+    figures = ["length_ratio", "mean_nearest", "p90_nearest"]
+    kept = kept.select(*SCENE, "cluster_id", F.lit("kept").alias("state"), F.lit(None).cast("int").alias("kept_cluster_id"), *[F.lit(None).cast("double").alias(f) for f in figures])
+    return kept.unionByName(rounded(pruned.select(*SCENE, "cluster_id", F.lit("pruned").alias("state"), "kept_cluster_id", *figures), figures, 4))
+
+
 @query("R7 U3")
 def manual_selection(spark, d):
     c = route_candidates(spark, d)
