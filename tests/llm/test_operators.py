@@ -461,6 +461,30 @@ def test_mixing(spark, odd, none):
     assert not mixing.mix(none).collect()
 
 
+def plain_mix(measured):
+    """Words taken of every row: each source in key order until its target is used up."""
+    sizes, out = Counter(), []
+    for m in measured:
+        sizes[m["source"]] += m["size"]
+    for source, target in brute.targets(dict(sizes)).items():
+        epochs, ahead = int(target // sizes[source]) if sizes[source] else 0, 0
+        for m in sorted((m for m in measured if m["source"] == source), key=lambda m: (m["key"], m["doc_id"], m["mark"])):
+            extra = ahead + m["size"] / 2 <= target - epochs * sizes[source]
+            out.append((m["doc_id"], m["mark"], source, m["size"] * (epochs + extra)))
+            ahead += m["size"]
+    return out
+
+
+@pytest.mark.parametrize("hot", [3, 7, 11, 12])
+def test_mix_of_one_repeated_row(spark, monkeypatch, hot):
+    """Most rows of a source are one row, at whatever place of the order: exactly the documents of the plain version."""
+    monkeypatch.setattr(mixing, "RUN", 7)
+    texts = [(i, " ".join(["w"] * (1 + i % 9)), "en", "abc"[i % 3]) for i in range(90)]
+    docs = spark.createDataFrame(texts + [texts[hot]] * 400, "doc_id long, text string, lang string, source string")
+    found = rows(mixing.mix(docs), "doc_id", "mark", "source", "taken")
+    assert norm(found) == norm(plain_mix(mixing.measured(docs).collect()))
+
+
 @pytest.mark.parametrize("sizes", [{"a": 5, "b": 5, "c": 5}, {"a": 1, "b": 1, "c": 1000, None: 50, "e": 0}, {"a": 0}, {"a": 9}, {"z": 1, "y": 2, "x": 3, "w": 400}])
 def test_targets(spark, sizes):
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")

@@ -8,7 +8,8 @@ sum nearer to the target.
 
 The order within a source is never sorted whole: words are summed per (source, bucket of the key's logarithm) with
 map-side combining, a running sum over the buckets finds the one bucket of each source that holds the edge, and only the
-rows of that bucket are ordered. A source may hold any share of the rows.
+rows of that bucket are ordered. Equal rows draw equal keys, so they share a bucket: there they are counted, ordered as one
+row, and dealt out again in runs of ``RUN``. A source, or one repeated row, may hold any share of the rows.
 
 Defined results: null text has size 0; a null source is a source of its own, ranked last; a null doc_id or repeated rows
 are documents of their own, equal ones drawing equal keys (ties go by doc_id, then text hash). Empty input gives no rows.
@@ -24,6 +25,7 @@ from trackloom.session import materialize
 MOST = 3
 BUCKETS_PER_DOUBLING = 1024
 SEED = 20_240_517
+RUN = 10_000
 
 
 def quality_weight(text: Column) -> Column:
@@ -102,12 +104,16 @@ def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST) -> Data
     plan = materialize(edges(rows, most), "mix-plan")  # written, so its size is known when the join below is planned
     joined = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
     inside = Window.partitionBy("plan_source").orderBy("key", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at_edge = (
-        joined.where(F.col("bucket") == F.col("edge"))
-        .withColumn("ahead", F.sum("size").over(inside) - F.col("size"))
-        .withColumn("extra", (F.col("ahead") + F.col("size") / 2.0 <= F.col("edge_words")).cast("int"))
-        .drop("ahead")
-    )
+    same = joined.where(F.col("bucket") == F.col("edge")).groupBy(*joined.columns).agg(F.count("*").alias("n"))
+    ahead = F.sum(F.col("size") * F.col("n")).over(inside) - F.col("size") * F.col("n")
+    room = F.col("edge_words") - F.col("ahead")
+    fits = F.when(F.col("size") == 0, F.when(room >= 0, F.col("n")).otherwise(0)).otherwise(F.floor(room / F.col("size") - 0.5) + 1)
+    same = same.withColumn("ahead", ahead).withColumn("fit", F.least("n", F.greatest(F.lit(0), fits)).cast("long"))
+    # Of n equal rows the first that fit are taken once more; which of them these are makes no difference.
+    parts = F.inline(F.array(F.struct(F.lit(1).alias("extra"), F.col("fit").alias("count")), F.struct(F.lit(0).alias("extra"), (F.col("n") - F.col("fit")).alias("count"))))
+    runs = same.select(*joined.columns, parts).where("count > 0")
+    runs = runs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / RUN))).alias("run")).repartition("doc_id", "mark", "run")
+    at_edge = runs.select(*joined.columns, "extra", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(RUN), F.col("count") - F.col("run") * RUN)))).drop("col")
     # Without an edge the rest is zero, and nothing beyond the complete epochs is taken.
     whole = joined.where(~F.col("bucket").eqNullSafe(F.col("edge"))).withColumn(
         "extra", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)).cast("int")
