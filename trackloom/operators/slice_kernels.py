@@ -1,147 +1,106 @@
-"""Maximum mean discrepancy on every quantile slice from one pass over the pairs of rows.
+"""Maximum mean discrepancy on every quantile slice from one pass over the rows.
 
-A kernel sum over the rows of a slice is a sum over pairs of elementary buckets: the bounds of a (scope, feature) cut its
-axis into buckets, and a slice is a run of them. So each pair of rows is compared once, its kernel values are added to one
-matrix (bucket by bucket) for each scope and feature, and prefix sums over that matrix give every slice, however many there
-are. Comparing rows slice by slice would repeat a pair in every slice that holds both.
+A kernel sum over all pairs of two sets of points is the scalar product of two summed vectors (see ``kernel_sums``), and the
+vector of a slice is the sum of those of its elementary buckets: the bounds of a (scope, feature) cut its axis into buckets,
+and a slice is a run of them. So each row is added once for every scope and feature, however many slices hold it, and no
+pair of rows is compared.
 
-Equal rows are one point with a count. Points are dealt into blocks of about ``BLOCK``, a tile is a pair of blocks, and a
-task adds up its tiles before anything is shuffled. Pairs grow with the square of the rows, which "exact" means.
+Equal rows are one point with a count. A bucket is dealt into parts of about ``BLOCK`` points, which are summed in tasks of
+their own; a slice reads the vectors of its buckets, whose number and length don't grow with the rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from trackloom import constants as K
 from trackloom.operators import slices
+from trackloom.operators.kernel_sums import Levels
 from trackloom.session import materialize
 
-BLOCK = 1024
-SUMS = "scope string, feature int, model int, low int, high int, n double, xx double, yy double, xy double"
+BLOCK = 1 << 16
+COUNT, TRUTH = -1, 0  # besides the models, which are numbered from 1
+SUMS = "scope string, feature string, code int, cloud int, level int, i long, j long, v array<double>"
 MMD = "scope string, feature string, q_lo double, q_hi double, model string, samples long, mmd2 double"
 
 
-def _scope_edges(bounds: DataFrame) -> DataFrame:
-    """One row a scope: the bucket edges of each feature."""
-    return bounds.groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct("feature", "edges"))).alias("_edges"))
-
-
-def _codes(features: list[str], edges: Column) -> Column:
-    """The bucket of the row in each feature; -1 without a value or without slices of the feature."""
-    one = lambda f: F.coalesce(slices._code(F.col(f), edges[f]), F.lit(-1)).cast("double")
-    return F.array(*[F.when(F.col(f).isNull() | edges[f].isNull(), F.lit(-1.0)).otherwise(one(f)) for f in features])
-
-
-def blocks_of(wide: DataFrame, models: list[str], features: list[str], bounds: DataFrame) -> DataFrame:
-    """block, n_blocks, dataset and flat points: weight, truth, predictions, buckets over all rows, buckets in the dataset."""
-    scopes = _scope_edges(bounds)
-    rows = wide.crossJoin(scopes.where("scope = 'all'").select(F.col("_edges").alias("_all")))  # one row
-    rows = rows.join(scopes.select(F.col("scope").alias("dataset"), F.col("_edges").alias("_own")), "dataset", "left")
-    values = [F.col(f"a{a}_{m}").cast("double") for m in ("true", *models) for a in "xy"]
-    none = F.array(*[F.lit(-1.0)] * len(features))
-    own = F.when(F.col("_own").isNull(), none).otherwise(_codes(features, F.col("_own")))
-    points = rows.select("dataset", F.concat(F.array(*values), _codes(features, F.col("_all")), own).alias("_p"))
-    points = points.groupBy("dataset", "_p").agg(F.count(F.lit(1)).cast("double").alias("_w"))
-    sizes = points.groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("_parts"))
-    # One row a dataset: numbers the blocks of all datasets through.
-    before = W.partitionBy(F.lit(0)).orderBy("dataset")
-    sizes = sizes.withColumns({
-        "_first": F.sum("_parts").over(before) - F.col("_parts"), "n_blocks": F.sum("_parts").over(W.partitionBy(F.lit(0)))})
-    dealt = points.join(sizes, "dataset").withColumn("block", F.col("_first") + F.pmod(F.xxhash64("_p", "_w"), "_parts"))
-    return dealt.groupBy("block", "n_blocks", "dataset").agg(F.flatten(F.collect_list(F.concat(F.array("_w"), "_p"))).alias("points"))
-
-
-def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d2 = (a[:, :1] - b[:, 0]) ** 2 + (a[:, 1:] - b[:, 1]) ** 2
-    return sum(np.exp(-d2 / (2 * w * w)) for w in K.KERNEL_BANDWIDTHS) / len(K.KERNEL_BANDWIDTHS)
-
-
-def _spread(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets that occur, and the weight of each row in the column of its bucket."""
-    seen, at = np.unique(codes, return_inverse=True)
-    out = np.zeros((len(codes), len(seen)))
-    out[np.arange(len(codes)), at] = weights
-    return seen[seen >= 0].astype(int), out[:, seen >= 0]
-
-
-def tile_sums(tiles: DataFrame, n_models: int, n_features: int) -> DataFrame:
-    """Kernel sums of pairs of buckets, added up over the tiles of a task."""
-    width = 3 + 2 * n_models + 2 * n_features
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, int, int, int, int], np.ndarray] = {}
-
-        def add(scope: str, feature: int, model: int, low: np.ndarray, high: np.ndarray, column: int, values: np.ndarray) -> None:
-            for i, u in enumerate(low.tolist()):
-                for j, v in enumerate(high.tolist()):
-                    sums.setdefault((scope, feature, model, u, v), np.zeros(4))[column] += values[i, j]
-
-        for batch in batches:
-            for k in range(batch.num_rows):
-                a, b = (np.asarray(batch.column(c)[k].values).reshape(-1, width) for c in ("points", "others"))
-                same, dataset = batch.column("same")[k].as_py(), batch.column("dataset")[k].as_py()
-                inside = dataset is not None and dataset == batch.column("other_dataset")[k].as_py()
-                true_a, true_b = a[:, 1:3], b[:, 1:3]
-                times = 1 if same else 2
-                kernels = [(-1, 2, times * _kernel(true_a, true_b))]
-                for m in range(n_models):
-                    pred_a, pred_b = a[:, 3 + 2 * m : 5 + 2 * m], b[:, 3 + 2 * m : 5 + 2 * m]
-                    across = _kernel(pred_a, true_b) if same else _kernel(pred_a, true_b) + _kernel(true_a, pred_b)
-                    kernels += [(m, 1, times * _kernel(pred_a, pred_b)), (m, 3, across)]
-                first = 3 + 2 * n_models
-                for scope, start in [("all", first)] + ([(dataset, first + n_features)] if inside else []):
-                    left = [_spread(a[:, start + f], a[:, 0]) for f in range(n_features)]
-                    right = [_spread(b[:, start + f], b[:, 0]) for f in range(n_features)]
-                    if same:
-                        for f, (seen, weights) in enumerate(left):
-                            for u, n in zip(seen.tolist(), weights.sum(axis=0)):
-                                sums.setdefault((scope, f, -1, u, u), np.zeros(4))[0] += n
-                    every = np.concatenate([w for _, w in right], axis=1)
-                    cuts = np.cumsum([w.shape[1] for _, w in right])[:-1]
-                    for model, column, kernel in kernels:
-                        for f, part in enumerate(np.split(kernel @ every, cuts, axis=1)):
-                            add(scope, f, model, left[f][0], right[f][0], column, left[f][1].T @ part)
-        if sums:
-            names = [list(c) for c in zip(*sums)]
-            values = np.array(list(sums.values()))
-            kinds = [pa.string(), *[pa.int32()] * 4]
-            columns = [pa.array(c, t) for c, t in zip(names, kinds)] + [pa.array(values[:, i]) for i in range(4)]
-            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SUMS.split(", ")])
-
-    found = tiles.mapInArrow(compute, SUMS)
-    return found.groupBy("scope", "feature", "model", "low", "high").agg(*[F.sum(c).alias(c) for c in ("n", "xx", "yy", "xy")])
-
-
-def _of_slices(models: list[str]):
-    """Prefix sums over the matrices of one scope and feature, read off at the bounds of each slice."""
+def _value_columns(models: list[str]) -> list[tuple[str, str]]:
+    return [(f"ax_{m}", f"ay_{m}") for m in ("true", *models)]
+
+
+def points_of(wide: DataFrame, models: list[str], features: list[str]) -> DataFrame:
+    """dataset, features, truth and predictions of the different rows, with their counts (``_w``) and a hash (``_h``)."""
+    values = [c for pair in _value_columns(models) for c in pair]
+    rows = wide.select("dataset", *features, *[F.col(c).cast("double").alias(c) for c in values])
+    points = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    return points.withColumn("_h", F.xxhash64(*rows.columns))
+
+
+def bucket_sums(points: DataFrame, models: list[str], features: list[str], bounds: DataFrame, levels: Levels) -> DataFrame:
+    """The summed vectors of truth and predictions, and the number of rows, of every part of every bucket."""
+    clouds = _value_columns(models)
+    names = [c.split()[0] for c in SUMS.split(", ")]
+    rows = slices._bucket_rows(points, features, bounds, [*[c for pair in clouds for c in pair], "_w", "_h"])
+    key = ["scope", "feature", "code"]
+    parts = rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_parts"))
+    dealt = rows.join(parts, key).withColumn("_part", F.pmod("_h", "_parts")).drop("_h", "_parts")
+
+    def compute(at: tuple, table: pa.Table) -> pa.Table:
+        column = lambda c: table.column(c).to_numpy().astype(float)
+        weight = column("_w")
+        out = [(COUNT, 0, 0, 0, np.array([weight.sum()]))]
+        for cloud, (x, y) in enumerate(clouds):
+            out += [(cloud, *found) for found in levels.sums(column(x), column(y), weight)]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
+        of_key = [pa.array([at[k].as_py()] * len(out), t) for k, t in enumerate((pa.string(), pa.string(), pa.int32()))]
+        return pa.Table.from_arrays([*of_key, *[pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)]], names)
+
+    return dealt.groupBy(*key, "_part").applyInArrow(compute, SUMS)
+
+
+def _not_finite(points: DataFrame, models: list[str]) -> DataFrame:
+    """scope and, for truth and models, whether a value in it is null or not finite: then there is no discrepancy to give."""
+    finite = lambda c: F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False))
+    bad = F.array(*[F.max(~(finite(x) & finite(y))) for x, y in _value_columns(models)])
+    return points.groupBy("dataset").agg(bad.alias("bad")).withColumnRenamed("dataset", "scope").union(
+        points.select(F.lit("all").alias("scope"), "*").groupBy("scope").agg(bad.alias("bad")))
+
+
+def _of_slices(models: list[str], levels: Levels):
+    """Sums the buckets of each slice of one scope and feature and multiplies the vectors."""
 
     def read(sums: pd.DataFrame, bounds: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(sums) and len(bounds):
-            size = int(max(sums["low"].max(), sums["high"].max())) + 1
-
-            def prefix(model: int, column: str) -> np.ndarray:
-                part, matrix = sums[sums["model"] == model], np.zeros((size + 1, size + 1))
-                np.add.at(matrix, (part["low"].to_numpy() + 1, part["high"].to_numpy() + 1), part[column].to_numpy())
-                return matrix.cumsum(axis=0).cumsum(axis=1)
-
-            count, truth = prefix(-1, "n"), prefix(-1, "yy")
-            own = [(prefix(m, "xx"), prefix(m, "xy")) for m in range(len(models))]
-            for row in bounds.itertuples():
-                lo, hi = min(row.code_lo, size), min(row.code_hi + 1, size)
-                square = lambda p: p[hi, hi] - p[lo, hi] - p[hi, lo] + p[lo, lo]  # noqa: B023, E731
-                n, yy = square(count), square(truth)
-                for name, (same, across) in zip(models, own):
-                    xx, xy = square(same), square(across)
+            lo, hi = (bounds[c].to_numpy()[:, None] for c in ("code_lo", "code_hi"))
+            vectors: dict[tuple[int, int, int, int], np.ndarray] = {}
+            for (cloud, level, i, j), part in sums.groupby(["cloud", "level", "i", "j"]):
+                code = part["code"].to_numpy()[None, :]
+                vectors[cloud, level, i, j] = ((code >= lo) & (code <= hi)).astype(float) @ np.stack(part["v"].to_list())
+            count = vectors.pop((COUNT, 0, 0, 0))[:, 0]
+            none = np.zeros(len(bounds))
+
+            def product(one: int, other: int) -> np.ndarray:
+                total = none.copy()
+                for (cloud, level, i, j), vector in vectors.items():
+                    for step_i, step_j in levels.neighbours(level) if cloud == one else ():
+                        met = vectors.get((other, level, i + step_i, j + step_j))
+                        total += none if met is None else (vector * met).sum(axis=1)
+                return total / len(K.KERNEL_BANDWIDTHS)
+
+            truth = product(TRUTH, TRUTH)
+            own = [(product(m, m), product(m, TRUTH)) for m in range(1, len(models) + 1)]
+            for at, row in enumerate(bounds.itertuples()):
+                n, yy = count[at], truth[at]
+                for m, (name, (same, across)) in enumerate(zip(models, own), 1):
+                    xx, xy = same[at], across[at]
                     u = (xx - n) / (n * (n - 1)) + (yy - n) / (n * (n - 1)) - 2 * xy / (n * n) if n >= 2 else 0.0
                     value = (xx + yy - 2 * xy) / (n * n) if u < -1e-12 else u
-                    out.append((row.scope, row.feature, row.q_lo, row.q_hi, name, round(n), max(value, 0.0)))
+                    value = float("nan") if row.bad[TRUTH] or row.bad[m] else max(value, 0.0)
+                    out.append((row.scope, row.feature, row.q_lo, row.q_hi, name, round(n), value))
         return pd.DataFrame(out, columns=[c.split()[0] for c in MMD.split(", ")])
 
     return read
@@ -153,17 +112,15 @@ def slice_mmd(wide: DataFrame, models: list[str], features: list[str], ranges: l
     The statistic is that of ``distribution.mmd2_exact`` on the rows of the slice.
     """
     bounds = materialize(slices._bounds(wide, features, ranges, min_population), "slice-bounds")
-    blocks = blocks_of(wide, models, features, bounds)
-    left = blocks.withColumn("_other", F.explode(F.sequence("block", F.col("n_blocks") - 1)))
-    right = blocks.select(F.col("block").alias("_other"), F.col("dataset").alias("other_dataset"), F.col("points").alias("others"))
-    tiles = left.join(right, "_other").select("dataset", "other_dataset", "points", "others", (F.col("block") == F.col("_other")).alias("same"))
-    sums = tile_sums(tiles, len(models), len(features))
-    named = sums.withColumn("feature", F.element_at(F.array(*map(F.lit, features)), F.col("feature") + 1))
+    points = materialize(points_of(wide, models, features), "slice-points")
+    xs, ys = ([pair[k] for pair in _value_columns(models)] for k in (0, 1))
+    levels = Levels.over(points, xs, ys)
+    sums = bucket_sums(points, models, features, bounds, levels)
     spans = bounds.select("scope", "feature", "edges", F.explode("ranges").alias("_r")).select(
         "scope", "feature", "_r.q_lo", "_r.q_hi",
         slices._code(F.col("_r.value_lo"), F.col("edges")).alias("code_lo"), slices._code(F.col("_r.value_hi"), F.col("edges")).alias("code_hi"))
-    # A group holds at most (buckets squared) rows a model, whatever the size of the data.
-    read = named.groupBy("scope", "feature").cogroup(spans.groupBy("scope", "feature")).applyInPandas(_of_slices(models), MMD)
+    spans = spans.join(_not_finite(points, models), "scope")
+    read = sums.groupBy("scope", "feature").cogroup(spans.groupBy("scope", "feature")).applyInPandas(_of_slices(models, levels), MMD)
     return read.withColumn("mmd", F.sqrt("mmd2"))
 
 
