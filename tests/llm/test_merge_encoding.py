@@ -77,3 +77,27 @@ def test_query(spark):
 def test_other_models():
     with pytest.raises(Exception):
         merges.load(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_remembered_words_cost_one_lookup(monkeypatch):
+    """The second time a text's words are joined without a call for each of them; a new one is encoded alone."""
+    text = "the  remembered words " * 50
+    ids = MODEL.encode(text)
+    assert list(PIECES.encode(text)) == ids
+    asked = []
+    remembered = merges.Pieces._ids_of
+    monkeypatch.setattr(merges.Pieces, "_ids_of", lambda self, word: asked.append(word) or remembered(self, word))
+    assert list(PIECES.encode(text)) == ids and not asked
+    assert list(PIECES.encode(text + "qzxjv")) == MODEL.encode(text + "qzxjv") and asked == ["▁qzxjv"]
+
+
+def test_longest_piece_comes_first():
+    """What backtracking starts from at each place is the longest piece there."""
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice(["ing", "the", "er", "a", "on", "s", "tion", merges.BLANK]) for _ in range(8))
+        first = {}
+        for last, i in PIECES._automaton.iter(text[::-1]):
+            first.setdefault(last, i)
+        for last, i in PIECES._automaton.iter(text[::-1]):
+            assert len(PIECES.names[i]) <= len(PIECES.names[first[last]])

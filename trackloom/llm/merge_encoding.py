@@ -49,7 +49,7 @@ class Pieces:
     silent: frozenset[int]  # control ids
     unknown: int
     yielded: frozenset[int] | None = None  # ids that merging yields; None: not looked for yet
-    _words: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
+    _words: dict[str, bytes] = field(default_factory=dict, repr=False)  # ids as an array's bytes
     _fits: dict[tuple[int, int], bool] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
@@ -172,15 +172,11 @@ class Pieces:
 
     def _backtrack(self, text: str) -> list[int]:
         """text: characters that occur in pieces."""
-        size, sizes, shorter = len(text), self._sizes, self._shorter
-        longest = [-1] * size
-        for last, i in self._automaton.iter(text[::-1]):
-            at = size - 1 - last
-            if longest[at] < 0 or sizes[i] > sizes[longest[at]]:
-                longest[at] = i
-        longest.append(-1)
+        size, sizes, shorter, known = len(text), self._sizes, self._shorter, self._fits.get
+        # The automaton reports the longest piece of a place first; put in the other way round, that one stays.
+        longest = dict(list(self._automaton.iter(text[::-1]))[::-1]).get
         failed = bytearray((size >> 3) + 1)
-        found, at, before, piece = [], 0, -1, longest[0]
+        found, at, before, piece = [], 0, -1, longest(size - 1, -1)
         while at < size:
             if piece < 0:  # nothing fits here: take back the piece before, and try a shorter one in its place
                 if not found:
@@ -191,14 +187,19 @@ class Pieces:
                 before = found[-1] if found else -1
                 continue
             end = at + sizes[piece]
-            if not failed[end >> 3] >> (end & 7) & 1 and (before < 0 or self.fits(before, piece)):
+            fits = False
+            if not failed[end >> 3] >> (end & 7) & 1:
+                fits = before < 0 or known((before, piece))
+                if fits is None:
+                    fits = self.fits(before, piece)
+            if fits:
                 found.append(piece)
-                at, before, piece = end, piece, longest[end]
+                at, before, piece = end, piece, longest(size - 1 - end, -1)
             else:
                 piece = shorter[piece]
         return found
 
-    def _encode_word(self, word: str) -> tuple[int, ...]:
+    def _encode_word(self, word: str) -> array:
         found = array("i")
         for run in self._known.findall(word):
             if len(run) == 1:
@@ -211,23 +212,31 @@ class Pieces:
                     found.append(self.unknown)
             else:
                 found.extend(self._backtrack(run))
-        return tuple(found)
+        return found
+
+    def _ids_of(self, word: str) -> bytes:
+        """The ids of a word as bytes, remembered if it is short."""
+        words = self._words
+        ids = words.get(word)
+        if ids is None:
+            ids = self._encode_word(word).tobytes()
+            if len(word) <= SHORT:
+                if len(words) >= KEPT_WORDS:
+                    words.clear()
+                words[word] = ids
+        return ids
 
     def encode_parts(self, text: str | None) -> Iterator[array]:
         """The ids of a text, part by part."""
-        first, words = True, self._words
+        first = True
         for part in text_parts(text or "", PART if self.words_apart else None):
             part = part.replace(" ", BLANK)
+            words = self._word.findall(BLANK + part if first else part)
+            found = list(map(self._words.get, words))
+            if None in found:
+                found = [self._ids_of(word) if ids is None else ids for word, ids in zip(words, found)]
             out = array("i")
-            for word in self._word.findall(BLANK + part if first else part):
-                ids = words.get(word)
-                if ids is None:
-                    ids = self._encode_word(word)
-                    if len(word) <= SHORT:
-                        if len(words) >= KEPT_WORDS:
-                            words.clear()
-                        words[word] = ids
-                out.extend(ids)
+            out.frombytes(b"".join(found))
             first = False
             yield out
 
