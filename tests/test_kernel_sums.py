@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom import constants as K
-from trackloom.operators import distribution, kernel_sums
+from trackloom.operators import distribution, kernel_sums, slice_kernels
 
 SCHEMA = "model string, ax_pred double, ay_pred double, ax_true double, ay_true double"
 
@@ -47,3 +47,17 @@ def test_vectors_grow_with_the_range_in_bandwidths_only():
     values = np.array([0.0, 5.0, 1e9])
     assert near.side is None and far.side == kernel_sums.REACH and far.vectors(values).shape[1] < 80
     assert far.boxes(values).tolist() == [0, 0, int(1e9 // kernel_sums.REACH)]
+
+
+def test_slices_keep_one_vector_a_bucket(spark):
+    """What the slices are read from does not grow with the rows."""
+    rng, sizes = np.random.default_rng(3), []
+    bounds = spark.createDataFrame([("all", "f", [0.0, 0.5, 1.0])], "scope string, feature string, edges array<double>")
+    levels = kernel_sums.Levels(tuple((kernel_sums.Axis.over(-5.0, 5.0, w),) * 2 for w in K.KERNEL_BANDWIDTHS))
+    for n in (50, 400):
+        rows = [("a", float(f), *map(float, v)) for f, v in zip(rng.uniform(0.1, 0.9, n), rng.uniform(-5, 5, (n, 4)))]
+        wide = spark.createDataFrame(rows, "dataset string, f double, ax_true double, ay_true double, ax_m double, ay_m double")
+        sums = slice_kernels.bucket_sums(slice_kernels.points_of(wide, ["m"], ["f"]), ["m"], ["f"], bounds, levels).collect()
+        assert sum(r["v"][0] for r in sums if r["cloud"] == slice_kernels.COUNT) == n
+        sizes.append(len(sums))
+    assert sizes[0] == sizes[1] == 2 * (1 + 2 * len(K.KERNEL_BANDWIDTHS))
