@@ -1,11 +1,12 @@
-"""Near copies by the similarity of word shingles: min-hash bands as candidates, exact Jaccard as the rule.
+"""Near copies by the similarity of word shingles: near fingerprints and min-hash bands as candidates, exact Jaccard as the rule.
 
 Two documents are linked if the sets of their five-word shingles have a Jaccard similarity of ``SIMILARITY`` or more; one
 document of each component of links stays. Candidates share one of ``BANDS`` keys of ``ROWS`` min-hashes; a pair at
 similarity 0.8 shares none with a chance of about 3 in a million. No pair that shares a key is left out, unless other
 links connect it already:
 
-* First a few bands are used and every document is compared with two members of its bucket. That connects most copies.
+* First the bit-sliced comparison of ``simhash`` links near fingerprints, and of a few bands every document is compared with
+  two members of its bucket. That connects most copies.
 * Then all bands are used. Of a bucket with up to ``SMALL`` members every pair that is not connected is compared.
 * A larger bucket is dealt into blocks (at most about ``BLOCK`` sets and ``BLOCK_HASHES`` shingles) by class of size and,
   for components that fill blocks, by component. Two blocks meet in a task of their own, unless their sizes are too
@@ -71,21 +72,23 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, node (names the set of shingles), size of the set and band keys of every row."""
+    """doc_id, mark, node (names the set of shingles), size of the set, band keys and fingerprint (``simhash``) of every row."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, bounds = text_bytes(b.column("text"))
             node, size, keys = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, BANDS), np.uint64)
+            fp = np.zeros(b.num_rows, np.uint64)
             for i, (s, e) in enumerate(zip(bounds[:-1], bounds[1:])):
-                hashes = shingles(data[s:e].tobytes())
+                text = data[s:e].tobytes()
+                hashes, fp[i] = shingles(text), simhash.fingerprint(text)
                 node[i], size[i] = xxhash.xxh64_intdigest(hashes.tobytes(), SEED), len(hashes)
                 keys[i] = band_keys(hashes)
             of_bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(node.view(np.int64)), pa.array(size), of_bands], ["doc_id", "mark", "node", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(node.view(np.int64)), pa.array(size), of_bands, pa.array(fp.view(np.int64))], ["doc_id", "mark", "node", "size", "keys", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark(F.col("text")).alias("mark"), "text")
-    return rows.mapInArrow(compute, "doc_id long, mark long, node long, size long, keys array<long>")
+    return rows.mapInArrow(compute, "doc_id long, mark long, node long, size long, keys array<long>, fp long")
 
 
 def _in_bands(nodes: DataFrame, bands: int) -> DataFrame:
@@ -114,6 +117,17 @@ def first_candidates(nodes: DataFrame, bands: int = FIRST_BANDS) -> DataFrame:
     return _ordered_pairs(met.select(one.alias("x"), F.explode("ends").alias("y")))
 
 
+def print_candidates(nodes: DataFrame) -> DataFrame:
+    """nodes: node, size, fp and root. Pairs a < b that connect what ``simhash`` links by two bits or fewer: every node with
+    the first one of its fingerprint, and the first ones along the links between fingerprints."""
+    rows, one = nodes.where("size > 0"), F.struct("node", "size", "root")
+    firsts = materialize(rows.groupBy("fp").agg(F.min(one).alias("x")), "prints")
+    alike = rows.select("fp", one.alias("y")).join(firsts, "fp").select("x", "y")
+    links = simhash.link_edges(simhash.grouped(firsts.select("fp")))
+    end = lambda name, as_: firsts.select(F.col("fp").alias(name), F.col("x").alias(as_))
+    return _ordered_pairs(alike.unionByName(links.join(end("a", "x"), "a").join(end("b", "y"), "b").select("x", "y")))
+
+
 def open_buckets(nodes: DataFrame) -> DataFrame:
     """band, key, n (members), node, size and root of the buckets that hold more than one component."""
     rows = _in_bands(nodes, BANDS)
@@ -253,14 +267,15 @@ def block_links(dealt: DataFrame, met: DataFrame, sets: DataFrame) -> DataFrame:
 def members(docs: DataFrame) -> DataFrame:
     """doc_id, mark and group (a node that names the component) of every row of ``docs``."""
     rows = materialize(signatures(docs), "shingle-signatures")
-    nodes = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "size", "keys")).alias("first"))
-    nodes = materialize(nodes.select("node", "first.doc_id", "first.mark", "first.size", "first.keys"), "shingle-nodes")
+    nodes = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "size", "keys", "fp")).alias("first"))
+    nodes = materialize(nodes.select("node", "first.doc_id", "first.mark", "first.size", "first.keys", "first.fp"), "shingle-nodes")
 
     def sets_of(compared: DataFrame) -> DataFrame:
         return materialize(shingle_sets(docs, nodes.join(compared.distinct(), "node", "left_semi").select("doc_id", "mark", "node")), "shingle-sets")
 
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-    pairs = materialize(first_candidates(nodes.withColumn("root", F.col("node"))), "candidates")
+    apart = nodes.withColumn("root", F.col("node"))
+    pairs = materialize(print_candidates(apart).union(first_candidates(apart)).distinct(), "candidates")
     early = materialize(similar(pairs, sets_of(ends(pairs))), "links")
     rooted = nodes.join(components(early).toDF("of", "root"), F.col("node") == F.col("of"), "left").drop("of")
     opened = materialize(open_buckets(rooted.withColumn("root", F.coalesce("root", "node"))), "open-buckets")
