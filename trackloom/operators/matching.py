@@ -152,8 +152,7 @@ def compress_runs(ids: Column, min_run: int = 3) -> Column:
 def lane_change_matches(lines: DataFrame, variants: DataFrame, first: int = 16) -> DataFrame:
     """Tracks that start on one route and then follow neighbouring ones of the same direction."""
     pairs = lines.join(variants.select(*SCENE, "path_id", "invert", "line"), SCENE)
-    # Written, because filters pushed below the fit would compute it once for each of their conditions.
-    pairs = materialize(pathfit.lane_fit(pairs, first).drop("track", "line"), "lane-fit")
+    pairs = materialize(pathfit.lane_fit(pairs, first), "lane-fit")
     t = [thresholds(F.col("unit"), F.col("dataset"), i) for i in range(3)]
     starts = pairs.where(
         (F.col("first_mean") <= t[1]) & (F.col("first_p90") <= t[2])

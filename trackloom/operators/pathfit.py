@@ -1,52 +1,26 @@
 """How well a sampled track follows a directed path.
 
-``pairs`` hold ``track`` and ``line``, arrays of (x, y). The full fit works on Arrow batches of pairs; the fit of lane
-changes is made of column expressions, every stage a column of its own, so that the next one reads it instead of
-computing it again.
+``pairs`` hold ``track`` and ``line``, arrays of (x, y). Both fits work on Arrow batches of pairs, many pairs at once, and
+are dealt to all tasks: a pair has few bytes and much work.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
-from trackloom.operators import geometry as G
+from trackloom.functions.lines import points_of
+from trackloom.session import spread
 
 FRECHET_STEP = 4
 FIT = ["segment_mean", "lateral_mean", "lateral_p90", "frechet", "direction", "start_dot", "end_dot", "monotonic"]
+LANE = ["first_mean", "first_p90", "first_direction", "first_monotonic", "direction", "monotonic"]
+POINT = ("lateral", "dot", "advance")
+PAIR = ("dataset", "scene_id", "track_id", "path_id", "invert")
 BLOCK_CELLS = 1 << 19  # points times vertices that are compared at once
 
 
-def _each(values: str | Column, field: str) -> Column:
-    return F.transform(values, lambda v: v[field])
-
-
-def headings(line: Column) -> Column:
-    """Unit direction at every point, from its neighbours (at the ends from the one there is)."""
-    last = F.size(line) - 1
-
-    def at(i: Column) -> Column:
-        before, after = F.get(line, F.greatest(i - 1, F.lit(0))), F.get(line, F.least(i + 1, last))
-        norm = F.greatest(G.gap(after, before), F.lit(1e-9))
-        return F.struct(((after["x"] - before["x"]) / norm).alias("x"), ((after["y"] - before["y"]) / norm).alias("y"))
-
-    return F.transform(F.sequence(F.lit(0), last), at)
-
-
-def forward_share(s: Column) -> Column:
-    """Share of steps along the path that do not go back; one for a single point."""
-    steps = F.zip_with(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), lambda b, a: (b - a >= -1e-6).cast("double"))
-    return F.when(F.size(s) > 1, G.array_mean(steps)).otherwise(1.0)
-
-
-def placed(pairs: DataFrame) -> DataFrame:
-    """Adds ``_at`` (each track point's projection) and ``_dots`` (agreement in direction there)."""
-    df = pairs.withColumn("_at", G.bind(G.line_segments(F.col("line")), lambda g: F.transform("track", lambda p: G.project_point(p, g))))
-    turn = F.zip_with(headings(F.col("track")), F.col("_at"), lambda h, q: h["x"] * q["tx"] + h["y"] * q["ty"])
-    return df.withColumn("_dots", turn)
-
-
 def scored(pairs: DataFrame) -> DataFrame:
     """Puts segment_mean, lateral_mean, lateral_p90, frechet, direction, start_dot, end_dot and monotonic in the place of
     ``track`` and ``line``.
@@ -55,8 +29,7 @@ def scored(pairs: DataFrame) -> DataFrame:
     the extremes, if those coincide); without any extent there is no segment_mean and no frechet. A track without points
     or a path of fewer than two has no value at all. Pairs are fitted together, in blocks of bounded size.
     """
-    kept = [f for f in pairs.schema.fields if f.name not in ("track", "line")]
-    names = [f.name for f in kept]
+    kept, names = _kept(pairs)
     schema = T.StructType([*kept, *[T.StructField(n, T.DoubleType()) for n in FIT]])
 
     def fitted(batches):
@@ -65,13 +38,17 @@ def scored(pairs: DataFrame) -> DataFrame:
             columns = [batch.column(n) for n in names] + [pa.array(v, pa.float64(), mask=np.isnan(v)) for v in values.T]
             yield pa.RecordBatch.from_arrays(columns, names + FIT)
 
-    return pairs.mapInArrow(fitted, schema)
+    return spread(pairs, *PAIR).mapInArrow(fitted, schema)
 
 
-def _fit_batch(tracks: pa.ListArray, lines: pa.ListArray) -> np.ndarray:
-    """One row of ``FIT`` for each pair; pairs with tracks of one size share a block, their lines padded to the longest."""
-    (nt, at, t), (nl, al, l) = _flat(tracks), _flat(lines)
-    out = np.full((len(nt), len(FIT)), np.nan)
+def _kept(pairs: DataFrame) -> tuple[list[T.StructField], list[str]]:
+    kept = [f for f in pairs.schema.fields if f.name not in ("track", "line")]
+    return kept, [f.name for f in kept]
+
+
+def _blocks(nt: np.ndarray, nl: np.ndarray):
+    """Rows that are fitted together, and the size of their tracks; tracks without points and paths of fewer than two are
+    left out."""
     for n in np.unique(nt[(nt > 0) & (nl > 1)]):
         rows = np.flatnonzero((nt == n) & (nl > 1))
         rows = rows[np.argsort(nl[rows], kind="stable")]
@@ -79,21 +56,26 @@ def _fit_batch(tracks: pa.ListArray, lines: pa.ListArray) -> np.ndarray:
             # Lines are in order of size, so the last of a block is its longest.
             fits = np.arange(1, len(rows) + 1) * nl[rows] * n <= BLOCK_CELLS
             now, rows = np.split(rows, [max(1, int(fits.sum()))])
-            own = t[at[now, None] + np.arange(n)]
-            padded = l[al[now, None] + np.minimum(np.arange(nl[now].max()), nl[now, None] - 1)]
-            out[now] = _fit(own, padded, nl[now])
+            yield now, int(n)
+
+
+def _fit_batch(tracks: pa.ListArray, lines: pa.ListArray) -> np.ndarray:
+    """One row of ``FIT`` for each pair; pairs with tracks of one size share a block, their lines padded to the longest."""
+    (nt, at, t), (nl, al, l) = points_of(tracks), points_of(lines)
+    out = np.full((len(nt), len(FIT)), np.nan)
+    for now, n in _blocks(nt, nl):
+        out[now] = _fit(*_padded(now, n, at, t, nl, al, l))
     return out
 
 
-def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    points = column.flatten()
-    xy = np.stack([points.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")], axis=1)
-    return sizes, np.cumsum(sizes) - sizes, xy
+def _padded(now: np.ndarray, n: int, at: np.ndarray, t: np.ndarray, nl: np.ndarray, al: np.ndarray, l: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    own = t[at[now, None] + np.arange(n)]
+    return own, l[al[now, None] + np.minimum(np.arange(nl[now].max()), nl[now, None] - 1)], nl[now]
 
 
-def _fit(track: np.ndarray, line: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """``track``: pairs, points, 2. ``line``: pairs, vertices, 2, of which the first ``sizes`` count."""
+def project(track: np.ndarray, line: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The nearest segment (the first of equally near ones) for every point: distance, arc length and unit direction (x, y)
+    there; and the arc length at every vertex. Shapes as in :func:`_fit`."""
     step = np.diff(line, axis=1)
     length = np.hypot(step[..., 0], step[..., 1])
     arc = np.concatenate([np.zeros((len(line), 1)), np.cumsum(length, axis=1)], axis=1)
@@ -106,13 +88,23 @@ def _fit(track: np.ndarray, line: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     near = far.argmin(-1)
     pick = lambda a: np.take_along_axis(a, near[..., None], -1)[..., 0]
     of_segment = lambda a: np.take_along_axis(a, near, -1)
-    side = np.sqrt(pick(far))
-    s = of_segment(arc) + pick(u) * of_segment(length)
     unit = step / np.maximum(length, 1e-12)[..., None]
+    s = of_segment(arc) + pick(u) * of_segment(length)
+    return np.sqrt(pick(far)), s, of_segment(unit[..., 0]), of_segment(unit[..., 1]), arc
+
+
+def headings(track: np.ndarray) -> np.ndarray:
+    """Unit direction at every point, from its neighbours (at the ends from the one there is)."""
     n = track.shape[1]
     before, after = track[:, np.maximum(np.arange(n) - 1, 0)], track[:, np.minimum(np.arange(n) + 1, n - 1)]
-    heading = (after - before) / np.maximum(np.hypot(*np.moveaxis(after - before, -1, 0)), 1e-9)[..., None]
-    dots = heading[..., 0] * of_segment(unit[..., 0]) + heading[..., 1] * of_segment(unit[..., 1])
+    return (after - before) / np.maximum(np.hypot(*np.moveaxis(after - before, -1, 0)), 1e-9)[..., None]
+
+
+def _fit(track: np.ndarray, line: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``track``: pairs, points, 2. ``line``: pairs, vertices, 2, of which the first ``sizes`` count."""
+    side, s, tx, ty, arc = project(track, line, sizes)
+    n, heading = track.shape[1], headings(track)
+    dots = heading[..., 0] * tx + heading[..., 1] * ty
     lo, hi = np.quantile(s, [0.02, 0.98], axis=1)
     flat = hi <= lo + 1e-9
     lo, hi = np.where(flat, s.min(1), lo), np.where(flat, s.max(1), hi)
@@ -147,16 +139,34 @@ def _frechet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def lane_fit(pairs: DataFrame, first: int) -> DataFrame:
-    """Adds the fit of the first points (first_mean, first_p90, first_direction, first_monotonic), of all (direction,
-    monotonic), and ``_points``: lateral, dot and advance of every point."""
-    df = placed(pairs).withColumns({"_s": _each("_at", "s"), "_side": _each("_at", "lateral")})
-    head = lambda c: F.slice(c, 1, first)
-    early = F.zip_with(headings(head("track")), head("_at"), lambda h, q: h["x"] * q["tx"] + h["y"] * q["ty"])
-    rows = G.bind(F.struct(F.col("_s").alias("s"), F.col("_side").alias("side"), F.col("_dots").alias("dots")), lambda v: F.transform(
-        F.sequence(F.lit(0), F.size(v["s"]) - 1), lambda i: F.struct(
-            F.get(v["side"], i).alias("lateral"), F.get(v["dots"], i).alias("dot"),
-            (F.get(v["s"], i) - F.get(v["s"], F.greatest(i - 1, F.lit(0))) >= -1e-6).cast("double").alias("advance"))))
-    return df.withColumns({
-        "first_mean": G.array_mean(head("_side")), "first_p90": G.array_quantile(head("_side"), 0.9), "first_direction": G.array_mean(early),
-        "first_monotonic": forward_share(head("_s")), "direction": G.array_mean(F.col("_dots")), "monotonic": forward_share(F.col("_s")), "_points": rows,
-    }).drop("_at", "_dots", "_s", "_side")
+    """Puts the fit of the first points (first_mean, first_p90, first_direction, first_monotonic), of all (direction,
+    monotonic), and ``_points`` (lateral, dot and advance of every point) in the place of ``track`` and ``line``."""
+    kept, names = _kept(pairs)
+    points = T.ArrayType(T.StructType([T.StructField(n, T.DoubleType()) for n in POINT]))
+    schema = T.StructType([*kept, *[T.StructField(n, T.DoubleType()) for n in LANE], T.StructField("_points", points)])
+
+    def fitted(batches):
+        for batch in batches:
+            values, each, ends = _lane_batch(batch.column("track"), batch.column("line"), first)
+            rows = pa.StructArray.from_arrays([pa.array(v) for v in each.T], list(POINT))
+            columns = [batch.column(n) for n in names] + [pa.array(v, pa.float64(), mask=np.isnan(v)) for v in values.T]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), rows)], [*names, *LANE, "_points"])
+
+    return spread(pairs, *PAIR).mapInArrow(fitted, schema)
+
+
+def _lane_batch(tracks: pa.ListArray, lines: pa.ListArray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row of ``LANE`` for each pair, one of ``POINT`` for each point of its track, and where those of a pair end."""
+    (nt, at, t), (nl, al, l) = points_of(tracks), points_of(lines)
+    out, each = np.full((len(nt), len(LANE)), np.nan), np.full((len(t), len(POINT)), np.nan)
+    ahead = lambda s: (np.diff(s, axis=1) >= -1e-6).mean(1) if s.shape[1] > 1 else np.ones(len(s))
+    for now, n in _blocks(nt, nl):
+        track, line, sizes = _padded(now, n, at, t, nl, al, l)
+        side, s, tx, ty, _ = project(track, line, sizes)
+        whole, early = headings(track), headings(track[:, :first])
+        dots = whole[..., 0] * tx + whole[..., 1] * ty
+        early = early[..., 0] * tx[:, :first] + early[..., 1] * ty[:, :first]
+        out[now] = np.stack([side[:, :first].mean(1), np.quantile(side[:, :first], 0.9, axis=1), early.mean(1), ahead(s[:, :first]), dots.mean(1), ahead(s)], axis=1)
+        advance = (np.diff(s, axis=1, prepend=s[:, :1]) >= -1e-6).astype(float)
+        each[at[now, None] + np.arange(n)] = np.stack([side, dots, advance], axis=-1)
+    return out, each, np.cumsum(np.append(0, nt)).astype(np.int32)

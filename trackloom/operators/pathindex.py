@@ -11,13 +11,20 @@ pass through. A scene's grid has 64 cells across the extent of its paths.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trackloom.functions.lines import points_of
 from trackloom.operators import geometry as G, pathfit
+from trackloom.session import spread
 
 SCENE = ["dataset", "scene_id"]
 TRACK = [*SCENE, "track_id"]
 CELLS = 64
+PART = 16
 PROBES = (0.0, 0.25, 0.5, 0.75, 1.0)
 SLACK = 1e-6  # relative; rounding must not lose a path whose bound is its score
 BANDS = 40  # doubling distances from one cell upwards; the last takes all beyond
@@ -42,7 +49,7 @@ def track_probes(lines: DataFrame, grids: DataFrame) -> DataFrame:
     # Only every fourth even point has part in the Frechet distance; a probe is one of them.
     step = pathfit.FRECHET_STEP
     places = F.array(*[F.floor(last * p / step).cast("int") * step for p in PROBES])
-    df = lines.select(*TRACK, "track", even.alias("_even"), places.alias("_places"))
+    df = spread(lines, *TRACK).select(*TRACK, "track", even.alias("_even"), places.alias("_places"))
     df = df.select(*TRACK, "track", "_even", "_places", F.posexplode("_places").alias("probe", "_at"))
     # Points belong to the nearest probe along the track; each to one of them, also where probes coincide.
     border = lambda k: F.floor((F.get("_places", k - 1) + F.get("_places", k) + 1) / 2).cast("int")
@@ -60,13 +67,32 @@ def track_probes(lines: DataFrame, grids: DataFrame) -> DataFrame:
 
 def cell_distances(probes: DataFrame, variants: DataFrame, grids: DataFrame) -> DataFrame:
     """For every cell that a probe lies in and every path of its scene a lower bound of the distance, and its band."""
-    cells = probes.select(*SCENE, "_cx", "_cy").distinct().join(grids, SCENE)
-    middle = F.struct((F.col("_x0") + (F.col("_cx") + 0.5) * F.col("_cell")).alias("x"), (F.col("_y0") + (F.col("_cy") + 0.5) * F.col("_cell")).alias("y"))
-    pairs = cells.withColumn("_p", middle).join(variants.where(~F.col("invert")).select(*SCENE, "path_id", "line"), SCENE)
-    gap = G.bind(G.line_segments(F.col("line")), lambda g: G.project_point(F.col("_p"), g))["lateral"]
-    pairs = pairs.withColumn("_gap", gap)
-    return pairs.select(*SCENE, "_cx", "_cy", "path_id", "_gap", F.greatest(F.lit(0.0), F.col("_gap") - F.col("_cell") * (0.5 ** 0.5)).alias("_d")).join(
-        grids.select(*SCENE, "_cell"), SCENE).withColumn("_band", band(F.col("_d"))).drop("_cell")
+    part = lambda c: F.floor(F.col(c) / PART).alias(f"{c}_part")
+    # At most PART * PART cells are one row, compared with a path as one matrix.
+    cells = probes.select(*SCENE, "_cx", "_cy").distinct().groupBy(*SCENE, part("_cx"), part("_cy")).agg(F.collect_list("_cx").alias("_cx"), F.collect_list("_cy").alias("_cy"))
+    lines_ = variants.where(~F.col("invert")).select(*SCENE, "path_id", "line")
+    pairs = spread(cells.join(grids, SCENE).join(lines_, SCENE), *SCENE, "path_id", "_cx_part", "_cy_part")
+    schema = "dataset string, scene_id string, path_id string, _cell double, _cx long, _cy long, _gap double"
+    near = pairs.select(*SCENE, "path_id", "_x0", "_y0", "_cell", "_cx", "_cy", "line").mapInArrow(_cell_gaps, schema)
+    near = near.withColumn("_d", F.greatest(F.lit(0.0), F.col("_gap") - F.col("_cell") * (0.5 ** 0.5)))
+    return near.select(*SCENE, "_cx", "_cy", "path_id", "_gap", "_d", band(F.col("_d")).alias("_band"))
+
+
+def _cell_gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distance between the middle of every cell and the path."""
+    for batch in batches:
+        sizes, first, xy = points_of(batch.column("line"))
+        (x0, y0, cell), names = (batch.column(c).to_numpy() for c in ("_x0", "_y0", "_cell")), ("dataset", "scene_id", "path_id", "_cell")
+        counts = batch.column("_cx").value_lengths().to_numpy(zero_copy_only=False)
+        cx, cy = (batch.column(c).flatten() for c in ("_cx", "_cy"))
+        gaps, ends = np.empty(len(cx)), np.cumsum(counts)
+        at_x, at_y = cx.to_numpy(), cy.to_numpy()
+        for i, z in enumerate(ends.tolist()):
+            own = slice(z - counts[i], z)
+            places = np.stack([x0[i] + (at_x[own] + 0.5) * cell[i], y0[i] + (at_y[own] + 0.5) * cell[i]], axis=1)
+            gaps[own] = pathfit.project(places[None], xy[None, first[i] : first[i] + sizes[i]], sizes[i : i + 1])[0][0]
+        row = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+        yield pa.RecordBatch.from_arrays([*(batch.column(n).take(row) for n in names), cx, cy, pa.array(gaps)], [*names, "_cx", "_cy", "_gap"])
 
 
 def band(distance: Column) -> Column:

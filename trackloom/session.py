@@ -69,6 +69,14 @@ def materialize(df, label: str = "cut"):
     return out
 
 
+def spread(df, *columns: str):
+    """Rows dealt by ``columns`` to as many tasks as ``spark.sql.shuffle.partitions`` says, for work that is dear by the row.
+
+    Without a number of its own, adaptive execution would put as many rows into one task as make up its advised bytes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def discard(df) -> None:
     """Delete a materialized table that no later plan reads."""
     path = getattr(df, "_trackloom_path", None)
