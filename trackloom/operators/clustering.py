@@ -8,8 +8,11 @@ spanning forest of the connections it saw. Pairs of points are never rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from trackloom.operators import bounded
@@ -104,50 +107,63 @@ def _block_pairs(points: DataFrame, fields: list[str], home_where: Column | None
     return left.join(right, [*SCENE, "_c0", "_c1"]).select(*SCENE, F.col("eps_a").alias("eps"), "a", "b")
 
 
-def _matrix(block) -> np.ndarray:
-    return np.stack([np.asarray(p["vector"], dtype=float) for p in block])
+def _met(batches: Iterator[pa.RecordBatch], fields: dict[str, pa.DataType], body) -> Iterator[pa.RecordBatch]:
+    """Rows of two blocks, taken one at a time from Arrow: as Python objects, those of one batch would be gigabytes.
+
+    ``body``: from two lists of ids, which points are within eps, and the fields of b, to columns named as ``fields``.
+    """
+    for batch in batches:
+        scene: list[list[str]] = [[], []]
+        out: list[list] = [[] for _ in fields]
+        for i in range(batch.num_rows):
+            sides = (batch.column(n)[i].values for n in ("a", "b"))
+            a, b = (dict(zip((f.name for f in v.type), v.flatten())) for v in sides)
+            matrix = lambda v: v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+            near = _distances(matrix(a["vector"]), matrix(b["vector"])) <= batch.column("eps")[i].as_py() + 1e-12
+            columns = body(a["id"].to_pylist(), b["id"].to_pylist(), near, *([b["component"]] if "component" in b else []))
+            for kept, new in zip(out, columns):
+                kept.extend(new)
+            for kept, name in zip(scene, SCENE):
+                kept.extend([batch.column(name)[i].as_py()] * len(columns[0]))
+        yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.string()) for v in scene), *(pa.array(v, t) for v, t in zip(out, fields.values()))], [*SCENE, *fields])
 
 
 def _degrees(batches):
-    for pdf in batches:
-        for ds, sc, eps, a, b in zip(pdf["dataset"], pdf["scene_id"], pdf["eps"], pdf["a"], pdf["b"]):
-            near = (_distances(_matrix(a), _matrix(b)) <= eps + 1e-12).sum(axis=1)
-            yield pd.DataFrame({"dataset": ds, "scene_id": sc, "id": [p["id"] for p in a], "near": near.astype("int64")})
+    return _met(batches, {"id": pa.string(), "near": pa.int64()}, lambda a, b, near: (a, near.sum(axis=1).tolist()))
 
 
 def _forest(batches):
     """Edges of a spanning forest over the connections between two blocks."""
-    for pdf in batches:
-        for ds, sc, eps, a, b in zip(pdf["dataset"], pdf["scene_id"], pdf["eps"], pdf["a"], pdf["b"]):
-            near = _distances(_matrix(a), _matrix(b)) <= eps + 1e-12
-            ids_a, ids_b = [p["id"] for p in a], [p["id"] for p in b]
-            parent: dict[str, str] = {}
-
-            def root(x: str) -> str:
-                while parent.setdefault(x, x) != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            edges = []
-            for i, j in zip(*np.nonzero(near)):
-                p, q = root(ids_a[i]), root(ids_b[j])
-                if p != q:
-                    parent[p] = q
-                    edges.append((ids_a[i], ids_b[j]))
-            if edges:
-                yield pd.DataFrame({"dataset": ds, "scene_id": sc, "u": [e[0] for e in edges], "v": [e[1] for e in edges]})
+
+    def edges(ids_a, ids_b, near):
+        parent: dict[str, str] = {}
+
+        def root(x: str) -> str:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        found = []
+        for i, j in zip(*(k.tolist() for k in np.nonzero(near))):
+            p, q = root(ids_a[i]), root(ids_b[j])
+            if p != q:
+                parent[p] = q
+                found.append((ids_a[i], ids_b[j]))
+        return [u for u, _ in found], [v for _, v in found]
+
+    return _met(batches, {"u": pa.string(), "v": pa.string()}, edges)
 
 
 def _borders(batches):
     """Lowest cluster label among the core points near each non-core point."""
-    for pdf in batches:
-        for ds, sc, eps, a, b in zip(pdf["dataset"], pdf["scene_id"], pdf["eps"], pdf["a"], pdf["b"]):
-            near = _distances(_matrix(a), _matrix(b)) <= eps + 1e-12
-            labels = np.array([p["component"] for p in b], dtype=object)
-            rows = [(p["id"], min(labels[m])) for p, m in zip(a, near) if m.any()]
-            if rows:
-                yield pd.DataFrame({"dataset": ds, "scene_id": sc, "id": [x[0] for x in rows], "component": [x[1] for x in rows]})
+
+    def lowest(ids_a, ids_b, near, component):
+        labels = np.array(component.to_pylist(), dtype=object)
+        rows = [(x, min(labels[m])) for x, m in zip(ids_a, near) if m.any()]
+        return [x for x, _ in rows], [c for _, c in rows]
+
+    return _met(batches, {"id": pa.string(), "component": pa.string()}, lowest)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -181,14 +197,14 @@ def dbscan(points: DataFrame, eps: DataFrame, min_samples: int = 5, pivots: int
     components of core points; a border point joins the lowest-numbered cluster in reach.
     """
     points = materialize(_placed(points.select(*SCENE, "id", "vector").join(eps, SCENE), pivots), "points")
-    near = _block_pairs(points, []).mapInPandas(_degrees, "dataset string, scene_id string, id string, near bigint")
+    near = _block_pairs(points, []).mapInArrow(_degrees, "dataset string, scene_id string, id string, near bigint")
     degree = near.groupBy(*SCENE, "id").agg(F.sum("near").alias("degree"))
     points = materialize(points.join(degree.withColumn("core", F.col("degree") >= min_samples).drop("degree"), [*SCENE, "id"]), "points")
-    forest = _block_pairs(points, [], F.col("core"), F.col("core")).mapInPandas(
+    forest = _block_pairs(points, [], F.col("core"), F.col("core")).mapInArrow(
         _forest, "dataset string, scene_id string, u string, v string")
     core = components(points.where("core"), forest)
     labelled = points.join(core, [*SCENE, "id"], "left")
-    border = _block_pairs(labelled, ["component"], ~F.col("core"), F.col("core")).mapInPandas(
+    border = _block_pairs(labelled, ["component"], ~F.col("core"), F.col("core")).mapInArrow(
         _borders, "dataset string, scene_id string, id string, component string")
     border = border.groupBy(*SCENE, "id").agg(F.min("component").alias("component"))
     # One row per cluster: few per scene.

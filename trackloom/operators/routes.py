@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+
+from trackloom.functions.lines import points_of
 from trackloom.operators import bounded, clustering, geometry as G
 from trackloom.session import discard, materialize
 
@@ -90,6 +95,24 @@ def overlap_candidates(lines: DataFrame) -> DataFrame:
     return met.select(*CLUSTER, "earlier_id").distinct()
 
 
+def _with_gaps(pairs: DataFrame) -> DataFrame:
+    """Puts mean and 90th percentile of the distances from the points of ``a__p100`` to the nearest of ``b__p200`` in their place."""
+    kept = [f for f in pairs.schema.fields if f.name not in ("a__p100", "b__p200")]
+    figures = ["mean_nearest", "p90_nearest"]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (na, at_a, a), (nb, at_b, b) = points_of(batch.column("a__p100")), points_of(batch.column("b__p200"))
+            out = np.empty((batch.num_rows, 2))
+            for i in range(batch.num_rows):
+                p, q = a[at_a[i] : at_a[i] + na[i]], b[at_b[i] : at_b[i] + nb[i]]
+                d = np.hypot(p[:, None, 0] - q[None, :, 0], p[:, None, 1] - q[None, :, 1]).min(axis=1)
+                out[i] = d.mean(), np.quantile(d, 0.9)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(v) for v in out.T)], [*(f.name for f in kept), *figures])
+
+    return pairs.mapInArrow(measure, T.StructType([*kept, *[T.StructField(n, T.DoubleType()) for n in figures]]))
+
+
 def overlaps(cands: DataFrame, scenes: DataFrame) -> DataFrame:
     """Pairs (candidate, earlier candidate) of a scene that run along the same way, with the statistics.
 
@@ -110,8 +133,7 @@ def overlaps(cands: DataFrame, scenes: DataFrame) -> DataFrame:
         "start_dot": G.direction_dot(F.col("a_line"), F.col("b_line"), True),
         "end_dot": G.direction_dot(F.col("a_line"), F.col("b_line"), False),
     }).where(F.least("start_dot", "end_dot") >= 0.85)
-    pairs = pairs.withColumn("_d", G.nearest_gaps(F.col("a__p100"), F.col("b__p200"))).withColumns({
-        "mean_nearest": G.array_mean(F.col("_d")), "p90_nearest": G.array_quantile(F.col("_d"), 0.9)})
+    pairs = _with_gaps(pairs.select(*SCENE, "unit", "a_cluster_id", "b_cluster_id", "b_length", "b_size", "length_ratio", "start_dot", "end_dot", "a__p100", "b__p200"))
     pixel = F.col("unit") == "pixel"
     near = (F.col("mean_nearest") <= F.when(pixel, 60.0).otherwise(1.6)) & (F.col("p90_nearest") <= F.when(pixel, 110.0).otherwise(3.0))
     return pairs.where(near).select(

@@ -548,7 +548,8 @@ def route_candidates(spark, d):
     def build():
         t = lines(spark, d).withColumnRenamed("seq", "frame")
         ok = cleaning.eligible_tracks(t, line_scenes(spark, d))
-        v = routes.track_vectors(t, ok)
+        # Read by the eps, the clusters and their mean lines.
+        v = materialize(routes.track_vectors(t, ok), "track-vectors")
         return routes.candidates(v, routes.cluster_tracks(v, min_samples=2))
     return V.landed(spark, d, "candidates", build)
 
