@@ -328,7 +328,8 @@ def derive_rollout(spark, d, mode="semi"):
 
 
 def rollout(spark, d):
-    return V.landed(spark, d, "rollout", lambda: derive_rollout(spark, d))
+    # Without what no query reads, so that it is not shuffled either.
+    return V.landed(spark, d, "rollout", lambda: derive_rollout(spark, d).drop("prev_vx", "prev_ax", "prev_vy", "prev_ay", "pred_steps"))
 
 
 @query("W6", with_blocks(
