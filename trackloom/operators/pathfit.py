@@ -17,7 +17,6 @@ FRECHET_STEP = 4
 FIT = ["segment_mean", "lateral_mean", "lateral_p90", "frechet", "direction", "start_dot", "end_dot", "monotonic"]
 LANE = ["first_mean", "first_p90", "first_direction", "first_monotonic", "direction", "monotonic"]
 POINT = ("lateral", "dot", "advance")
-PAIR = ("dataset", "scene_id", "track_id", "path_id", "invert")
 BLOCK_CELLS = 1 << 19  # points times vertices that are compared at once
 
 
@@ -38,7 +37,7 @@ def scored(pairs: DataFrame) -> DataFrame:
             columns = [batch.column(n) for n in names] + [pa.array(v, pa.float64(), mask=np.isnan(v)) for v in values.T]
             yield pa.RecordBatch.from_arrays(columns, names + FIT)
 
-    return spread(pairs, *PAIR).mapInArrow(fitted, schema)
+    return spread(pairs, *names).mapInArrow(fitted, schema)
 
 
 def _kept(pairs: DataFrame) -> tuple[list[T.StructField], list[str]]:
@@ -152,7 +151,7 @@ def lane_fit(pairs: DataFrame, first: int) -> DataFrame:
             columns = [batch.column(n) for n in names] + [pa.array(v, pa.float64(), mask=np.isnan(v)) for v in values.T]
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), rows)], [*names, *LANE, "_points"])
 
-    return spread(pairs, *PAIR).mapInArrow(fitted, schema)
+    return spread(pairs, *names).mapInArrow(fitted, schema)
 
 
 def _lane_batch(tracks: pa.ListArray, lines: pa.ListArray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
