@@ -70,3 +70,17 @@ def test_quantiles_of_slices(spark):
         low, high = np.quantile([r[1] for r in rows], [lo, hi])
         part = [r[2] for r in rows if low <= r[1] <= high]
         assert n == len(part) and quantiles == pytest.approx(np.quantile(part, probs), rel=1e-15, abs=1e-15)
+
+
+def test_a_value_is_one_row_for_all_features(spark, monkeypatch):
+    """Rows do not multiply with the features, and quantiles are the same however the values are cut into chunks."""
+    rng = random.Random(5)
+    rows = [("a", [[rng.uniform(1, 20), 0.0, 0.0, 0.0, rng.choice([7.0, rng.uniform(0, 90)])]], float(i % 9), None if i % 4 else float(i % 7), rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(300)]
+    wide = spark.createDataFrame(rows, "dataset string, state array<array<double>>, f double, g double, ax_true double, ax_m double")
+    bounds = slices._bounds(wide, ["f", "g"], RANGES, 20)
+    assert bounds.count() == 4
+    one, two = (slice_quantiles.ttc_rows(wide, ["m"], names, bounds, [1.0]).agg(F.sum("n")).first()[0] for names in (["f"], ["f", "g"]))
+    assert one == two
+    whole = sorted(slice_quantiles.slice_ttc(wide, ["m"], ["f", "g"], RANGES, [1.0]).collect())
+    monkeypatch.setattr(slice_quantiles, "CHUNK", 3)
+    assert whole and sorted(slice_quantiles.slice_ttc(wide, ["m"], ["f", "g"], RANGES, [1.0]).collect()) == whole
