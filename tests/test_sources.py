@@ -108,3 +108,17 @@ def test_milliseconds(spark):
     from trackloom.operators import kinematics
     out = kinematics.velocity_derivative(df, ["dataset", "scene_id", "recording", "track_id"]).collect()
     assert all(r.ax == pytest.approx(1.0) for r in out)
+
+
+def test_rows_travel_with_what_is_read(spark):
+    """Columns that no later step reads are left behind before rows are shuffled; others pass through the smoothing once."""
+    from trackloom.operators import kinematics
+    from trackloom.plans import build
+    rows = [("NGSIM", "s", "r", "1", f, float(f), 0.0, 1.0, 1.0, 2, 2.0, 4.0, 3, f, "note") for f in range(40)]
+    df = spark.createDataFrame(rows, "dataset string, scene_id string, recording string, track_id string, frame long, x double, y double, speed double, v_Acc double, v_Class long, "
+                               "width_m double, length_m double, lane_id long, ordinal long, note string")
+    found = build.eligible("NGSIM", df, df.select("dataset", "scene_id", "track_id"))
+    assert not {"note", "v_Class", "width_m"} & set(found.columns) and found.count() == 40
+    moved = kinematics.add_kinematics(found, ["dataset", "scene_id", "recording", "track_id"], 10.0)
+    assert {(r.frame, r.lane_id) for r in moved.collect()} == {(f, 3) for f in range(40)}
+    assert "Join" not in moved._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroups")[0]

@@ -88,3 +88,9 @@ def test_rollout_matches_a_plain_loop(spark):
         row = trajectories.trajectory_metrics(trajectories.rollout_steps(steps, preds, mode)).first()
         assert row.ade == pytest.approx(np.mean(errs), abs=1e-9) and row.fde == pytest.approx(errs[-1], abs=1e-9)
         assert row.va95_true == pytest.approx(np.quantile((np.hypot(*v[12:].T) + 1e-9) * np.hypot(*a[12:].T), 0.95))
+
+
+def test_rows_are_not_copied_into_their_windows(spark):
+    """A row lies in up to 14 windows of stride 1; they are read from the sorted chunk, not collected from copies."""
+    plan = transitions.cut_windows(rows_for(spark, {1: range(100)}), 1)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan and plan.count("Generate") <= 1

@@ -134,16 +134,17 @@ def _bucket(v: Column) -> Column:
 
 
 def quantiles(
-    df: DataFrame, group: list[str], value: Column, probs: list[float], name: str = "quantiles"
+    df: DataFrame, group: list[str], value: Column, probs: list[float], name: str = "quantiles", weight: Column | None = None
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles per group as an array aligned with ``probs``.
+    """Exact linear-interpolation quantiles per group as an array aligned with ``probs``; a row counts ``weight`` times.
 
     A histogram (combined before the shuffle) locates the buckets that hold the wanted ranks; only rows of
     those buckets are ranked. Nulls and NaN are ignored; groups without values are absent.
     """
-    vals = df.select(*group, value.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    weight = F.lit(1) if weight is None else weight
+    vals = df.select(*group, value.cast("double").alias("_v"), weight.cast("long").alias("_w")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     vals = vals.withColumn("_b", _bucket(F.col("_v")))
-    hist = vals.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    hist = vals.groupBy(*group, "_b").agg(F.sum("_w").alias("_n"))
     scope = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
     below = scope.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     hist = hist.withColumn("_lo", F.coalesce(F.sum("_n").over(below), F.lit(0))).withColumn(
@@ -162,7 +163,7 @@ def quantiles(
     wanted = F.filter(ranks, lambda r: (r["rank"] >= F.col("_lo")) & (r["rank"] < F.col("_lo") + F.col("_n")))
     hits = hist.select(*group, "_b", "_lo", "_total", wanted.alias("_want")).where(F.size("_want") > 0)
     rows = vals.join(hits.select(*group, "_b"), [*group, "_b"], "left_semi")
-    rows = rows.groupBy(*group, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    rows = rows.groupBy(*group, "_b", "_v").agg(F.sum("_w").alias("_c"))
     inner = W.partitionBy(*group, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.join(hits, [*group, "_b"]).withColumn("_at", F.col("_lo") + F.coalesce(F.sum("_c").over(inner), F.lit(0)))
     picked = rows.select(

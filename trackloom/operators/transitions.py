@@ -39,14 +39,10 @@ def cut_windows(
     cut = bounded.with_halo(rows, "frame", 0, span - 1, chunk_frames).join(offsets, [*keys, "_chunk"])
     order = Window.partitionBy(*keys, "_chunk").orderBy("frame")
     pos = (F.row_number().over(order) - 1 + F.col("_n_before")).cast("long")
-    cut = cut.withColumn("_pos", pos)
-    # A row belongs to the windows that start up to span-1 rows before it, inside the chunk's own rows.
-    first = F.greatest(F.ceil((F.col("_pos") - (span - 1)) / stride), F.ceil(F.col("_n_before") / stride))
-    last = F.least(F.floor(F.col("_pos") / stride), F.floor((F.col("_n_before") + F.col("_n") - 1) / stride))
-    cut = cut.where(first <= last).withColumn("_w", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
-    step = (F.col("_pos") - F.col("_w") * stride).cast("int").alias("step")
-    picked = F.struct(step, "frame", "features", "action", *extra)
-    out = cut.groupBy(*keys, "_chunk", "_w").agg(F.array_sort(F.collect_list(picked)).alias("_rows"))
+    # A start sees the rows behind it in the sorted chunk; copying every row into each of its windows would make span rows of one.
+    ahead = F.collect_list(F.struct("frame", "features", "action", *extra)).over(order.rowsBetween(0, span - 1))
+    cut = cut.withColumns({"_pos": pos, "_rows": ahead})
+    out = cut.where((F.col("_pos") % stride == 0) & (F.col("_pos") < F.col("_n_before") + F.col("_n"))).select(*keys, "_rows")
     r = F.col("_rows")
     # get() yields null instead of failing: the optimizer may look at a short window before dropping it.
     at = lambda i: F.get(r, F.lit(i))

@@ -76,6 +76,10 @@ FINITE = {
 }
 
 
+# What motion, neighbours and windows read of a row (with the ids of neighbours, where they are shipped); the rest need not travel.
+READ = {*TRACK, "frame", "ordinal", "timestamp_ms", "x", "y", "vx", "vy", "ax", "ay", "heading", "speed", "course", "width", "length", "lane_id"}
+
+
 def population(corpus: str, rows: DataFrame, assigned: DataFrame | None) -> DataFrame:
     """The rows windows and neighbours are built from: finite, vehicle, assigned, with motion.
 
@@ -95,6 +99,7 @@ def eligible(corpus: str, rows: DataFrame, assigned: DataFrame | None) -> DataFr
         if assigned is None:
             raise ValueError(f"{corpus} needs an assignment table")
         df = cleaning.assigned_rows(df, assigned)
+    df = df.select(*[c for c in df.columns if c in READ or spec.neighbors == "ids" and c in K.NEIGHBOR_ID_COLUMNS])
     # A repeated (track, frame) would shift the positions that windows are cut by; the first in file order stays.
     df = cleaning.first_per_frame(df, "ordinal", TRACK) if "ordinal" in df.columns else df
     return cleaning.from_first_motion(df, "speed", TRACK) if spec.motion == "smoothed" else df
@@ -108,6 +113,8 @@ def finite(corpus: str, rows: DataFrame) -> DataFrame:
 def with_motion(corpus: str, df: DataFrame) -> DataFrame:
     """Velocities and accelerations where the corpus does not give them."""
     spec = SPECS[corpus]
+    if spec.motion != "given":
+        df = materialize(df.drop("speed"), "eligible")  # placed, stepped and smoothed from one copy
     if spec.motion == "smoothed":
         df = kinematics.add_kinematics(df.drop("heading"), TRACK, spec.rate, course="course" if corpus == "CitySim" else None)
         df = cleaning.finite_rows(df, ["vx", "vy", "ax", "ay"])
