@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from trackloom.functions import lines
-from trackloom.operators import clustering, pathfit, pathindex
+from trackloom.operators import geometry, clustering, pathfit, pathindex
 
 POINTS = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
 
@@ -75,3 +75,25 @@ def test_cluster_blocks():
     (forest,) = clustering._forest(iter([batch]))
     pairs = set(zip(forest.column("u").to_pylist(), forest.column("v").to_pylist()))
     assert pairs <= {(p["id"], q["id"]) for x, y, m in zip(a, b, near) for p, r in zip(x, m) for q, n in zip(y, r) if n} and pairs
+
+
+def test_projection_on_batches(spark):
+    """The nearest segment, the first of equally near ones, for lines of several sizes; points are dealt to all tasks."""
+    rng = np.random.default_rng(12)
+    paths = {"a": np.cumsum(rng.normal(1, 0.4, (30, 2)), axis=0), "b": np.array([[0.0, 0], [4, 0], [4, 4], [0, 4]]), "c": np.array([[1.0, 1], [1, 1], [5, 1]])}
+    at = {"a": rng.normal(10, 8, (20, 2)), "b": np.array([[2.0, 2], [4, 0], [9, 9]]), "c": np.array([[1.0, 2], [3, 0]])}
+    points = [(k, i, float(x), float(y)) for k, p in at.items() for i, (x, y) in enumerate(p)] + [("b", 9, None, 1.0)]
+    vertices = spark.createDataFrame([(k, [(float(x), float(y)) for x, y in p]) for k, p in paths.items()], "k string, line array<struct<x: double, y: double>>")
+    out = geometry.projection(spark.createDataFrame(points, "k string, i long, x double, y double").coalesce(1), vertices, ["k"])
+    assert "REPARTITION" in out._jdf.queryExecution().executedPlan().toString()
+    found = {(r.k, r.i): r for r in out.collect()}
+    assert len(found) == len(points) and found["b", 9].lateral is None
+    for k, i, x, y in points[:-1]:
+        line = paths[k]
+        step = np.diff(line, axis=0)
+        u = np.clip(((np.array([x, y]) - line[:-1]) * step).sum(1) / np.maximum((step**2).sum(1), 1e-12), 0, 1)
+        gap = np.hypot(*(line[:-1] + step * u[:, None] - (x, y)).T)
+        size, best = np.hypot(*step.T), int(np.flatnonzero(gap <= gap.min() + 1e-12)[0])
+        r = found[k, i]
+        assert r.segment == best
+        np.testing.assert_allclose((r.lateral, r.s), (gap[best], size[:best].sum() + u[best] * size[best]), atol=1e-9)

@@ -94,8 +94,10 @@ def previous_row(
     """Columns of the previous (or next) row within ``keys`` along ``order``; null at the end."""
     parts = _cut(df, chunk if chunk is not None else frame_chunk(order[0]))
     fields = F.struct(*[F.col(src).alias(new) for new, src in columns.items()])
-    edge = (F.min_by if forward else F.max_by)(fields, F.struct(*order))
-    tails = parts.groupBy(*keys, "_chunk").agg(edge.alias("_edge"))
+    edge = F.min_by if forward else F.max_by
+    # Number by number: an aggregate that holds whole structs is made by sorting all rows.
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    tails = parts.groupBy(*keys, "_chunk").agg(F.struct(*[edge(F.col(src), place).alias(new) for new, src in columns.items()]).alias("_edge"))
     outer = W.partitionBy(*keys).orderBy("_chunk")
     shift = F.lead if forward else F.lag
     tails = tails.select(*keys, "_chunk", shift("_edge").over(outer).alias("_edge"))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from trackloom.functions import lines
 from trackloom.functions.columns import finite
 from trackloom.operators import bounded
+from trackloom.session import spread
+
+PROJECTED = ["lateral", "segment", "s", "tx", "ty"]
+BLOCK_CELLS = 1 << 19  # points times vertices that are compared at once
 
 
 def clean_polyline(points: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
@@ -58,7 +65,7 @@ def resample(points: DataFrame, keys: list[str], n: int, order: str = "seq") ->
 
     For tracks of any length. Short lines held as arrays use :func:`with_resampled`.
     """
-    steps = _steps(points, keys, order)
+    steps = _steps(points.select(*keys, order, "x", "y"), keys, order)
     total = steps.groupBy(*keys).agg(F.sum("step_len").alias("_total"), F.min_by(F.struct("x", "y"), order).alias("_first"))
     s = bounded.running_sums(steps, keys, [order], {"s": F.col("step_len")})
     placed = s.join(total.where(F.col("_total") > 1e-9).select(*keys, "_total"), keys)
@@ -216,11 +223,46 @@ def path_geometry(points: DataFrame, keys: list[str], order: str = "seq") -> Dat
 def projection(points: DataFrame, vertices: DataFrame, keys: list[str]) -> DataFrame:
     """Nearest segment of a short path for every point: arc length there, lateral distance, tangent.
 
-    ``points``: keys, point, x, y. ``vertices``: one row per key with an array ``line``.
+    ``points``: keys, point, x, y. ``vertices``: one row per key with an array ``line``. Points are dealt to all tasks, since
+    they have few bytes and much work, and are compared with their lines on Arrow batches, many at once.
     """
-    df = points.join(vertices, keys)
-    best = bind(line_segments(F.col("line")), lambda g: project_point(F.struct("x", "y"), g))
-    return df.withColumn("_b", best).select(*points.columns, "_b.*")
+    kept, new = points.columns, [T.StructField(c, T.IntegerType() if c == "segment" else T.DoubleType()) for c in PROJECTED]
+    df = spread(points).join(vertices.select(*keys, "line"), keys)
+    schema = T.StructType([*[points.schema[c] for c in kept], *new])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _projected(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in "xy"], axis=1), *lines.points_of(batch.column("line")))
+            made = [pa.array(found[c], pa.int32() if c == "segment" else pa.float64(), from_pandas=False) for c in PROJECTED]
+            # A missing coordinate makes missing values, not numbers that are none.
+            missing = pc.or_(pc.is_null(batch.column("x")), pc.is_null(batch.column("y")))
+            made = [a if c == "segment" else pc.if_else(pc.and_(missing, pc.is_nan(a)), pa.scalar(None, pa.float64()), a) for c, a in zip(PROJECTED, made)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], schema.names)
+
+    return df.select(*kept, "line").mapInArrow(each, schema)
+
+
+def _projected(p: np.ndarray, sizes: np.ndarray, first: np.ndarray, xy: np.ndarray) -> dict[str, np.ndarray]:
+    """Every row's point on its line; the first of equally near segments. Lines of one size are looked at together."""
+    out = {c: np.zeros(len(p), np.int32) if c == "segment" else np.full(len(p), np.nan) for c in PROJECTED}
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        rows = np.flatnonzero(sizes == size)
+        for part in np.array_split(rows, len(rows) * size // BLOCK_CELLS + 1):
+            line = xy[first[part][:, None] + np.arange(size)]
+            x, y = line[:, :-1, 0], line[:, :-1, 1]
+            vx, vy = np.diff(line[..., 0], axis=1), np.diff(line[..., 1], axis=1)
+            square, length = np.maximum(vx * vx + vy * vy, 1e-12), np.hypot(vx, vy)
+            px, py = p[part, 0:1], p[part, 1:2]
+            u = np.fmax(0.0, np.fmin(1.0, ((px - x) * vx + (py - y) * vy) / square))
+            ex, ey = px - x - u * vx, py - y - u * vy
+            gap = ex * ex + ey * ey
+            at = np.where(np.isnan(gap), np.inf, gap).argmin(1)[:, None]
+            of = lambda values: np.take_along_axis(values, at, 1)[:, 0]
+            arc = np.cumsum(np.c_[np.zeros(len(part)), length], axis=1)
+            unit = np.maximum(of(length), 1e-12)
+            for c, v in zip(PROJECTED, (np.sqrt(of(gap)), at[:, 0], of(arc) + of(u) * of(length), of(vx) / unit, of(vy) / unit)):
+                out[c][part] = v
+    return out
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -283,9 +283,9 @@ hits AS (SELECT *, gs + u * sqrt(vx * vx + vy * vy) AS s, sqrt(pow(x - gx - u *
 @query("R9", with_blocks(
     "SELECT dataset, scene_id, track_id, path_id, seq, round(min(side), 4) AS \"lateral\", round(min_by(s, (round(side, 7), segment)), 2) AS s FROM hits GROUP BY 1, 2, 3, 4, 5", *PATH_BLOCKS, _PROJECT))
 def projections(spark, d):
-    points = G.resample(lines(spark, d), KEY, 12)
-    paths = routes.path_lines(mined_paths(spark, d)).join(points.select(*KEY).distinct(), SCENE)
-    out = G.projection(points.join(paths.select(*KEY, "path_id"), KEY), paths.drop("track_id").distinct(), [*SCENE, "path_id"])
+    points = materialize(G.resample(lines(spark, d), KEY, 12), "points")  # small beside the tracks that it is drawn from
+    paths = routes.path_lines(mined_paths(spark, d))
+    out = G.projection(points.join(paths.select(*SCENE, "path_id"), SCENE), paths, [*SCENE, "path_id"])
     return out.select(*KEY, "path_id", "seq", r("lateral", 4).alias("lateral"), r("s", 2).alias("s"))
 
 
