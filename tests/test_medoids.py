@@ -46,3 +46,18 @@ def test_bounds_rule_most_members_out(spark):
     left = medoids.open_nodes(bounds, known, ["g"]).count()
     print(left, "of", nodes.count(), "summed up after the first")
     assert left * 4 < nodes.count()
+
+
+def test_blocks_of_a_large_group_are_few(spark, monkeypatch):
+    """Rows are sent to every block of their group, so the number of blocks must not grow with the group."""
+    monkeypatch.setattr(medoids, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    v = rng.normal(0, 1, (900, 3))
+    nodes = frame(spark, {"a": v, "b": v[:5]}).withColumn("weight", F.lit(1).cast("long"))
+    blocks = {r.g: r.n for r in medoids._dealt(nodes, ["g"], ["vector", "weight"], "m").groupBy("g").agg(F.count("*").alias("n")).collect()}
+    assert 1 < blocks["a"] <= 16 and blocks["b"] <= 2
+    sums = {(r.g, int(r.id)): r.distance_sum for r in medoids.distance_sums(nodes, nodes, ["g"]).collect()}
+    assert len(sums) == 905
+    np.testing.assert_allclose([sums["a", i] for i in range(900)], brute(v)[1])
+    monkeypatch.setattr(medoids, "BLOCK_NUMBERS", 90)  # 30 rows of 3 numbers
+    assert medoids._dealt(nodes.where("g = 'a'"), ["g"], ["vector"], "m").count() == 30

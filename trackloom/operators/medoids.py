@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from trackloom.functions.hashing import md5_code
@@ -11,6 +14,7 @@ from trackloom.operators import bounded
 from trackloom.session import materialize
 
 BLOCK, SAMPLE, PIVOTS, FIRST = 256, 500, 32, 8
+PARTS, BLOCK_NUMBERS = 16, 1 << 21
 
 
 def _gap(a: str | Column, b: Column) -> Column:
@@ -56,12 +60,21 @@ def sum_bounds(nodes: DataFrame, keys: list[str], pivots: int = PIVOTS) -> DataF
 
 
 def _dealt(rows: DataFrame, keys: list[str], fields: list[str], name: str) -> DataFrame:
-    """Blocks of about BLOCK rows: keys, number of the block, number of blocks, rows."""
-    parts = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_parts"))
-    cut = rows.join(parts, keys).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
+    """Blocks of rows: keys, number of the block, number of blocks, rows.
+
+    A group has at most PARTS blocks of at least about BLOCK rows, or as many as keep a block below BLOCK_NUMBERS numbers: rows that
+    meet every block are then sent a bounded number of times, however large the group is.
+    """
+    n, width = F.count(F.lit(1)), F.max(F.size("vector"))
+    parts = F.greatest(F.least(F.ceil(n / BLOCK), F.lit(PARTS)), F.ceil(n * width / BLOCK_NUMBERS)).cast("int")
+    cut = rows.join(rows.groupBy(*keys).agg(parts.alias("_parts")), keys).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
     return cut.groupBy(*keys, "_part", "_parts").agg(F.collect_list(F.struct(*fields)).alias(name))
 
 
+def _vectors(members: pa.StructArray) -> np.ndarray:
+    return members.field("vector").flatten().to_numpy().reshape(len(members), -1)
+
+
 def distance_sums(some: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of the distances of ``some`` nodes to all nodes of their group: keys, id, distance_sum."""
     b = _dealt(nodes, keys, ["vector", "weight"], "b")
@@ -70,16 +83,18 @@ def distance_sums(some: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFra
     a = a.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     schema = T.StructType([*[some.schema[k] for k in [*keys, "id"]], T.StructField("part_sum", T.DoubleType())])
 
-    def sums(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                v = np.stack([np.asarray(m["vector"], float) for m in row.b])
-                n = np.array([m["weight"] for m in row.b], float)
-                out = pd.DataFrame({"id": [m["id"] for m in row.a], "part_sum": [float(np.sqrt(((v - np.asarray(m["vector"], float)) ** 2).sum(1)) @ n) for m in row.a]})
-                yield out.assign(**{k: getattr(row, k) for k in keys})[[*keys, "id", "part_sum"]]
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                some, block = batch.column("a")[i].values, batch.column("b")[i].values
+                v, n = _vectors(block), block.field("weight").to_numpy().astype(float)
+                away = (v - p for p in _vectors(some))
+                found = np.array([np.sqrt(np.einsum("ij,ij->i", d, d)) @ n for d in away])
+                key = [pa.repeat(batch.column(k)[i], len(some)) for k in keys]
+                yield pa.RecordBatch.from_arrays([*key, some.field("id"), pa.array(found)], schema.names)
 
     met = a.drop("_parts").join(b.drop("_parts"), [*keys, "_part"]).select(*keys, "a", "b")
-    return met.mapInPandas(sums, schema).groupBy(*keys, "id").agg(F.sum("part_sum").alias("distance_sum"))
+    return met.mapInArrow(sums, schema).groupBy(*keys, "id").agg(F.sum("part_sum").alias("distance_sum"))
 
 
 def open_nodes(bounds: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
