@@ -101,3 +101,12 @@ def test_longest_piece_comes_first():
             first.setdefault(last, i)
         for last, i in PIECES._automaton.iter(text[::-1]):
             assert len(PIECES.names[i]) <= len(PIECES.names[first[last]])
+
+
+def test_words_share_what_is_remembered_whatever_follows():
+    """Letters and signs that no piece joins are encoded apart, with the library's ids."""
+    pieces = merges.load(PATH)
+    pieces._words.clear()
+    text = "walking, walking. (walking) walking!!! 12walking; walking\nwalking 据数walking’s ##a"
+    assert list(pieces.encode(text)) == MODEL.encode(text)
+    assert sum("walking" in word for word in pieces._words) == 2

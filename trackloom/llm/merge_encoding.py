@@ -9,8 +9,8 @@ an edge between them, so the first one found is the result, and a failed positio
 
 Pieces that merging never yields are left out. Characters outside the vocabulary stand for themselves and become one id for
 each UTF-8 byte. If no piece holds a blank behind another character, a text falls apart into words with their blanks in
-front; words are encoded one by one, and short ones are remembered up to a bound, so a text is read in parts of ``PART``
-characters and nothing but its ids grows with it.
+front, and these into runs of characters that pieces link; the runs are encoded one by one, and short ones are remembered up
+to a bound, so a text is read in parts of ``PART`` characters and nothing but its ids grows with it.
 
 Defined results: a null text counts as empty and has no ids; rows are told apart by nothing, so repeated rows and ids come
 out as often as they went in; other columns stay as they are, and a column with the name of a new one is replaced. Ids out of
@@ -70,7 +70,19 @@ class Pieces:
 
     @cached_property
     def _word(self) -> re.Pattern:
-        return re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+" if self.words_apart else "(?s).+")
+        """What is encoded by itself: a run of characters that are linked by standing side by side in pieces, with the blanks in
+        front of it. No merge crosses its edges, and ``word`` and ``word,`` share what is remembered of the word."""
+        if not self.words_apart:
+            return re.compile("(?s).+")
+        groups: dict[str, set[str]] = {}
+        for name in self.ids:
+            inner = set(name.lstrip(BLANK)) if len(name.lstrip(BLANK)) > 1 else set()
+            if inner and not all(groups.get(c) is groups.get(min(inner), inner) for c in inner):
+                inner = inner.union(*(groups[c] for c in inner if c in groups))
+                groups |= dict.fromkeys(inner, inner)
+        linked = sorted({id(g): g for g in groups.values()}.values(), key=len, reverse=True)
+        runs = [f"{BLANK}*[{''.join(map(re.escape, sorted(g)))}]+" for g in linked]
+        return re.compile("|".join([*runs, f"{BLANK}*[^{BLANK}]", f"{BLANK}+"]))
 
     @cached_property
     def _known(self) -> re.Pattern:
