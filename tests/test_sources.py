@@ -122,3 +122,11 @@ def test_rows_travel_with_what_is_read(spark):
     moved = kinematics.add_kinematics(found, ["dataset", "scene_id", "recording", "track_id"], 10.0)
     assert {(r.frame, r.lane_id) for r in moved.collect()} == {(f, 3) for f in range(40)}
     assert "Join" not in moved._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroups")[0]
+
+
+def test_accelerations_that_are_no_number_are_null(spark):
+    from trackloom.operators import kinematics
+    rows = [("d", "s", "r", "1", f, float(f), None if f == 30 else 1.0 * f, 0.0) for f in range(40)]
+    df = spark.createDataFrame(rows, "dataset string, scene_id string, recording string, track_id string, frame long, timestamp_ms double, vx double, vy double")
+    found = {r.frame: r.ax for r in kinematics.velocity_derivative(df, ["dataset", "scene_id", "recording", "track_id"]).collect()}
+    assert len(found) == 40 and found[30] is None and found[5] is not None

@@ -64,7 +64,7 @@ def _with_time_step(rows: DataFrame, keys: list[str], rate: float, halo: int, st
 
 def _by_chunk(cut: DataFrame, keys: list[str], read: list[str], made: list[str], run: Callable[[dict[str, np.ndarray], int, int, float], dict[str, np.ndarray]]) -> DataFrame:
     """Own rows of every chunk with the columns ``made``, which ``run`` computes of the columns ``read`` of the sorted
-    chunk, its first position, the size of its track and dt. Other columns pass as they are."""
+    chunk, its first position, the size of its track and dt; what is no number becomes null. Other columns pass as they are."""
     names = [c for c in cut.columns if c not in {*made, "_pos", "_total", "_chunk", "_own", "dt"}]
     schema = T.StructType([*[cut.schema[c] for c in names], *[T.StructField(c, T.DoubleType()) for c in made]])
 
@@ -75,7 +75,7 @@ def _by_chunk(cut: DataFrame, keys: list[str], read: list[str], made: list[str],
         found = run(values, int(pos[order[0]]), int(chunk.column("_total")[0].as_py()), float(chunk.column("dt")[0].as_py()))
         own = chunk.column("_own").to_numpy(zero_copy_only=False)[order]
         kept = chunk.select(names).take(pa.array(order[own]))
-        return pa.Table.from_arrays([*kept.columns, *[pa.array(found[c][own], pa.float64()) for c in made]], schema.names)
+        return pa.Table.from_arrays([*kept.columns, *[pa.array(found[c][own], pa.float64(), from_pandas=True) for c in made]], schema.names)
 
     return cut.groupBy(*keys, "_chunk").applyInArrow(each, schema)
 
